@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, scratch, tokencount
+from . import chat, decontam, knn, mixing, neardup, pii, scratch, tokencount
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(scratch.load(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=10, scale=1024, every=100)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scratch.load(spark, sf_dir, "documents", "doc_id", "text")
     return tokencount.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096)
@@ -39,11 +43,23 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.canonical(rows.unionByName(planted))))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.load(spark, sf_dir, "documents", "doc_id", "text")
+    return decontam.leaks(docs, scratch.load(spark, sf_dir, "benchmark", "item_id", "text"), similarity=0.8)
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(scratch.load(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn_join": op1_knn_join,
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
