@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from .operators import text, vectors  # noqa: F401
