@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .words import Memo, mix, windows_hash, word_hashes
 
 #: Items held by a task at once; more items take more passes over the documents.
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 5_000
 #: Walks, and steps sampled of each walk for its key.
 WALKS, SAMPLED = 24, 2
 _OUTER = ".,;:!?\"'()[]{}<>…«»„“”‘’`*#%$&|-–—_/\\"
@@ -79,7 +79,7 @@ class _Items:
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, seed: int):
         memo = Memo(_norm_hash)
-        self.ids, self.words, self.most = [], [], []
+        self.ids, self.words, self.most, self.similarity = [], [], [], similarity
         for item_id, text in items:
             h = _hashes(text, memo)
             if len(h):
@@ -91,89 +91,117 @@ class _Items:
         self.lengths = sorted({len(w) for w in self.words})
         # a sampled step lies in the first two thirds of the walk, where the pointer is inside the window
         self.steps = {n: np.sort(rng.integers(0, max(1, 2 * n), (WALKS, SAMPLED)), axis=1) for n in self.lengths}
-        self.runs: dict[int, np.ndarray] = {}
-        self.near: dict[int, list[tuple[np.ndarray, int]]] = {}
-        by_run: dict[int, set[int]] = {}
         self.tables: dict[int, list[dict[int, list[int]]]] = {n: [{} for _ in range(WALKS)] for n in self.lengths}
+        rows: dict[int, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(self.words):
             n = len(w)
             g = run_length(n, self.most[i])
-            by_run.setdefault(g, set()).update(windows_hash(w, g).tolist())
+            rows.setdefault(g, []).extend((h, i, o) for o, h in enumerate(windows_hash(w, g).tolist()))
             for walk, key in enumerate(self.keys(w, np.zeros(1, np.int64), n)):
                 self.tables[n][walk].setdefault(int(key[0]), []).append(i)
-        self.runs = {g: np.array(sorted(x), np.uint64) for g, x in by_run.items()}
-        self.bits = {}
-        for g, x in self.runs.items():
-            m = np.zeros(1 << 20, np.bool_)
-            m[(x >> np.uint64(44)).astype(np.int64)] = True
-            self.bits[g] = m
-        # by run and length: (offset of the run in the item) pairs, to place windows
-        self.places: dict[int, dict[int, set[tuple[int, int, int]]]] = {g: {} for g in self.runs}
-        for i, w in enumerate(self.words):
-            g = run_length(len(w), self.most[i])
-            for o, h in enumerate(windows_hash(w, g).tolist()):
-                self.places[g].setdefault(h, set()).add((len(w), o, self.most[i]))
+        self.sorted_keys = {n: [np.array(sorted(t), np.uint64) for t in ts] for n, ts in self.tables.items()}
+        self.n_words = np.array([len(w) for w in self.words], np.int64)
+        self.n_edits = np.array(self.most, np.int64)
+        #: for each run length: distinct hashes, where their occurrences begin, and the occurrences' items and offsets
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.bits: dict[int, np.ndarray] = {}
+        for g, x in rows.items():
+            x.sort()
+            h = np.array([r[0] for r in x], np.uint64)
+            u, first = np.unique(h, return_index=True)
+            self.runs[g] = (u, np.append(first, len(h)), np.array([r[1] for r in x], np.int64), np.array([r[2] for r in x], np.int64))
+            self.bits[g] = np.zeros(1 << 20, np.bool_)
+            self.bits[g][(u >> np.uint64(44)).astype(np.int64)] = True
 
     def keys(self, text: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
         """For each walk the keys of the windows of n words at ``starts``."""
-        out = []
-        for walk in range(WALKS):
-            steps, coin = self.steps[n][walk], self.coin[walk]
-            at = starts.copy()
-            end = starts + n
-            key = np.zeros(len(starts), np.uint64)
-            last = int(steps[-1])
-            for j in range(last + 1):
-                inside = at < end
-                sym = np.where(inside, text[np.minimum(at, len(text) - 1)], np.uint64(0))
-                for _ in range(int((steps == j).sum())):
-                    key = mix(key * np.uint64(31) + sym)
-                if j < last:
-                    with np.errstate(over="ignore"):
-                        at = at + (mix(sym ^ (coin + np.uint64(j))) & np.uint64(1)).astype(np.int64) * inside
-            out.append(key)
-        return out
-
-    def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of each item's best place in a text."""
-        windows: dict[int, set[int]] = {}
-        for g, table in self.runs.items():
+        steps = self.steps[n]
+        at = np.repeat(starts[None, :], WALKS, axis=0)
+        end = starts + n
+        key = np.zeros(at.shape, np.uint64)
+        last = int(steps.max())
+        for j in range(last + 1):
+            inside = at < end
+            sym = np.where(inside, text[np.minimum(at, len(text) - 1)], np.uint64(0))
+            for hit in (steps == j).T:
+                if hit.any():
+                    key[hit] = mix(key[hit] * np.uint64(31) + sym[hit])
+            if j < last:
+                at += ((mix(sym ^ (self.coin + np.uint64(j))[:, None]) & np.uint64(1)).astype(np.bool_)) & inside
+        return list(key)
+
+    def windows(self, text: np.ndarray) -> dict[int, np.ndarray]:
+        """By length the starts of the windows that can be near an item.
+
+        k edits leave n - g + 1 - g k of an item's runs of g words, on
+        diagonals no more than k apart; places with fewer are passed over.
+        """
+        out: dict[int, list[np.ndarray]] = {}
+        for g, (u, first, items, offsets) in self.runs.items():
             if len(text) < g:
                 continue
             h = windows_hash(text, g)
-            maybe = np.flatnonzero(self.bits[g][(h >> np.uint64(44)).astype(np.int64)])
-            for p in maybe.tolist():
-                for n, o, k in self.places[g].get(int(h[p]), ()):
-                    windows.setdefault(n, set()).update(range(max(0, p - o - k), min(max(1, len(text) - n + 1 + k), p - o + k + 1)))
-        meet: set[tuple[int, int]] = set()
-        for n, at in windows.items():
-            starts = np.array(sorted(at), np.int64)
-            for lo in range(0, len(starts), 65536):
-                part = starts[lo : lo + 65536]
+            pos = np.flatnonzero(self.bits[g][(h >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(u, h[pos]), len(u) - 1)
+            real = u[at] == h[pos]
+            pos, at = pos[real], at[real]
+            count = first[at + 1] - first[at]
+            if not len(pos):
+                continue
+            pos = np.repeat(pos, count)
+            occ = np.repeat(first[at] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
+            item = items[occ]
+            k, n = self.n_edits[item], self.n_words[item]
+            key = (item << np.int64(40)) + (pos - offsets[occ]) + (1 << 20)
+            order = np.argsort(key, kind="stable")
+            key, item, k, n = key[order], item[order], k[order], n[order]
+            near = np.searchsorted(key, key + k, "right") - np.arange(len(key))
+            ok = near >= np.maximum(1, n - g + 1 - g * k)
+            diag = (key & np.int64((1 << 40) - 1)) - (1 << 20)
+            for length in np.unique(n[ok]).tolist():
+                most = int(allowed(length, self.similarity))
+                d = np.unique(diag[ok & (n == length)])
+                starts = (d[:, None] + np.arange(-most, 2 * most + 1)[None, :]).ravel()
+                out.setdefault(length, []).append(np.unique(starts[(starts >= 0) & (starts < len(text))]))
+        return {n: np.unique(np.concatenate(x)) for n, x in out.items()}
+
+    def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, distance, start, end) of each item's best place in each text."""
+        begin = np.append(0, np.cumsum([len(t) for t in texts]))
+        text = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        spans: dict[tuple[int, int], set[int]] = {}
+        for n, starts in self.windows(text).items():
+            for lo in range(0, len(starts), 16384):
+                part = starts[lo : lo + 16384]
+                doc = np.searchsorted(begin, part, "right") - 1
                 for walk, keys in enumerate(self.keys(text, part, n)):
-                    table = self.tables[n][walk]
-                    for s, key in zip(part.tolist(), keys.tolist(), strict=True):
-                        for i in table.get(key, ()):
-                            meet.add((i, s))
-        best: dict[int, tuple[int, int, int]] = {}
-        spans: dict[int, list[int]] = {}
-        for i, s in sorted(meet):
-            spans.setdefault(i, []).append(s)
-        for i, starts in spans.items():
-            n, k = len(self.words[i]), self.most[i]
-            lo, covered = 0, -1
+                    known, table = self.sorted_keys[n][walk], self.tables[n][walk]
+                    hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+                    for j in np.flatnonzero(hit).tolist():
+                        for i in table[int(keys[j])]:
+                            spans.setdefault((int(doc[j]), i), set()).add(int(part[j]))
+        out = []
+        for (doc, i), found in sorted(spans.items()):
+            n, k, left, right = len(self.words[i]), self.most[i], int(begin[doc]), int(begin[doc + 1])
+            starts, best, lo = sorted(found), None, 0
             while lo < len(starts):
                 # neighbouring windows are verified together
                 hi = lo
-                while hi + 1 < len(starts) and starts[hi + 1] - starts[hi] <= k + 1:
+                while hi + 1 < len(starts) and starts[hi + 1] - starts[hi] <= n:
                     hi += 1
-                a, b = max(0, starts[lo] - k), min(len(text), starts[hi] + n + k)
-                if b > covered and (found := best_place(self.words[i], text[a:b], k)):
-                    d, x, y = found
-                    if i not in best or (d, a + x) < best[i][:2]:
-                        best[i] = (d, a + x, a + y)
-                covered, lo = b, hi + 1
-        return [(self.ids[i], *place) for i, place in sorted(best.items())]
+                a, b = max(left, starts[lo] - k), min(right, starts[hi] + n + k)
+                if place := best_place(self.words[i], text[a:b], k):
+                    d, x, y = place
+                    if best is None or (d, a - left + x) < best[:2]:
+                        best = (d, a - left + x, a - left + y)
+                lo = hi + 1
+            if best:
+                out.append((doc, self.ids[i], *best))
+        return out
+
+
+#: Words that a task gathers before it looks for items in them.
+SLAB = 400_000
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, seed: int = 11) -> DataFrame:
@@ -184,10 +212,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, seed:
     for block in range(blocks):
         mine = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
 
-        def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
-            table, memo = _Items(mine, similarity, seed), Memo(_norm_hash)
+        shared = docs.sparkSession.sparkContext.broadcast(_Items(mine, similarity, seed))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            table, memo = shared.value, Memo(_norm_hash)
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in table.matches(_hashes(t, memo))]
+                ids, texts, held, rows, n = b.column(0).to_pylist(), b.column(1).to_pylist(), [], [], 0
+                for at, t in enumerate(texts):
+                    held.append((ids[at], _hashes(t, memo)))
+                    n += len(held[-1][1])
+                    if n > SLAB or at == len(texts) - 1:
+                        rows += [(held[m[0]][0], *m[1:]) for m in table.matches([h for _, h in held])]
+                        held, n = [], 0
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "start", "end"])
 
