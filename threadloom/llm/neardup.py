@@ -10,8 +10,9 @@ independent permutations, for about |A| + T log T hashes.
 Documents with equal sets are one vertex.  Vertices that share a band of
 coordinates are candidates; links are confirmed on full sets.  Within a bucket
 everybody is first held against one centre, which joins the large groups of
-copies without listing their pairs; then only pairs that are still in
-different components are compared, so no link between components is lost.
+copies without listing their pairs.  Whoever is then outside the largest
+component of its family (what shared bands connect) is compared with all of
+the family, so no link between components is lost.
 
 Defined results: a null or blank text has an empty set, is linked with nothing
 and is its own component; a text with fewer words than a shingle is one
@@ -22,6 +23,7 @@ results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EDGES = np.arange(T, dtype=np.uint64) << np.uint64(57)
 _BIN = np.uint64(127 << 57)
-#: Star rounds before the pairs that are left are listed.
-STAR_ROUNDS = 3
+#: Members of a family that a task compares with its leftovers.
+TILE = 1024
 
 
 def sketch(a: np.ndarray) -> np.ndarray:
@@ -149,11 +151,94 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _buckets(members: DataFrame, order: Column | None = None) -> DataFrame:
-    """The members of buckets with two or more of them, each with the bucket's centre."""
-    first = F.min("rep") if order is None else F.min(F.struct(order.alias("o"), F.col("rep").alias("r")))["r"]
-    by = members.groupBy("key").agg(F.count("*").alias("n"), first.alias("centre")).where("n > 1")
-    return members.join(by, "key")
+def _buckets(spread: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rep, key of the buckets with two or more members, and the pairs of each member with its bucket's centre.
+
+    The centre is the member whose buckets are the largest in sum: in a group
+    of copies the one that most others are near to.
+    """
+    by = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.table(spread.join(by, "key"), "buckets")
+    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("minus")).alias("o"))
+    centre = ranked.groupBy("key").agg((-F.max("o")["minus"]).alias("centre"))
+    pairs = members.join(centre, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    return members, scratch.table(pairs, "pairs")
+
+
+def common_bands(percent: int, chance: float = 1e-7) -> int:
+    """Bands that two sets at the threshold share but for the given chance."""
+    p, total, m = (percent / 100) ** (T // BANDS), 0.0, 0
+    while True:
+        total += comb(BANDS, m) * p**m * (1 - p) ** (BANDS - m)
+        if total > chance:
+            return max(1, m)
+        m += 1
+
+
+def _overlap(p: np.ndarray, q: np.ndarray) -> int:
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum())
+
+
+def _join_rest(table: pa.Table, percent: int, least: int) -> pa.Table:
+    """Links between leftover members and the others of one tile, none inside a component that is known."""
+    comp = table["c"].to_pylist()
+    ids = table["v"].to_pylist()
+    left = np.flatnonzero(np.asarray(table["is_left"]))
+    other = np.flatnonzero(~np.asarray(table["is_left"]))
+    sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+    b = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    out: list[tuple[int, int]] = []
+    b_other, s_other = b[other], sizes[other]
+    for x in left.tolist():
+        share = (b_other == b[x]).sum(1)
+        fits = (share >= least) & (100 * np.minimum(s_other, sizes[x]) >= percent * np.maximum(s_other, sizes[x]))
+        at = np.flatnonzero(fits)
+        for k in at[np.argsort(-share[at], kind="stable")].tolist():
+            y = int(other[k])
+            if ids[x] == ids[y] or find(comp[x]) == find(comp[y]):
+                continue
+            n = _overlap(sets[x], sets[y])
+            if 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
+                out.append((ids[x], ids[y]))
+                root[find(comp[x])] = find(comp[y])
+    cols = list(zip(*out, strict=True)) or [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
+def _rest(families: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that stars have not found.
+
+    Inside a family, whatever is connected by shared bands, everybody outside
+    its largest component is compared with all others, tile by tile: members
+    are dealt to tiles of about TILE and the leftovers are sent to each.
+    """
+    fam = families.select("v", F.col("c").alias("family")).join(labels, "v", "left").select("v", "family", F.coalesce("c", "v").alias("c"))
+    fam = scratch.table(fam, "families")
+    per = fam.groupBy("family", "c").agg(F.count("*").alias("m"))
+    per = per.groupBy("family").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    live = fam.join(per.drop("parts"), "family")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    full = live.join(reps.select(F.col("rep").alias("v"), "bands"), "v").join(sets.select(F.col("doc").alias("v"), "hashes"), "v")
+    full = full.select("family", "v", "c", "main", tiles.alias("tiles"), "bands", "hashes")
+    full = scratch.table(full, "family-sets")
+    own = full.select("family", F.pmod(F.xxhash64("v"), F.col("tiles").cast("long")).cast("int").alias("tile"), F.lit(False).alias("is_left"), "v", "c", "bands", "hashes")
+    sent = full.where("c <> main").select("family", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("is_left"), "v", "c", "bands", "hashes")
+    least = common_bands(percent)
+    return own.unionByName(sent).groupBy("family", "tile").applyInArrow(lambda t: _join_rest(t, percent, least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
@@ -161,44 +246,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
     sk = scratch.table(sketches(docs, n), "sketches")
     named = sk.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.table(named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "sets")
-    spread = reps.select("rep", F.explode("bands").alias("key"))
-    members = scratch.table(_buckets(spread), "buckets")
+    members, pairs = _buckets(reps.select("rep", F.explode("bands").alias("key")))
     sets = scratch.table(full_sets(docs, members.select(F.col("rep").alias("doc")).distinct(), n), "full-sets")
-    pairs = scratch.table(members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     links = scratch.table(confirm(pairs, sets, percent), "confirmed")
-    labels = components(links)
-    tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # buckets of two are settled; in larger ones only members of different components are left
-    open_ = members.where("n > 2").select("key", "rep")
-    for k in range(STAR_ROUNDS + 1):
-        comp = open_.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-        comp = scratch.table(comp, "open")
-        per = comp.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("parts"))
-        per = scratch.table(per.where("parts > 1"), "open-sizes")
-        left, rows = per.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not left:
-            break
-        live = comp.join(per.select("key"), "key", "left_semi")
-        if k < STAR_ROUNDS and left > 16 * rows:
-            # again stars, each time about other centres
-            star = _buckets(live.select("key", "rep", "c"), F.xxhash64(F.lit(k), "rep"))
-            centre = labels.select(F.col("v").alias("centre"), F.col("c").alias("cc"))
-            more = star.join(centre, "centre", "left").where(F.col("c") != F.coalesce("cc", "centre"))
-            more = more.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-        else:
-            other = live.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            more = live.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(other, "key")
-            more = more.where("a > b and ca <> cb").select("a", "b").distinct()
-            k = STAR_ROUNDS
-        more = scratch.table(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = scratch.table(confirm(more, sets, percent), "confirmed")
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            labels = components(links)
-        if k == STAR_ROUNDS:
-            break
-        tested = tested.unionByName(more)
-        open_ = live.select("key", "rep")
+    more = scratch.table(_rest(components(pairs), components(links), reps, sets, percent), "confirmed")
+    labels = components(links.unionByName(more))
     whole = sk.join(reps.select("k1", "k2", "n_shingles", "rep"), ["k1", "k2", "n_shingles"], "left")
     whole = whole.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "rep"))
