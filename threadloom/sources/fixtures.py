@@ -65,7 +65,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def blend(parts: list[tuple[Column | float, Column]]) -> Column:
-    scaled = [F.transform(v, lambda x, w=w: x * w) for w, v in parts]
+    def scale(w: Column | float, v: Column) -> Column:
+        return F.transform(v, lambda x: x * w)
+
+    scaled = [scale(w, v) for w, v in parts]
     return unit(reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), scaled))
 
 
