@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, knn, mixing, neardup, pii, scratch, tokencount
+from . import chat, decontam, knn, mixing, neardup, pii, quality, scratch, tokencount
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scratch.load(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.classify(docs, scratch.load(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(scratch.load(spark, sf_dir, "documents", "doc_id", "text", "source"))
     by = mixed.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
@@ -55,6 +60,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_join": op1_knn_join,
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
     "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
