@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, knn, mixing, neardup, pii, quality, scratch, tokencount
+from . import chat, decontam, knn, mixing, neardup, pii, quality, scratch, substrings, tokencount
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,6 +57,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(scratch.load(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_repeats(scratch.load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_join": op1_knn_join,
     "op2_token_counts": op2_token_counts,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 ORACLES: dict[str, str] = {}
