@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, knn, mixing, neardup, pii, quality, scratch, substrings, tokencount
+from . import chat, decontam, hpylm, knn, mixing, neardup, pii, quality, scratch, substrings, tokencount
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.drop("row")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(scratch.load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(scratch.load(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language_model": op5_language_model,
     "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
