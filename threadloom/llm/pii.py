@@ -143,8 +143,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The documents, each span replaced by its kind in angle brackets; rows and columns stay as they are."""
+    # the other columns travel as one, so that none of their names can meet one of ours
     other = [c for c in columns if c != "text"]
-    found = find(docs.withColumn("pii_null", F.col("text").isNull()), tuple([*other, "pii_null"]))
+    whole = docs.select(F.struct(*other).alias("row"), F.lit(None).cast("long").alias("doc_id"), "text", F.col("text").isNull().alias("pii_null"))
+    found = find(whole, ("row", "pii_null"))
     # spans of two kinds may overlap: the first one wins, by start and then by length
     every = F.array_sort(F.transform(F.concat(*[F.col(f"pii_{k}") for k in PATTERNS]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("till"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -155,8 +157,8 @@ def redact(docs: DataFrame, columns: list[str]) -> DataFrame:
         return F.when(s["start"] < a["at"], a).otherwise(new)
 
     cut = F.aggregate(F.col("pii_all"), zero, walk)
-    df = found.select(*other, "text", "pii_null", every.alias("pii_all"))
-    df = df.select(*other, "text", "pii_null", cut.alias("pii_cut"))
+    df = found.select("row", "text", "pii_null", every.alias("pii_all"))
+    df = df.select("row", "text", "pii_null", cut.alias("pii_cut"))
     rest = F.concat(F.array_join("pii_cut.out", ""), F.substr(F.col("text"), (F.col("pii_cut.at") + 1).cast("int")))
     text = F.when(F.col("pii_null"), None).when(F.size("pii_cut.out") == 0, F.col("text")).otherwise(rest)
-    return df.withColumn("text", text).select(*columns)
+    return df.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
