@@ -8,6 +8,7 @@ machine), a folder of our own is set once.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table made by ``table`` that nothing will read again, and let go of shuffles that nothing refers to."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    ours = _written.get(spark.sparkContext.applicationId, [])
+    files = df.inputFiles()
+    for path in [p for p in ours if files and p.rsplit("/", 1)[-1] in files[0]]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        ours.remove(path)
+    gc.collect()
+    jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables this application has written.  Call it once their readers are done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -218,12 +218,15 @@ def _by_hashes(hot: DataFrame) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """k, lo, hi: ranges of places at which a repeated string of LENGTH bytes starts."""
     found = scratch.table(all_marks(docs), "marks")
-    each = found.groupBy("mark", "around").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first"))
-    each = scratch.table(each, "surroundings")
-    again = each.groupBy("mark").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    each = each.join(again, "mark").where("n > 1 or kinds > 1")
-    j = found.join(each, ["mark", "around"])
+    again = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # marks that occur once, nearly all of them, go before anything else is done
+    twice = scratch.table(found.join(again, "mark"), "marks-again")
+    scratch.drop(found)
+    each = twice.groupBy("mark", "around").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first"))
+    kinds = each.groupBy("mark").agg(F.count("*").alias("kinds"))
+    j = twice.join(each.join(kinds, "mark"), ["mark", "around"])
     j = scratch.table(j.select("k", "pos", "mark", "n", "kinds", (F.struct("k", "pos") == F.col("first")).alias("leads")), "repeated-marks")
+    scratch.drop(twice)
     # all windows around a mark whose surroundings occur again; the text's end is not known here and is cut off later
     settled = j.where("n > 1").select("k", F.greatest(F.lit(0), F.col("pos") - (SPAN - 1)).alias("lo"), F.col("pos").alias("hi"))
     asked = j.where("leads and kinds > 1").select("k", "pos", "mark", (F.col("n") == 1).alias("need"), (F.col("kinds") > MOST).alias("hot"))
