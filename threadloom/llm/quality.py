@@ -15,7 +15,7 @@ and hardly occur in others; one of them is enough, however long the rest is.
 Defined results: a null or blank text gets no vote against it, scores the
 prior and is kept; very long texts are scored whole; repeated rows get equal
 results; without a label table, or with an empty one, nothing is toxic; an
-empty table gives an empty result; other columns pass through ``decide``.
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -67,9 +67,3 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
-
-def narrow_parts(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input with fewer partitions than the cluster has cores."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
