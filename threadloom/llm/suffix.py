@@ -83,7 +83,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, keys: int) -> np.
     starts.deal(lms, t[lms])
     queues, larger = Queues(keys), [[] for _ in range(keys)]
     n = len(t)
-    queues.push(int(t[-1]), np.array([n - 1], np.int64))
+    queues.push(int(t[-1]), np.array([n - 1], lms.dtype))
 
     def before(p: np.ndarray, want: bool) -> np.ndarray:
         q = p[p > 0] - 1
@@ -109,7 +109,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, keys: int) -> np.
             own = t[q] == c
             queues.deal(q[~own], t[q[~own]])
             wave = [q[own]] if own.any() else []
-        back = np.concatenate(larger[c])[::-1] if larger[c] else np.zeros(0, np.int64)
+        back = np.concatenate(larger[c])[::-1] if larger[c] else np.zeros(0, lms.dtype)
         q = before(back, True)
         own = t[q] == c
         # a smaller suffix of this character stands behind all larger ones, so none is induced here
@@ -118,31 +118,41 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, keys: int) -> np.
     return np.concatenate(parts)[::-1]
 
 
-def _rank(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling the length that is compared."""
+def _rank(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a string of names by their first ``depth`` names, doubling the length compared.
+
+    A rank is the place at which the suffixes that are still alike begin; only
+    those are sorted again.
+    """
     n, k = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        fresh = np.append(False, key[order][1:] != key[order][:-1])
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(fresh)
-        if new.max(initial=0) == n - 1:
-            return order
-        rank, k = new, 2 * k
-
-
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes of a byte string in their order."""
+    order = np.argsort(names)
+    fresh = np.append(True, names[order][1:] != names[order][:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    alone = fresh & np.append(fresh[1:], True)
+    live = order[~alone]
+    while len(live) and k < depth:
+        ahead = live + k
+        key = rank[live] * (n + 2) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        live, key = live[by], key[by]
+        at, r = np.arange(len(live)), rank[live]
+        group = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), at, 0))
+        fresh = np.append(True, key[1:] != key[:-1])
+        rank[live] = r + np.maximum.accumulate(np.where(fresh, at, 0)) - group
+        live = live[~(fresh & np.append(fresh[1:], True))]
+        k *= 2
+    return np.argsort(rank)
+
+
+def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions of the suffixes of a byte string in their order; suffixes alike in ``depth`` bytes come in any."""
     n = len(t)
     if n < 2:
         return np.arange(n)
-    t = t.astype(np.int64)
     small = _types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    # bytes as keys are dealt by counting, and short positions halve what is moved
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     if len(lms) > 1:
         order = _induce(t, small, lms, 256)
         is_lms = np.zeros(n, np.bool_)
@@ -162,5 +172,6 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         fresh = np.append(False, (piece[1:] != piece[:-1]) | (length[by][1:] != length[by][:-1]))
         name = np.zeros(n, np.int64)
         name[by] = np.cumsum(fresh)
-        lms = lms[_rank(name[lms])] if fresh.sum() < len(by) - 1 else by
+        # successive pieces begin two bytes apart at least
+        lms = lms[_rank(name[lms], n if depth is None else depth // 2 + 1)] if fresh.sum() < len(by) - 1 else by
     return _induce(t, small, lms, 256)
