@@ -3,8 +3,8 @@
 A string of LENGTH bytes that occurs twice holds, at the same place in both,
 the least of its ANCHOR-byte pieces by hash.  So every document marks the
 pieces that are least in some window, and only around marks whose hash occurs
-again is there anything to look for.  The surroundings of a mark hold every
-window in which it can be the least piece.
+again is there anything to look for.  The surroundings of a mark are
+what the windows cover in which it is the least.
 
 Marks with equal surroundings settle each other: all their windows are
 repeated, and one of them stands for all.  Where a mark has several different
@@ -74,10 +74,15 @@ def _sliding(x: np.ndarray, w: int, f: np.ufunc, pad: np.uint64) -> np.ndarray:
     return f(back[: n - w + 1], fore[w - 1 : n])
 
 
-def marks(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the pieces that are least in some window inside a document; ``ends`` are the documents' ends."""
+def marks(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position and hash of each mark, and its first and last window.
+
+    Every window inside a document, whose ends ``ends`` are, belongs to its
+    least piece, the leftmost one on a tie.  A mark's windows lie side by side.
+    """
+    nothing = np.zeros(0, np.int64)
     if len(t) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return nothing, nothing.astype(np.uint64), nothing, nothing
     h = piece_hashes(t, ANCHOR)
     least = _sliding(h, SPAN, np.minimum, _TOP)
     begins = np.append(0, ends[:-1])
@@ -87,7 +92,21 @@ def marks(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(len(h) + SPAN - 1, np.uint64)
     padded[SPAN - 1 : SPAN - 1 + len(least)] = least
     at = np.flatnonzero(_sliding(padded, SPAN, np.maximum, np.uint64(0)) == h)
-    return at, h[at]
+    mark = h[at]
+    # runs of windows with one least hash; a mark's windows lie in the last such run before it that has its hash
+    start = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    stop = np.append(start[1:], len(least)) - 1
+    run = np.searchsorted(start, at, "right") - 1
+    off = np.flatnonzero(least[start[run]] != mark)
+    while len(off):
+        run[off] -= 1
+        off = off[least[start[run[off]]] != mark[off]]
+    first, last = start[run].copy(), np.minimum(stop[run], at)
+    # of marks in one run each has the windows behind the one before it
+    same = np.flatnonzero(run[1:] == run[:-1]) + 1
+    first[same] = np.maximum(first[same], at[same - 1] + 1)
+    own = first <= last
+    return at[own], mark[own], first[own], last[own]
 
 
 def _key() -> Column:
@@ -96,19 +115,17 @@ def _key() -> Column:
 
 
 def all_marks(docs: DataFrame) -> DataFrame:
-    """k, pos, mark, around (hashes of the piece and of its surroundings) of every marked piece."""
+    """k, lo, hi, mark, around of every mark: its first and last window, hashes of the piece and of all that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slab(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
             ends = np.cumsum([len(b) for b in blobs])
             whole = b"".join(blobs)
-            at, h = marks(np.frombuffer(whole, np.uint8), ends)
+            at, h, lo, hi = marks(np.frombuffer(whole, np.uint8), ends)
             doc = np.searchsorted(ends, at, "right")
-            begin = np.append(0, ends[:-1])[doc]
-            lo, hi = np.maximum(begin, at - SPAN + 1), np.minimum(ends[doc], at + LENGTH)
-            around = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b], p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)), np.uint64, len(at))
-            k = np.array(keys, np.int64)[doc] if len(at) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array((at - begin).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], names=["k", "pos", "mark", "around"])
+            around = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b], p) for a, b, p in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at))
+            k, begin = np.array(keys, np.int64)[doc], np.append(0, ends[:-1])[doc]
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], names=["k", "lo", "hi", "mark", "around"])
 
         for b in batches:
             keys, blobs, n = [], [], 0
@@ -125,24 +142,22 @@ def all_marks(docs: DataFrame) -> DataFrame:
                 yield slab(keys, blobs)
 
     long = docs.where(F.octet_length("text") >= LENGTH).select(_key().alias("k"), F.encode("text", "UTF-8").alias("t"))
-    return long.mapInArrow(run, "k long, pos int, mark long, around long")
+    return long.mapInArrow(run, "k long, lo int, hi int, mark long, around long")
 
 
 def _surroundings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """k, base (where they begin), mark, off, need, hot, bytes of the marks asked for, from their documents."""
+    """k, base (where they begin), mark, need, hot, bytes: what the windows of the marks asked for cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for m in found:
-                    lo, hi = max(0, m["pos"] - SPAN + 1), min(len(t), m["pos"] + LENGTH)
-                    rows.append((k, lo, m["mark"], m["need"], m["hot"], t[lo:hi]))
+                rows += [(k, m["lo"], m["mark"], m["need"], m["hot"], t[m["lo"] : m["hi"] + LENGTH]) for m in found]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["k", "base", "mark", "need", "hot", "bytes"])
 
-    by = asked.groupBy("k").agg(F.collect_set(F.struct("pos", "mark", "need", "hot")).alias("found"))
+    by = asked.groupBy("k").agg(F.collect_set(F.struct("lo", "hi", "mark", "need", "hot")).alias("found"))
     long = docs.where(F.octet_length("text") >= LENGTH).select(_key().alias("k"), "text")
     j = long.join(by, "k").select("k", F.encode("text", "UTF-8").alias("t"), "found")
     return j.mapInArrow(run, "k long, base int, mark long, need boolean, hot boolean, bytes binary")
@@ -161,7 +176,7 @@ def repeated_windows(texts: list[bytes], ident: np.ndarray, base: np.ndarray) ->
     if len(t) < LENGTH:
         return [np.zeros(0, np.int64) for _ in texts]
     begin = np.append(0, np.cumsum(sizes)[:-1])
-    order = suffix_array(t)
+    order = suffix_array(t, LENGTH)
     owner = np.searchsorted(begin, order, "right") - 1
     inside = order - begin[owner]
     whole = inside + LENGTH <= sizes[owner]
@@ -222,14 +237,14 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     # marks that occur once, nearly all of them, go before anything else is done
     twice = scratch.table(found.join(again, "mark"), "marks-again")
     scratch.drop(found)
-    each = twice.groupBy("mark", "around").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first"))
+    each = twice.groupBy("mark", "around").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo")).alias("first"))
     kinds = each.groupBy("mark").agg(F.count("*").alias("kinds"))
     j = twice.join(each.join(kinds, "mark"), ["mark", "around"])
-    j = scratch.table(j.select("k", "pos", "mark", "n", "kinds", (F.struct("k", "pos") == F.col("first")).alias("leads")), "repeated-marks")
+    j = scratch.table(j.select("k", "lo", "hi", "mark", "n", "kinds", (F.struct("k", "lo") == F.col("first")).alias("leads")), "repeated-marks")
     scratch.drop(twice)
-    # all windows around a mark whose surroundings occur again; the text's end is not known here and is cut off later
-    settled = j.where("n > 1").select("k", F.greatest(F.lit(0), F.col("pos") - (SPAN - 1)).alias("lo"), F.col("pos").alias("hi"))
-    asked = j.where("leads and kinds > 1").select("k", "pos", "mark", (F.col("n") == 1).alias("need"), (F.col("kinds") > MOST).alias("hot"))
+    # all windows of a mark whose surroundings occur again
+    settled = j.where("n > 1").select("k", "lo", "hi")
+    asked = j.where("leads and kinds > 1").select("k", "lo", "hi", "mark", (F.col("n") == 1).alias("need"), (F.col("kinds") > MOST).alias("hot"))
     around = scratch.table(_surroundings(docs, asked), "shard-input")
     size = around.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(64, -(-size // SHARD))
@@ -247,7 +262,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 out, last, gone, runs = [], 0, 0, 0
                 if lo:
                     a = np.array(lo, np.int64)
-                    e = np.minimum(np.array(hi, np.int64), len(t) - LENGTH) + LENGTH
+                    e = np.array(hi, np.int64) + LENGTH
                     by = np.argsort(a, kind="stable")
                     a, e = a[by], np.maximum.accumulate(e[by])
                     cut = np.flatnonzero(a[1:] > e[:-1]) + 1
