@@ -115,7 +115,11 @@ def _key() -> Column:
 
 
 def all_marks(docs: DataFrame) -> DataFrame:
-    """k, lo, hi, mark, around of every mark: its first and last window, hashes of the piece and of all that its windows cover."""
+    """k, lo, hi, mark, around, c, places: first and last window of a mark, hashes of the piece and of all that its windows cover.
+
+    Marks of one document with equal surroundings, as in text of one period,
+    are one row: c counts them and ``places`` has the ranges of their windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slab(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -124,8 +128,21 @@ def all_marks(docs: DataFrame) -> DataFrame:
             at, h, lo, hi = marks(np.frombuffer(whole, np.uint8), ends)
             doc = np.searchsorted(ends, at, "right")
             around = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b], p) for a, b, p in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at))
-            k, begin = np.array(keys, np.int64)[doc], np.append(0, ends[:-1])[doc]
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], names=["k", "lo", "hi", "mark", "around"])
+            begin = np.append(0, ends[:-1])[doc]
+            lo, hi = lo - begin, hi - begin
+            by = np.lexsort((lo, around, h, doc))
+            new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (h[by][1:] != h[by][:-1]) | (around[by][1:] != around[by][:-1])) if len(by) else np.zeros(0, np.bool_)
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, len(by)))
+            places: list[list[dict] | None] = [None] * len(head)
+            for i in np.flatnonzero(count > 1).tolist():
+                m = by[head[i] : head[i] + count[i]]
+                cut = np.flatnonzero(lo[m][1:] > hi[m][:-1] + 1) + 1
+                places[i] = [{"lo": a, "hi": b} for a, b in zip(lo[m][np.append(0, cut)].tolist(), hi[m][np.append(cut - 1, len(m) - 1)].tolist(), strict=True)]
+            one = by[head]
+            cols = [np.array(keys, np.int64)[doc[one]], lo[one].astype(np.int32), hi[one].astype(np.int32), h[one].view(np.int64), around[one].view(np.int64), count.astype(np.int32)]
+            ranges = pa.array(places, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), ranges], names=["k", "lo", "hi", "mark", "around", "c", "places"])
 
         for b in batches:
             keys, blobs, n = [], [], 0
@@ -142,7 +159,7 @@ def all_marks(docs: DataFrame) -> DataFrame:
                 yield slab(keys, blobs)
 
     long = docs.where(F.octet_length("text") >= LENGTH).select(_key().alias("k"), F.encode("text", "UTF-8").alias("t"))
-    return long.mapInArrow(run, "k long, lo int, hi int, mark long, around long")
+    return long.mapInArrow(run, "k long, lo int, hi int, mark long, around long, c int, places array<struct<lo:int,hi:int>>")
 
 
 def _surroundings(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -233,17 +250,17 @@ def _by_hashes(hot: DataFrame) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """k, lo, hi: ranges of places at which a repeated string of LENGTH bytes starts."""
     found = scratch.table(all_marks(docs), "marks")
-    again = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    again = found.groupBy("mark").agg(F.sum("c").alias("n")).where("n > 1").select("mark")
     # marks that occur once, nearly all of them, go before anything else is done
     twice = scratch.table(found.join(again, "mark"), "marks-again")
     scratch.drop(found)
-    each = twice.groupBy("mark", "around").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo")).alias("first"))
+    each = twice.groupBy("mark", "around").agg(F.sum("c").alias("n"), F.min(F.struct("k", "lo")).alias("first"))
     kinds = each.groupBy("mark").agg(F.count("*").alias("kinds"))
     j = twice.join(each.join(kinds, "mark"), ["mark", "around"])
-    j = scratch.table(j.select("k", "lo", "hi", "mark", "n", "kinds", (F.struct("k", "lo") == F.col("first")).alias("leads")), "repeated-marks")
+    j = scratch.table(j.select("k", "lo", "hi", "places", "mark", "n", "kinds", (F.struct("k", "lo") == F.col("first")).alias("leads")), "repeated-marks")
     scratch.drop(twice)
     # all windows of a mark whose surroundings occur again
-    settled = j.where("n > 1").select("k", "lo", "hi")
+    settled = j.where("n > 1").select("k", F.explode(F.coalesce("places", F.array(F.struct("lo", "hi")))).alias("r")).select("k", "r.lo", "r.hi")
     asked = j.where("leads and kinds > 1").select("k", "lo", "hi", "mark", (F.col("n") == 1).alias("need"), (F.col("kinds") > MOST).alias("hot"))
     around = scratch.table(_surroundings(docs, asked), "shard-input")
     size = around.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
