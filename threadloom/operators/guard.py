@@ -73,7 +73,7 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def admissions(t: DataFrame) -> DataFrame:
     """turn, actor_key, risk, reasons and identity of each user message."""
-    return t.select("turn", actor_key().alias("actor_key"), scope_key(F.lit("")).alias("scope_key"), "source", "user_id", "nickname", F.unix_timestamp("event_ts").alias("ts"), risk(F.col("user_input")).alias("risk"), risk_reasons(trim(F.col("user_input"))).alias("reasons"))
+    return t.select("turn", actor_key().alias("actor_key"), scope_key(F.lit("")).alias("scope_key"), "source", "user_id", "nickname", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("event_ts")).alias("ts"), risk(F.col("user_input")).alias("risk"), risk_reasons(trim(F.col("user_input"))).alias("reasons"))
 
 
 class Credit:

@@ -94,7 +94,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         "turn", "conv_id", "conv_turn", F.lit("bilibili").alias("source"), F.concat(F.lit("room"), F.col("conv_id") % 3 + 1).alias("room_id"), F.concat(F.lit("u"), F.col("conv_id")).alias("user_id"),
         F.lit("").alias("nickname"), "user_input", F.coalesce("reply", F.lit("")).alias("assistant_text"), "topic",
-        F.timestamp_add("MINUTE", F.col("turn").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("event_ts"), vec.alias("vec"),
+        F.timestamp_add("MINUTE", F.col("turn").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("event_ts"), vec.alias("vec"),
     )
 
 
