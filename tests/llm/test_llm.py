@@ -415,6 +415,21 @@ def test_leaks_are_found_at_any_allowed_distance(spark):
         assert x.distance == edits(item, text) and edits(item, text[x.start : x.end]) == x.distance
 
 
+def test_leaks_are_found_at_both_ends_of_a_document(spark):
+    """Items whose first or last words are missing, as first or last words of a document and as all of it."""
+    items = [(i, words(n, 300 + n + i)) for n in (10, 30, 60) for i in range(100 * n, 100 * n + 10)]
+    docs, want = [], {}
+    for i, t in items:
+        w = t.split()
+        for e in range(1, decontam.allowed(len(w), 0.8) + 1):
+            for text in (f"{' '.join(w[e:])} {words(30, e + i)}", " ".join(w[e:]), " ".join(w[:-e]), f"{words(30, e + i)} {' '.join(w[:-e])}"):
+                want[len(docs), i] = e
+                docs.append((len(docs), text, None))
+    found = decontam.leaks(frame(spark, docs).coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.distance for x in found} == want
+    assert all(0 <= x.start < x.end <= len(docs[x.doc_id][1].split()) for x in found)
+
+
 def test_leak_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, words(120, 1)), (4, words(120, 1))], "item_id long, text string").withColumn("start", F.lit(1))
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(edge, items).collect()}

@@ -1,14 +1,10 @@
-"""Benchmark decontamination by CGK embeddings, bit-sampling LSH and edit verification.
+"""Benchmark decontamination by runs of words and edit verification.
 
-Edit distance counts words.  A CGK walk reads a window with one pointer that a
-random function of (step, word) moves on or keeps; two windows a few edits
-apart soon walk in step again, so their walks differ in few places.  Sampling a
-few steps of several walks gives hash keys under which an item and a window of
-its size meet.  Every meeting is verified by the edit distance itself.
-
-A window within the allowed distance k of an item of n words shares a run of
-``ceil((n - k) / (k + 1))`` words with it, whatever the edits; windows without
-such a run of some item near them are skipped, which loses nothing.
+Edit distance counts words.  A window within the allowed distance k of an item
+of n words shares a run of ``ceil((n - k) / (k + 1))`` words with it, whatever
+the edits.  Places of a document with enough such runs of one item near each
+other are all verified by the edit distance itself, inside the document the
+runs lie in, so nothing is lost at any length and anywhere in a document.
 
 Defined results: a null or blank text and a null or blank item match nothing; an
 item is compared by its words without case and outer punctuation; repeated
@@ -27,12 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Memo, mix, windows_hash, word_hashes
+from .words import Memo, windows_hash, word_hashes
 
 #: Items held by a task at once; more items take more passes over the documents.
 ITEM_BLOCK = 5_000
-#: Walks, and steps sampled of each walk for its key.
-WALKS, SAMPLED = 24, 2
 _OUTER = ".,;:!?\"'()[]{}<>…«»„“”‘’`*#%$&|-–—_/\\"
 
 
@@ -74,32 +68,51 @@ def best_place(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int,
     return (int(row[end]), int(start[end]), end) if row[end] <= most else None
 
 
+def bits(item: np.ndarray) -> dict[int, int]:
+    """For each word of an item the places where it stands, as bits of a number."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def within(places: dict[int, int], n: int, text: list[int], most: int) -> bool:
+    """Whether a substring of ``text`` is within ``most`` edits of the item of n words: columns of the table as bits of numbers."""
+    mask, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = mask, 0, n
+    for w in text:
+        eq = places.get(w, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (mask & ~(h | up)), up & h
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+            if score <= most:
+                return True
+        more, less = more << 1, less << 1
+        up, down = (less | ~(x | more)) & mask, more & x & mask
+    return score <= most
+
+
 class _Items:
-    """The benchmark items of one block, their runs and their LSH tables."""
+    """The benchmark items of one block and their runs."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, seed: int):
+    def __init__(self, items: list[tuple[int, str]], similarity: float):
         memo = Memo(_norm_hash)
-        self.ids, self.words, self.most, self.similarity = [], [], [], similarity
+        self.ids, self.words, self.most = [], [], []
         for item_id, text in items:
             h = _hashes(text, memo)
             if len(h):
                 self.ids.append(item_id)
                 self.words.append(h)
                 self.most.append(allowed(len(h), similarity))
-        rng = np.random.default_rng(seed)
-        self.coin = rng.integers(1, 2**63, WALKS, np.uint64)
-        self.lengths = sorted({len(w) for w in self.words})
-        # a sampled step lies in the first two thirds of the walk, where the pointer is inside the window
-        self.steps = {n: np.sort(rng.integers(0, max(1, 2 * n), (WALKS, SAMPLED)), axis=1) for n in self.lengths}
-        self.tables: dict[int, list[dict[int, list[int]]]] = {n: [{} for _ in range(WALKS)] for n in self.lengths}
+        self.places = [bits(w) for w in self.words]
         rows: dict[int, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(self.words):
-            n = len(w)
-            g = run_length(n, self.most[i])
+            g = run_length(len(w), self.most[i])
             rows.setdefault(g, []).extend((h, i, o) for o, h in enumerate(windows_hash(w, g).tolist()))
-            for walk, key in enumerate(self.keys(w, np.zeros(1, np.int64), n)):
-                self.tables[n][walk].setdefault(int(key[0]), []).append(i)
-        self.sorted_keys = {n: [np.array(sorted(t), np.uint64) for t in ts] for n, ts in self.tables.items()}
         self.n_words = np.array([len(w) for w in self.words], np.int64)
         self.n_edits = np.array(self.most, np.int64)
         #: for each run length: distinct hashes, where their occurrences begin, and the occurrences' items and offsets
@@ -113,88 +126,62 @@ class _Items:
             self.bits[g] = np.zeros(1 << 20, np.bool_)
             self.bits[g][(u >> np.uint64(44)).astype(np.int64)] = True
 
-    def keys(self, text: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
-        """For each walk the keys of the windows of n words at ``starts``."""
-        steps = self.steps[n]
-        at = np.repeat(starts[None, :], WALKS, axis=0)
-        end = starts + n
-        key = np.zeros(at.shape, np.uint64)
-        last = int(steps.max())
-        for j in range(last + 1):
-            inside = at < end
-            sym = np.where(inside, text[np.minimum(at, len(text) - 1)], np.uint64(0))
-            for hit in (steps == j).T:
-                if hit.any():
-                    key[hit] = mix(key[hit] * np.uint64(31) + sym[hit])
-            if j < last:
-                at += ((mix(sym ^ (self.coin + np.uint64(j))[:, None]) & np.uint64(1)).astype(np.bool_)) & inside
-        return list(key)
-
-    def windows(self, text: np.ndarray) -> dict[int, np.ndarray]:
-        """By length the starts of the windows that can be near an item.
+    def places_near(self, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Rows of document, item, start and end of the places that can be near an item.
 
         k edits leave n - g + 1 - g k of an item's runs of g words, on
-        diagonals no more than k apart; places with fewer are passed over.
+        diagonals no more than k apart; places with fewer are passed over.  A
+        diagonal belongs to the document of its run and may begin before it.
         """
-        out: dict[int, list[np.ndarray]] = {}
+        out = [np.zeros((0, 4), np.int64)]
         for g, (u, first, items, offsets) in self.runs.items():
             if len(text) < g:
                 continue
             h = windows_hash(text, g)
             pos = np.flatnonzero(self.bits[g][(h >> np.uint64(44)).astype(np.int64)])
             at = np.minimum(np.searchsorted(u, h[pos]), len(u) - 1)
-            real = u[at] == h[pos]
-            pos, at = pos[real], at[real]
+            doc = np.searchsorted(begin, pos, "right") - 1
+            real = (u[at] == h[pos]) & (pos + g <= begin[doc + 1])
+            pos, at, doc = pos[real], at[real], doc[real]
             count = first[at + 1] - first[at]
             if not len(pos):
                 continue
-            pos = np.repeat(pos, count)
+            pos, doc = np.repeat(pos, count), np.repeat(doc, count)
             occ = np.repeat(first[at] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
             item = items[occ]
-            k, n = self.n_edits[item], self.n_words[item]
-            key = (item << np.int64(40)) + (pos - offsets[occ]) + (1 << 20)
+            # documents are moved apart, so that diagonals of two are never near each other
+            wide = 2 * int(self.n_words.max())
+            key = (item << np.int64(44)) + (pos - offsets[occ]) + (doc + 1) * wide
             order = np.argsort(key, kind="stable")
-            key, item, k, n = key[order], item[order], k[order], n[order]
+            key, item, doc = key[order], item[order], doc[order]
+            k, n = self.n_edits[item], self.n_words[item]
             near = np.searchsorted(key, key + k, "right") - np.arange(len(key))
             ok = near >= np.maximum(1, n - g + 1 - g * k)
-            diag = (key & np.int64((1 << 40) - 1)) - (1 << 20)
-            for length in np.unique(n[ok]).tolist():
-                most = int(allowed(length, self.similarity))
-                d = np.unique(diag[ok & (n == length)])
-                starts = (d[:, None] + np.arange(-most, 2 * most + 1)[None, :]).ravel()
-                out.setdefault(length, []).append(np.unique(starts[(starts >= 0) & (starts < len(text))]))
-        return {n: np.unique(np.concatenate(x)) for n, x in out.items()}
+            key, item, doc, k, n = key[ok], item[ok], doc[ok], k[ok], n[ok]
+            d = (key & np.int64((1 << 44) - 1)) - (doc + 1) * wide
+            out.append(np.stack([doc, item, np.maximum(begin[doc], d - k), np.minimum(begin[doc + 1], d + n + 2 * k)], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of each item's best place in each text."""
-        begin = np.append(0, np.cumsum([len(t) for t in texts]))
+        begin = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
         text = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-        spans: dict[tuple[int, int], set[int]] = {}
-        for n, starts in self.windows(text).items():
-            for lo in range(0, len(starts), 16384):
-                part = starts[lo : lo + 16384]
-                doc = np.searchsorted(begin, part, "right") - 1
-                for walk, keys in enumerate(self.keys(text, part, n)):
-                    known, table = self.sorted_keys[n][walk], self.tables[n][walk]
-                    hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-                    for j in np.flatnonzero(hit).tolist():
-                        for i in table[int(keys[j])]:
-                            spans.setdefault((int(doc[j]), i), set()).add(int(part[j]))
+        # places that overlap are verified together
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        for doc, i, a, b in self.places_near(text, begin).tolist():
+            found = spans.setdefault((doc, i), [])
+            if found and a <= found[-1][1]:
+                found[-1][1] = max(b, found[-1][1])
+            else:
+                found.append([a, b])
         out = []
         for (doc, i), found in sorted(spans.items()):
-            n, k, left, right = len(self.words[i]), self.most[i], int(begin[doc]), int(begin[doc + 1])
-            starts, best, lo = sorted(found), None, 0
-            while lo < len(starts):
-                # neighbouring windows are verified together
-                hi = lo
-                while hi + 1 < len(starts) and starts[hi + 1] - starts[hi] <= n:
-                    hi += 1
-                a, b = max(left, starts[lo] - k), min(right, starts[hi] + n + k)
-                if place := best_place(self.words[i], text[a:b], k):
+            n, k, left, best = len(self.words[i]), self.most[i], int(begin[doc]), None
+            for a, b in found:
+                if within(self.places[i], n, text[a:b].tolist(), k) and (place := best_place(self.words[i], text[a:b], k)):
                     d, x, y = place
                     if best is None or (d, a - left + x) < best[:2]:
                         best = (d, a - left + x, a - left + y)
-                lo = hi + 1
             if best:
                 out.append((doc, self.ids[i], *best))
         return out
@@ -204,7 +191,7 @@ class _Items:
 SLAB = 400_000
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, seed: int = 11) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, distance, start, end (in words): the best place of each item found in each document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
@@ -212,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, seed:
     for block in range(blocks):
         mine = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
 
-        shared = docs.sparkSession.sparkContext.broadcast(_Items(mine, similarity, seed))
+        shared = docs.sparkSession.sparkContext.broadcast(_Items(mine, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table, memo = shared.value, Memo(_norm_hash)
