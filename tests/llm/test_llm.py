@@ -430,6 +430,21 @@ def test_leaks_are_found_at_both_ends_of_a_document(spark):
     assert all(0 <= x.start < x.end <= len(docs[x.doc_id][1].split()) for x in found)
 
 
+@pytest.mark.parametrize("n", [100, 200, 300])
+def test_long_leaks_are_found_at_the_largest_distance(spark, n):
+    """Substitutions, insertions or deletions only, as many as are allowed."""
+    r, items, docs, want = random.Random(n), [(i, words(n, 1_000 + n + i)) for i in range(10)], [], set()
+    for i, t in items:
+        for kind in range(3):
+            v = t.split()
+            for p in sorted(r.sample(range(n), decontam.allowed(n, 0.8)), reverse=True):
+                v[p : p + 1] = (["changed"], [v[p], "added"], [])[kind]
+            want.add((len(docs), i))
+            docs.append((len(docs), f"{words(30, i)} {' '.join(v)} {words(30, 50 + i)}", None))
+    found = decontam.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want and all(x.distance <= n // 5 for x in found)
+
+
 def test_leak_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, words(120, 1)), (4, words(120, 1))], "item_id long, text string").withColumn("start", F.lit(1))
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(edge, items).collect()}
