@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Stages that take documents away are plain filters on doc_id, which join on the
-identifier and nothing else; the columns of documents pass through unchanged.
+Stages that take documents away decide for each row by itself, so null and
+repeated ids need no care: rows are judged where they stand, or have a number
+of their own while near-duplicates are looked for.  The columns of documents
+pass through unchanged.
 """
 
 from __future__ import annotations
@@ -19,22 +21,23 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, for their quality or as toxic, go."""
-    labels = scratch.load(spark, sf_dir, "labels", "doc_id", "toxic")
-    gone = quality.classify(docs, labels).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return quality.kept(docs, scratch.load(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    gone = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates stays: the one of the least id, nulls last, then by its text."""
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("mark"))
+    numbered = scratch.table(numbered, "numbered")
+    groups = neardup.near_duplicates(numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), percent=80)
+    rows = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(numbered.select("row", F.col("doc.doc_id").alias("doc_id"), "mark"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "row"))
+    stay = rows.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return numbered.join(stay, "row", "left_semi").select([F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or nearly, go."""
-    items = scratch.load(spark, sf_dir, "benchmark", "item_id", "text")
-    gone = decontam.leaks(docs.select("doc_id", "text"), items, similarity=0.8).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return decontam.clean(docs, scratch.load(spark, sf_dir, "benchmark", "item_id", "text"), similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

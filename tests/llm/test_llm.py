@@ -617,6 +617,36 @@ def test_pipeline_stages(spark, data):
     assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "mixture"]
 
 
+def test_pipeline_stages_decide_for_each_row(spark, edge, data, tmp_path):
+    """Null ids, repeated rows, and one id for texts of which only some go."""
+    import corpus_pipeline as cp
+
+    bulk = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    base, copy = words(120, 1), words(120, 1) + " tail"
+    df = edge.unionByName(frame(spark, [(None, base, "a"), (None, copy, "a"), (11, words(80, 5), "a"), (11, copy, "b"), (None, words(90, 6), "a"), (None, None, "a")]))
+    one = cp.near_duplicates(spark, df.repartition(3), data)
+    got = bulk(one)
+    assert one.columns == df.columns and one.where("doc_id is not null").agg(F.min("shard")).first()[0] == "x"
+    want = collections.Counter({(i, t): 1 for i, t in [(1, None), (2, ""), (3, "   \n\t"), (4, "one"), (6, base), (11, words(80, 5)), (None, words(90, 6)), (None, None)]})
+    assert {k: n for k, n in got.items() if k[0] not in (8, 9, 10)} == want and sum(got.values()) == len(want) + 3
+
+    spark.createDataFrame([(1, base), (2, words(90, 6))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = cp.decontamination(spark, df, str(tmp_path))
+    assert left.columns == df.columns
+    assert bulk(left) == collections.Counter({k: n for k, n in bulk(df).items() if k[1] not in (base, copy, words(90, 6))})
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    toxic = [r.text for r in docs.collect() if r.doc_id in labels and labels[r.doc_id].toxic == 1]
+    clean = [r.text for r in docs.collect() if r.doc_id in labels and labels[r.doc_id].toxic == 0 and labels[r.doc_id].quality == 1]
+    kept, n = bulk(cp.quality_classifier(spark, docs, data)), collections.Counter(bulk(docs))
+    gone = {t for _, t in n - kept}
+    bad, good = [t for t in toxic if t in gone], [t for t in clean if t not in gone]
+    assert bad and good
+    more = spark.createDataFrame([(None, t) for t in bad] + [(-1, bad[0]), (-1, good[0]), (None, good[0]), (None, good[0])], "doc_id long, text string")
+    assert bulk(cp.quality_classifier(spark, docs.unionByName(more), data)) - kept == collections.Counter({(-1, good[0]): 1, (None, good[0]): 2})
+
+
 def test_pipeline_runs(spark, data):
     import corpus_pipeline as cp
 

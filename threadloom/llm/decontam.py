@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,29 +192,55 @@ class _Items:
 SLAB = 400_000
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, item_id, distance, start, end (in words): the best place of each item found in each document."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, similarity: float) -> Iterator[Broadcast]:
+    """The items, block by block, on all executors."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    found = None
     for block in range(blocks):
         mine = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+        yield docs.sparkSession.sparkContext.broadcast(_Items(mine, similarity))
+
 
-        shared = docs.sparkSession.sparkContext.broadcast(_Items(mine, similarity))
+def _found(table: _Items, texts: list[str | None], memo: Memo) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place of the text in the list, item, distance, start, end) for a batch of texts, slab by slab."""
+    held, n, first = [], 0, 0
+    for at, t in enumerate(texts):
+        held.append(_hashes(t, memo))
+        n += len(held[-1])
+        if n > SLAB or at == len(texts) - 1:
+            yield from ((first + m[0], *m[1:]) for m in table.matches(held))
+            held, n, first = [], 0, at + 1
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id, item_id, distance, start, end (in words): the best place of each item found in each document."""
+    found = None
+    for shared in _blocks(docs, benchmark, similarity):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table, memo = shared.value, Memo(_norm_hash)
             for b in batches:
-                ids, texts, held, rows, n = b.column(0).to_pylist(), b.column(1).to_pylist(), [], [], 0
-                for at, t in enumerate(texts):
-                    held.append((ids[at], _hashes(t, memo)))
-                    n += len(held[-1][1])
-                    if n > SLAB or at == len(texts) - 1:
-                        rows += [(held[m[0]][0], *m[1:]) for m in table.matches([h for _, h in held])]
-                        held, n = [], 0
+                ids = b.column(0).to_pylist()
+                rows = [(ids[m[0]], *m[1:]) for m in _found(table, b.column(1).to_pylist(), memo)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "start", "end"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows in which ``leaks`` finds nothing, with all their columns; every row is looked at by itself, whatever its id."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for shared in _blocks(docs, benchmark, similarity):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            table, memo = shared.value, Memo(_norm_hash)
+            for b in batches:
+                good = np.ones(b.num_rows, np.bool_)
+                good[[m[0] for m in _found(table, b.column(at).to_pylist(), memo)]] = False
+                yield b.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

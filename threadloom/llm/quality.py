@@ -27,6 +27,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -264,31 +265,59 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, precision: float = 0.97) -> se
 _MARK = 1e9
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, keep_at: float = 0.5) -> DataFrame:
-    """doc_id, votes, quality (the scorer's chance that it is good), toxic, kept."""
+class _Judge:
+    """The scorer and the toxic features, for the texts of one task."""
+
+    def __init__(self, w: np.ndarray, bias: float, bad: set[int]):
+        def weigh(token: str) -> float:
+            a, s = features(token)
+            return float(w[a] + w[s]) / 2 + (_MARK if bad and not bad.isdisjoint(telling(token)) else 0.0)
+
+        self.memo, self.bias, self.again = Memo(weigh), bias, float(w[REPEAT])
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[float], list[bool]]:
+        """For each text the chance that it is good, and whether it is toxic."""
+        q, x = [], []
+        for t in texts:
+            words = (t or "").split()
+            got = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
+            marks, twice = int(np.count_nonzero(got > _MARK / 2)), repeats(words)
+            z = (float(got.sum()) - marks * _MARK + twice * self.again) / (len(got) + twice) + self.bias if len(got) else 30.0
+            q.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+            x.append(marks > 0)
+        return q, x
+
+
+def _fit(docs: DataFrame, labels: DataFrame | None) -> Broadcast:
+    """What a judge is made of, on all executors."""
     table = scratch.table(vote_table(docs), "votes")
     _, scorer = fit_quality(docs, table)
     toxic = fit_toxic(docs, labels) if labels is not None else set()
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.w, scorer.b, toxic))
+    return docs.sparkSession.sparkContext.broadcast((scorer.w, scorer.b, toxic))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias, bad = shared.value
 
-        def weigh(token: str) -> float:
-            a, s = features(token)
-            return float(w[a] + w[s]) / 2 + (_MARK if bad and not bad.isdisjoint(telling(token)) else 0.0)
+def classify(docs: DataFrame, labels: DataFrame | None = None, keep_at: float = 0.5) -> DataFrame:
+    """doc_id, votes, quality (the scorer's chance that it is good), toxic, kept."""
+    shared = _fit(docs, labels)
 
-        memo = Memo(weigh)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(*shared.value)
         for b in batches:
-            q, x = [], []
-            for t in b.column(1).to_pylist():
-                words = (t or "").split()
-                got = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-                marks, twice = int(np.count_nonzero(got > _MARK / 2)), repeats(words)
-                z = (float(got.sum()) - marks * _MARK + twice * float(w[REPEAT])) / (len(got) + twice) + bias if len(got) else 30.0
-                q.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-                x.append(marks > 0)
+            q, x = judge(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array(x, pa.bool_())], names=["doc_id", "quality", "toxic"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double, toxic boolean")
     return out.withColumn("kept", (F.col("quality") >= keep_at) & ~F.col("toxic"))
+
+
+def kept(docs: DataFrame, labels: DataFrame | None = None, keep_at: float = 0.5) -> DataFrame:
+    """The rows that ``classify`` keeps, with all their columns; every row is judged by itself, whatever its id."""
+    shared, at = _fit(docs.select("doc_id", "text"), labels), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(*shared.value)
+        for b in batches:
+            q, x = judge(b.column(at).to_pylist())
+            yield b.filter(pa.array((np.array(q) >= keep_at) & ~np.array(x, np.bool_)))
+
+    return docs.mapInArrow(run, docs.schema)
