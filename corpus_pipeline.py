@@ -42,14 +42,26 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by the names of their kinds; n_chars follows the text."""
-    out = pii.redact(docs, docs.columns)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else out
+    return _with_length(pii.redact(docs, docs.columns))
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    """The documents with n_chars, where it is known, as their texts are now."""
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else docs
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: one row for each draw of a document, with its shard and its place there."""
-    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source"))
-    return mixed.where("shard is not null").select("doc_id", "source", "size", "source_size", "target", "pass", "words", "shard", "place")
+    """The mix: one row for each draw of a document, its text cut to the words drawn, gathered by shard in the order of its place there.
+
+    n_chars follows the text.  A column of the mix whose name documents have already is called mix_<name>.
+    """
+    mixed = mixing.in_shards(mixing.mix_sources(docs))
+    own = ("size", "source_size", "target", "pass", "words", "shard", "place")
+    out = mixed.select(
+        *[F.col(c) if c in ("doc_id", "text", "source") else F.col("other").getField(c).alias(c) for c in docs.columns],
+        *[F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in own],
+    )
+    return _with_length(out)
 
 
 STAGES = [

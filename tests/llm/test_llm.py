@@ -201,6 +201,37 @@ def test_mix_hits_targets_and_reruns_agree(spark, data, edge, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_writes_the_texts(spark, edge, data, tmp_path):
+    """What the shards hold is the documents, whole or cut behind the last word drawn, in shuffled order, with their columns."""
+    import corpus_pipeline as cp
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    docs = spark.read.parquet(f"{data}/documents.parquet").unionByName(edge.select("doc_id", "text", "lang", "source", "n_chars"))
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id, r.source].append(r)
+    mixed = mixing.mix_sources(docs, block_docs=2, shard_blocks=10)
+    mixing.write_shards(mixed, f"{tmp_path}/shards")
+    got = spark.read.schema(mixed.schema).parquet(f"{tmp_path}/shards").collect()
+    assert len(got) == mixed.where("words > 0").count() and len({r.shard for r in got}) > 5
+    cut = 0
+    for r in got:
+        ends = [m.end() for m in word.finditer(r.text)]
+        whole = [d for d in texts[r.doc_id, r.source] if d.text and d.text.startswith(r.text) and len(word.findall(d.text)) == r.size and (d.lang, d.n_chars) == (r.other.lang, r.other.n_chars)]
+        assert len(ends) == r.words and whole and (r.text == whole[0].text if r.words == r.size else ends[-1] == len(r.text))
+        cut += r.words < r.size
+    assert 0 < cut <= len({r.source for r in got})
+    file = max((tmp_path / "shards").glob("shard=*/*.parquet"), key=lambda f: f.stat().st_size)
+    place = [r.place for r in spark.read.parquet(str(file)).collect()]
+    assert len(place) > 5 and place == sorted(place)
+
+    by = {(r.doc_id, r.size): 0 for r in queries.op4_mix_sources(spark, data).collect()}
+    assert len(by) == spark.read.parquet(f"{data}/documents.parquet").count()
+    last = cp.mixture(spark, edge, data)
+    assert set(edge.columns) <= set(last.columns) and {"mix_shard", "mix_size", "words"} <= set(last.columns)
+    assert all(r.shard == "x" and len(word.findall(r.text)) == r.words > 0 for r in last.collect())
+
+
 def test_mix_uses_no_python_on_executors(edge):
     plan = mixing.mix_sources(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -16,7 +16,8 @@ are shuffled inside the shard.
 Defined results: a null or blank text has size 0 and is never taken; null is a
 source of its own, last in order; repeated rows are separate rows; sources
 whose weight would ask more than ``cap`` passes stop there and the rest is
-shared again; an empty table gives an empty result; other columns are ignored.
+shared again; an empty table gives an empty result; other columns travel as one
+struct, so that none of their names can meet one of ours.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from . import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BITS = 30
+#: Above so many blocks their shards are joined by a shuffle instead of a broadcast, so that texts are shuffled once only below.
+BROADCAST_BLOCKS = 200_000
 #: Above so many sources the table of sources is joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 50_000
 
@@ -41,10 +44,21 @@ def _unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def _other(docs: DataFrame) -> list[Column]:
+    """The columns of documents that mixing doesn't read, as one; none if there are none."""
+    names = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    return [F.struct(*[F.col(f"`{c}`") for c in names]).alias("other")] if names else []
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """One narrow row per document with its size and its place in the seeded order."""
+    """One row per document with its size and its place in the seeded order; text as it is, further columns in ``other``."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.col("text").cast("string").alias("text"), *_other(docs))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), 64 - _BITS)
     return rows.select("*", _skey(F.col("source")).alias("skey"), u.alias("u"), F.shiftright(u, 12).alias("leaf"), F.monotonically_increasing_id().alias("row"))
 
@@ -156,7 +170,8 @@ def _quotas(per: DataFrame, block_docs: int, shard_blocks: int, seed: int) -> tu
     deal = cells.select("skey", "quota", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("slot"))
     # a prime above every quota is coprime to each, so this is a permutation of the instances
     inst = (F.col("slot") * F.lit(2147483647).cast("long") + F.pmod(F.xxhash64(F.lit(seed), "skey"), F.col("quota"))) % F.col("quota")
-    return per, deal.select("skey", inst.alias("inst"), "shard")
+    deal = deal.select("skey", inst.alias("inst"), "shard")
+    return per, F.broadcast(deal) if total <= BROADCAST_BLOCKS else deal
 
 
 def mix_sources(
@@ -164,23 +179,41 @@ def mix_sources(
 ) -> DataFrame:
     """One row for each draw of a document, and one with no shard for a document that isn't drawn.
 
-    row, doc_id, source, size, source_size, target, pass, words, shard, place.
-    ``words`` counts from the document's first word.  Rows of a shard stand in
-    the order of ``place``.
+    row, doc_id, source, size, source_size, target, pass, words, shard, place,
+    text, and other with the further columns if there are any.  ``words`` counts
+    from the document's first word, and ``text`` is cut behind the last of them;
+    it is null where nothing is drawn.  ``in_shards`` gathers the rows of a shard
+    in the order of ``place``.
     """
-    rows = scratch.table(sized(docs, seed), "mix-sized")
+    rows = scratch.table(sized(docs, seed), "mix-sized", "zstd")
+    carried = [c for c in ("text", "other") if c in rows.columns]
     per = scratch.table(_plan(rows, targets(rows, weights, share, cap)), "mix-plan")
     per, deal = _quotas(per, block_docs, shard_blocks, seed)
     d = _takes(rows, per)
     block = F.shiftrightunsigned(F.col("u") * F.col("n_blocks"), _BITS)
     draws = F.filter(F.transform("takes", lambda w, i: F.struct(i.alias("pass"), w.alias("words"))), lambda x: x["words"] > 0)
-    d = d.select("row", "doc_id", "source", "skey", "size", "source_size", "target", "n_blocks", block.alias("block"), F.explode_outer(draws).alias("x"))
+    d = d.select("row", "doc_id", "source", "skey", "size", "source_size", "target", "n_blocks", *carried, block.alias("block"), F.explode_outer(draws).alias("x"))
     d = d.withColumn("inst", F.col("x.pass") * F.col("n_blocks") + F.col("block"))
     d = d.join(deal, ["skey", "inst"], "left")
     place = F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed), "shard", "row", "x.pass"))
-    return d.select("row", "doc_id", "source", "size", "source_size", "target", F.col("x.pass").alias("pass"), F.coalesce("x.words", F.lit(0).cast("long")).alias("words"), "shard", place.alias("place"))
+    # a document that is taken whole keeps what stands behind its last word
+    text = F.when(F.col("x.words") == F.col("size"), F.col("text")).when(F.col("x.words") > 0, first_words(F.col("text"), F.col("x.words")))
+    d = d.withColumn("text", text)
+    words = F.coalesce("x.words", F.lit(0).cast("long"))
+    return d.select("row", "doc_id", "source", "size", "source_size", "target", F.col("x.pass").alias("pass"), words.alias("words"), "shard", place.alias("place"), *carried)
+
+
+def in_shards(mixed: DataFrame) -> DataFrame:
+    """The draws, those of a shard in one partition and in the order of their places."""
+    return mixed.where("shard is not null").repartition("shard").sortWithinPartitions("shard", "place")
+
+
+#: Rounds in which shards are written: the shuffle of one is let go of before the next, so the disk never holds that of all texts.
+WRITE_ROUNDS = 3
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
     """The mix as files, one folder a shard, each shuffled inside."""
-    mixed.where("shard is not null").repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    for k in range(WRITE_ROUNDS):
+        in_shards(mixed.where(F.col("shard") % WRITE_ROUNDS == k)).write.partitionBy("shard").option("compression", "zstd").mode("append" if k else "errorifexists").parquet(path)
+        scratch.let_go(mixed.sparkSession)

@@ -31,9 +31,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(scratch.load(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    by = mixed.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    return by.drop("row")
+    mixed, path = mixing.mix_sources(scratch.load(spark, sf_dir, "documents")), scratch.place(spark, "mix-shards")
+    mixing.write_shards(mixed, path)
+    # counted in the texts that were written
+    words = F.regexp_count("text", F.lit(mixing.WORD)).cast("long")
+    written = spark.read.schema(mixed.select("row", "text", "shard").schema).parquet(path)
+    by = written.groupBy("row").agg(F.sum(words).alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    every = mixed.select("row", "doc_id", "size", "source_size", "target").distinct().join(by, "row", "left")
+    return every.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,12 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _written[key][0]
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by ``release``."""
     path = f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = place(spark, name)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,8 +56,13 @@ def drop(df: DataFrame) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
         ours.remove(path)
+    let_go(spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have shuffles deleted that nothing refers to."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
