@@ -8,16 +8,18 @@ coordinates of two sets concentrates about their similarity as with
 independent permutations, for about |A| + T log T hashes.
 
 Documents with equal sets are one vertex.  Vertices that share a band of
-coordinates are candidates; links are confirmed on full sets.  Within a bucket
-everybody is first held against one centre, which joins the large groups of
-copies without listing their pairs.  Whoever is then outside the largest
-component of its family (what shared bands connect) is compared with all of
-the family, so no link between components is lost.
+coordinates are candidates; links are confirmed on full sets.  First each
+vertex is held against one centre, that of its largest bucket, which joins the
+large groups of copies without listing their pairs; a second round does so
+again in the buckets that still hold several components.  Whoever is then
+outside the largest component of its family (what such buckets connect) is
+compared with all of the family, so no link between components is lost.
 
 Defined results: a null or blank text has an empty set, is linked with nothing
 and is its own component; a text with fewer words than a shingle is one
 shingle; a row without an id is linked with nothing; repeated rows get equal
-results; an empty table gives an empty result; other columns are ignored.
+results; rows that share an id but not a text are documents of their own; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -73,6 +75,12 @@ def bands(s: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def set_name(a: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, whatever the order of its hashes."""
+    with np.errstate(over="ignore"):
+        return tuple(x.sum(dtype=np.uint64).view(np.int64).item() for x in (mix(a), mix(a ^ _SEEDS[0])))
+
+
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (which name the set), bands."""
 
@@ -83,31 +91,30 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
             for text in b.column(1).to_pylist():
                 a = shingle_set(split_words(text), memo, n)
                 sizes.append(len(a))
-                if len(a):
-                    with np.errstate(over="ignore"):
-                        k1.append(mix(a).sum(dtype=np.uint64).view(np.int64).item())
-                        k2.append(mix(a ^ _SEEDS[0]).sum(dtype=np.uint64).view(np.int64).item())
-                    out.append(bands(sketch(a)))
-                else:
-                    k1.append(0)
-                    k2.append(0)
-                    out.append(None)
+                x, y = set_name(a)
+                k1.append(x)
+                k2.append(y)
+                out.append(bands(sketch(a)) if len(a) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc, hashes: the full shingle sets, as bytes, of the documents in ``ids``."""
+def full_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """v, hashes: the full shingle set, as bytes, of each vertex in ``reps``, from a document that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = hash_memo()
         for b in batches:
-            blobs = [shingle_set(split_words(t), memo, n).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["doc", "hashes"])
+            sets = [shingle_set(split_words(t), memo, n) for t in b.column(1).to_pylist()]
+            names = [set_name(a) for a in sets]
+            cols = [pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(a) for a in sets], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["k1", "k2", "n_shingles", "hashes"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ids, "doc", "left_semi")
-    return wanted.mapInArrow(run, "doc long, hashes binary").dropDuplicates(["doc"])
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep").distinct(), "rep", "left_semi")
+    found = wanted.mapInArrow(run, "k1 long, k2 long, n_shingles long, hashes binary")
+    # rows of one id may hold other texts, so a vertex finds its set by name
+    return found.join(reps.select("v", "k1", "k2", "n_shingles"), ["k1", "k2", "n_shingles"]).select("v", "hashes").dropDuplicates(["v"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,8 +134,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b")
+    with_a = pairs.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = with_a.join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("hb")), "b")
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
@@ -146,24 +153,42 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(seen.withColumnRenamed("a", "v"), "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = spread.join(labels.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", "old", F.least("c", "cc").alias("c"))
         new = scratch.table(jump, "labels")
+        scratch.drop(labels)
         labels = new.select("v", "c")
         if new.where("c <> old").limit(1).count() == 0:
+            scratch.drop(links)
             return labels
 
 
-def _buckets(spread: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rep, key of the buckets with two or more members, and the pairs of each member with its bucket's centre.
+#: Rounds in which each member is held against one centre, before what is left is compared in whole.
+ROUNDS = 2
 
-    The centre is the member whose buckets are the largest in sum: in a group
-    of copies the one that most others are near to.
-    """
+
+def _members(reps: DataFrame) -> DataFrame:
+    """v, key, n, degree: the buckets with n > 1 members; the degree of a member is the size of its buckets in sum."""
+    spread = reps.select("v", F.explode("bands").alias("key"))
     by = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.table(spread.join(by, "key"), "buckets")
-    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("minus")).alias("o"))
-    centre = ranked.groupBy("key").agg((-F.max("o")["minus"]).alias("centre"))
-    pairs = members.join(centre, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    return members, scratch.table(pairs, "pairs")
+    return spread.join(by, "key").select("v", "key", "n", F.sum("n").over(Window.partitionBy("v")).alias("degree"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets that hold several components, with their own one, the bucket's least one and its centre.
+
+    The centre is the member of the largest degree: in a group of copies the
+    one that most others are near to.
+    """
+    c = F.col("v") if labels is None else F.coalesce("c", "v")
+    rows = (members if labels is None else members.join(labels, "v", "left")).select("v", "key", "n", "degree", c.alias("c"))
+    top = F.max(F.struct("degree", (-F.col("v")).alias("minus"), F.col("c").alias("of")))
+    by = rows.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), top.alias("top")).where("least <> most")
+    return rows.drop("degree").join(by.select("key", "least", "top"), "key")
+
+
+def _stars(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """a, b: one pair for each member of an open bucket, with the centre of the largest whose centre is of another component."""
+    rows = _open(members, labels).where("c <> top.of")
+    best = F.max(F.struct("n", "top"))
+    return rows.groupBy("v").agg(best.alias("best")).select(F.col("v").alias("a"), (-F.col("best.top.minus")).alias("b"))
 
 
 def common_bands(percent: int, chance: float = 1e-7) -> int:
@@ -219,25 +244,29 @@ def _join_rest(table: pa.Table, percent: int, least: int) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _rest(families: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links that stars have not found.
 
-    Inside a family, whatever is connected by shared bands, everybody outside
-    its largest component is compared with all others, tile by tile: members
-    are dealt to tiles of about TILE and the leftovers are sent to each.
+    Only members that share enough buckets with other components can have one.
+    They form families, whatever open buckets connect.  Inside a family
+    everybody outside its largest component is compared with all others, tile
+    by tile: members are dealt to tiles of about TILE and the leftovers are
+    sent to each.
     """
-    fam = families.select("v", F.col("c").alias("family")).join(labels, "v", "left").select("v", "family", F.coalesce("c", "v").alias("c"))
-    fam = scratch.table(fam, "families")
+    rows = scratch.table(_open(members, labels).select("v", "c", "least"), "open-buckets")
+    least = common_bands(percent)
+    families = components(rows.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")))
+    fam = rows.groupBy("v", "c").agg(F.count("*").alias("open")).where(F.col("open") >= least).select("v", "c")
+    fam = scratch.table(fam.join(families.select(F.col("v").alias("c"), F.col("c").alias("family")), "c").select("v", "c", "family"), "families")
     per = fam.groupBy("family", "c").agg(F.count("*").alias("m"))
     per = per.groupBy("family").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"), F.count("*").alias("parts")).where("parts > 1")
     live = fam.join(per.drop("parts"), "family")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    full = live.join(reps.select(F.col("rep").alias("v"), "bands"), "v").join(sets.select(F.col("doc").alias("v"), "hashes"), "v")
+    full = live.join(reps.select("v", "bands"), "v").join(sets, "v")
     full = full.select("family", "v", "c", "main", tiles.alias("tiles"), "bands", "hashes")
     full = scratch.table(full, "family-sets")
     own = full.select("family", F.pmod(F.xxhash64("v"), F.col("tiles").cast("long")).cast("int").alias("tile"), F.lit(False).alias("is_left"), "v", "c", "bands", "hashes")
     sent = full.where("c <> main").select("family", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("is_left"), "v", "c", "bands", "hashes")
-    least = common_bands(percent)
     return own.unionByName(sent).groupBy("family", "tile").applyInArrow(lambda t: _join_rest(t, percent, least), "a long, b long")
 
 
@@ -245,14 +274,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
     """doc_id, n_shingles, component_id, kept (the one document of each component that stays)."""
     sk = scratch.table(sketches(docs, n), "sketches")
     named = sk.where("n_shingles > 0 and doc_id is not null")
-    reps = scratch.table(named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "sets")
-    members, pairs = _buckets(reps.select("rep", F.explode("bands").alias("key")))
-    sets = scratch.table(full_sets(docs, members.select(F.col("rep").alias("doc")).distinct(), n), "full-sets")
-    links = scratch.table(confirm(pairs, sets, percent), "confirmed")
-    more = scratch.table(_rest(components(pairs), components(links), reps, sets, percent), "confirmed")
-    labels = components(links.unionByName(more))
-    whole = sk.join(reps.select("k1", "k2", "n_shingles", "rep"), ["k1", "k2", "n_shingles"], "left")
-    whole = whole.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "rep"))
-    out = whole.select("doc_id", "n_shingles", F.coalesce(linked, F.col("doc_id")).alias("component_id"))
+    reps = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = scratch.table(reps.withColumn("v", F.monotonically_increasing_id()), "sets")
+    members = scratch.table(_members(reps), "buckets")
+    sets = scratch.table(full_sets(docs, reps.join(members.select("v").distinct(), "v", "left_semi"), n), "full-sets")
+    labels, links = None, None
+    for _ in range(ROUNDS):
+        new = scratch.table(confirm(_stars(members, labels), sets, percent), "confirmed")
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+    links = links.unionByName(scratch.table(_rest(members, labels, reps, sets, percent), "confirmed"))
+    named_by = reps.join(components(links), "v", "left").select("k1", "k2", "n_shingles", "rep", F.coalesce("c", "v").alias("c"))
+    least = named_by.groupBy("c").agg(F.min("rep").alias("component_id"))
+    names = named_by.join(least, "c").select("k1", "k2", "n_shingles", "component_id")
+    out = sk.drop("bands").join(names, ["k1", "k2", "n_shingles"], "left")
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce(linked, F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
