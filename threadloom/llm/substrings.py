@@ -8,10 +8,13 @@ what the windows cover in which it is the least.
 
 Marks with equal surroundings settle each other: all their windows are
 repeated, and one of them stands for all.  Where a mark has several different
-surroundings, these are brought together, their suffixes are sorted by
-induction and neighbours with a common prefix of LENGTH bytes are repeated.  A
-mark with more surroundings than one shard holds is settled by the hashes of
-its windows, counted with a partial sum.
+surroundings, these are a group.  Groups are put into shards, in which the
+suffixes are sorted by induction; neighbours with a common prefix of LENGTH
+bytes are repeated.  A group that is too large for a shard is split by what
+stands beside the piece: every window holds half of its other bytes on the
+right or on the left of the piece, so windows that are alike go to the same
+part by the longer piece that they share, and so on until parts are small or
+the piece is a whole window.
 
 All counts are over all documents.  Matches never cross documents.
 
@@ -39,8 +42,8 @@ from .words import mix
 LENGTH, ANCHOR = 200, 64
 #: Pieces in a window, which is also the reach of a mark's surroundings to the left.
 SPAN = LENGTH - ANCHOR + 1
-#: Bytes hashed at once, bytes of surroundings of one shard, surroundings of one mark that a shard takes.
-SLAB, SHARD, MOST = 2_000_000, 1_000_000, 2_000
+#: Bytes hashed at once, bytes of surroundings of one shard, surroundings of a group that goes to a shard in whole.
+SLAB, SHARD, GROUP = 2_000_000, 1_000_000, 2_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -115,7 +118,7 @@ def _key() -> Column:
 
 
 def all_marks(docs: DataFrame) -> DataFrame:
-    """k, lo, hi, mark, around, c, places: first and last window of a mark, hashes of the piece and of all that its windows cover.
+    """k, lo, hi, off, mark, around, c, places: first and last window of a mark, its place behind lo, hashes of the piece and of all that its windows cover.
 
     Marks of one document with equal surroundings, as in text of one period,
     are one row: c counts them and ``places`` has the ranges of their windows.
@@ -127,11 +130,14 @@ def all_marks(docs: DataFrame) -> DataFrame:
             whole = b"".join(blobs)
             at, h, lo, hi = marks(np.frombuffer(whole, np.uint8), ends)
             doc = np.searchsorted(ends, at, "right")
-            around = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b], p) for a, b, p in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at))
+            off = at - lo
+            digests = b"".join(xxhash.xxh3_128_digest(whole[a:b], p) for a, b, p in zip(lo.tolist(), (hi + LENGTH).tolist(), off.tolist(), strict=True))
+            around, more = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
             begin = np.append(0, ends[:-1])[doc]
             lo, hi = lo - begin, hi - begin
-            by = np.lexsort((lo, around, h, doc))
-            new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (h[by][1:] != h[by][:-1]) | (around[by][1:] != around[by][:-1])) if len(by) else np.zeros(0, np.bool_)
+            by = np.lexsort((lo, more, around, h, doc))
+            differ = [x[by][1:] != x[by][:-1] for x in (doc, h, around, more)]
+            new = np.append(True, np.logical_or.reduce(differ)) if len(by) else np.zeros(0, np.bool_)
             head = np.flatnonzero(new)
             count = np.diff(np.append(head, len(by)))
             places: list[list[dict] | None] = [None] * len(head)
@@ -140,9 +146,9 @@ def all_marks(docs: DataFrame) -> DataFrame:
                 cut = np.flatnonzero(lo[m][1:] > hi[m][:-1] + 1) + 1
                 places[i] = [{"lo": a, "hi": b} for a, b in zip(lo[m][np.append(0, cut)].tolist(), hi[m][np.append(cut - 1, len(m) - 1)].tolist(), strict=True)]
             one = by[head]
-            cols = [np.array(keys, np.int64)[doc[one]], lo[one].astype(np.int32), hi[one].astype(np.int32), h[one].view(np.int64), around[one].view(np.int64), count.astype(np.int32)]
+            cols = [np.array(keys, np.int64)[doc[one]], *(x[one].astype(np.int32) for x in (lo, hi, off)), *(np.ascontiguousarray(x[one]).view(np.int64) for x in (h, around, more)), count.astype(np.int32)]
             ranges = pa.array(places, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), ranges], names=["k", "lo", "hi", "mark", "around", "c", "places"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), ranges], names=["k", "lo", "hi", "off", "mark", "around", "more", "c", "places"])
 
         for b in batches:
             keys, blobs, n = [], [], 0
@@ -159,25 +165,69 @@ def all_marks(docs: DataFrame) -> DataFrame:
                 yield slab(keys, blobs)
 
     long = docs.where(F.octet_length("text") >= LENGTH).select(_key().alias("k"), F.encode("text", "UTF-8").alias("t"))
-    return long.mapInArrow(run, "k long, lo int, hi int, mark long, around long, c int, places array<struct<lo:int,hi:int>>")
+    return long.mapInArrow(run, "k long, lo int, hi int, off int, mark long, around long, more long, c int, places array<struct<lo:int,hi:int>>")
+
+
+_GROUP = "g long, k long, base int, off int, core int, need boolean, bytes binary"
+
+
+def _groups(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["g", "k", "base", "off", "core", "need", "bytes"])
 
 
 def _surroundings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """k, base (where they begin), mark, need, hot, bytes: what the windows of the marks asked for cover."""
+    """g (the group, at first the mark), k, base (where they begin), off and core (where the common piece is in them), need, bytes: what the windows of the marks asked for cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows += [(k, m["lo"], m["mark"], m["need"], m["hot"], t[m["lo"] : m["hi"] + LENGTH]) for m in found]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["k", "base", "mark", "need", "hot", "bytes"])
-
-    by = asked.groupBy("k").agg(F.collect_set(F.struct("lo", "hi", "mark", "need", "hot")).alias("found"))
+            texts = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            yield _groups([(m["mark"], k, m["lo"], m["off"], ANCHOR, m["need"], t[m["lo"] : m["hi"] + LENGTH]) for k, t, found in texts for m in found])
+
+    by = asked.groupBy("k").agg(F.collect_set(F.struct("lo", "hi", "off", "mark", "need")).alias("found"))
     long = docs.where(F.octet_length("text") >= LENGTH).select(_key().alias("k"), "text")
-    j = long.join(by, "k").select("k", F.encode("text", "UTF-8").alias("t"), "found")
-    return j.mapInArrow(run, "k long, base int, mark long, need boolean, hot boolean, bytes binary")
+    # rows alike in id and text are one
+    j = long.join(by, "k").dropDuplicates(["k"]).select("k", F.encode("text", "UTF-8").alias("t"), "found")
+    return j.mapInArrow(run, _GROUP)
+
+
+def halves(g: int, k: int, base: int, off: int, core: int, need: bool, text: bytes) -> list[tuple]:
+    """The surroundings as members of up to two smaller groups.
+
+    Windows that hold at least half of their other bytes behind the common
+    piece share a longer piece to the right, all others one to the left.
+    """
+    rest = LENGTH - core
+    if rest == 0:
+        return []
+    h = -(-rest // 2)
+    last, cut = len(text) - LENGTH, off + core - LENGTH + h
+    out = []
+    if (a := max(0, cut)) <= last:
+        name = xxhash.xxh3_64_intdigest(text[off : off + core + h], g & 0x7FFFFFFFFFFFFFFF) - (1 << 63)
+        out.append((name, k, base + a, off - a, core + h, need, text[a:]))
+    if (b := min(last, cut - 1)) >= 0:
+        more = rest - h + 1
+        name = xxhash.xxh3_64_intdigest(text[off - more : off + core], ~g & 0x7FFFFFFFFFFFFFFF) - (1 << 63)
+        out.append((name, k, base, off - more, core + more, need, text[: b + LENGTH]))
+    return out
+
+
+def _split(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parts of groups that are too large, of several different members each, and the ranges of places settled by equal members of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _groups([x for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True) for x in halves(*r)])
+
+    parts = scratch.table(hot.select("g", "k", "base", "off", "core", "need", "bytes").mapInArrow(run, _GROUP), "group-parts")
+    each = parts.groupBy("g", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("k", "base", "off", "core", "need")).alias("one"))
+    again = each.where("n > 1").select("g", "bytes")
+    settled = parts.where("need").join(again, ["g", "bytes"]).select("k", F.col("base").alias("lo"), (F.col("base") + F.octet_length("bytes") - LENGTH).alias("hi"))
+    several = each.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
+    left = each.join(several, "g").select("g", "one.k", "one.base", "one.off", "one.core", (F.col("one.need") & (F.col("n") == 1)).alias("need"), "bytes")
+    return scratch.table(left, "groups"), scratch.table(settled, "settled")
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -232,41 +282,38 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["k", "lo", "hi"])
 
 
-def _by_hashes(hot: DataFrame) -> DataFrame:
-    """The same for marks with very many surroundings: windows that occur at two places, by 128 bits of their hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, base, text = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            rows = [(xxhash.xxh3_64_intdigest(t[s : s + LENGTH]) - (1 << 63), xxhash.xxh64_intdigest(t[s : s + LENGTH]) - (1 << 63), k[i], base[i] + s) for i, t in enumerate(text) for s in range(len(t) - LENGTH + 1)]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h1", "h2", "k", "s"])
-
-    w = scratch.table(hot.select("k", "base", "bytes").mapInArrow(run, "h1 long, h2 long, k long, s int"), "hot-windows")
-    twice = w.groupBy("h1", "h2").agg(F.min(F.struct("k", "s")).alias("a"), F.max(F.struct("k", "s")).alias("b")).where("a <> b").select("h1", "h2")
-    return w.join(twice, ["h1", "h2"]).select("k", F.col("s").alias("lo"), F.col("s").alias("hi"))
+def _by_shards(groups: DataFrame) -> DataFrame:
+    size = groups.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shards = max(64, -(-size // SHARD))
+    dealt = groups.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards))).repartition(min(shards, 4096), "shard")
+    return dealt.groupBy("shard").applyInArrow(_shard, "k long, lo int, hi int")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """k, lo, hi: ranges of places at which a repeated string of LENGTH bytes starts."""
     found = scratch.table(all_marks(docs), "marks")
     again = found.groupBy("mark").agg(F.sum("c").alias("n")).where("n > 1").select("mark")
-    # marks that occur once, nearly all of them, go before anything else is done
-    twice = scratch.table(found.join(again, "mark"), "marks-again")
+    # marks that occur once, nearly all of them, go before anything else is done; rows alike in id and text have equal marks, which are one from here
+    twice = found.join(again, "mark").groupBy("k", "lo", "hi", "off", "mark", "around", "more").agg(F.sum("c").alias("c"), F.first("places").alias("places"))
+    twice = scratch.table(twice, "marks-again")
     scratch.drop(found)
-    each = twice.groupBy("mark", "around").agg(F.sum("c").alias("n"), F.min(F.struct("k", "lo")).alias("first"))
+    each = twice.groupBy("mark", "around", "more").agg(F.sum("c").alias("n"), F.min(F.struct("k", "lo")).alias("first"))
     kinds = each.groupBy("mark").agg(F.count("*").alias("kinds"))
-    j = twice.join(each.join(kinds, "mark"), ["mark", "around"])
-    j = scratch.table(j.select("k", "lo", "hi", "places", "mark", "n", "kinds", (F.struct("k", "lo") == F.col("first")).alias("leads")), "repeated-marks")
+    j = twice.join(each.join(kinds, "mark"), ["mark", "around", "more"])
+    j = scratch.table(j.select("k", "lo", "hi", "off", "places", "mark", "n", "kinds", (F.struct("k", "lo") == F.col("first")).alias("leads")), "repeated-marks")
     scratch.drop(twice)
     # all windows of a mark whose surroundings occur again
-    settled = j.where("n > 1").select("k", F.explode(F.coalesce("places", F.array(F.struct("lo", "hi")))).alias("r")).select("k", "r.lo", "r.hi")
-    asked = j.where("leads and kinds > 1").select("k", "lo", "hi", "mark", (F.col("n") == 1).alias("need"), (F.col("kinds") > MOST).alias("hot"))
-    around = scratch.table(_surroundings(docs, asked), "shard-input")
-    size = around.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = max(64, -(-size // SHARD))
-    solved = around.where("not hot").withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards))).repartition(min(shards, 4096), "shard").groupBy("shard").applyInArrow(_shard, "k long, lo int, hi int")
-    return settled.unionByName(solved).unionByName(_by_hashes(around.where("hot")))
+    out = j.where("n > 1").select("k", F.explode(F.coalesce("places", F.array(F.struct("lo", "hi")))).alias("r")).select("k", "r.lo", "r.hi")
+    asked = j.where("leads and kinds > 1").select("k", "lo", "hi", "off", "mark", (F.col("n") == 1).alias("need"))
+    groups = scratch.table(_surroundings(docs, asked), "groups")
+    while True:
+        large = groups.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("g")
+        out = out.unionByName(_by_shards(groups.join(large, "g", "left_anti")))
+        hot = groups.join(large, "g", "left_semi")
+        if hot.limit(1).count() == 0:
+            return out
+        groups, settled = _split(hot)
+        out = out.unionByName(settled)
 
 
 def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
