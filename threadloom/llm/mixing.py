@@ -7,11 +7,13 @@ one document, found by descending a 64-way radix tree of bucket sums, so no
 source is ever sorted or gathered as a whole.
 
 A pass is cut into blocks by hash range.  The block quota of every source is
-split among output shards by a binary tree: at a node the blocks of all
-sources are passed once by selection sampling, so the numbers that go left
-follow the multivariate hypergeometric law with an exact total.  Blocks are
-then dealt to shards in a permuted order, each instance to one shard, and rows
-are shuffled inside the shard.
+split among output shards by a binary tree: at a node the number of each
+source's blocks that go left is drawn, by inversion, from its hypergeometric
+law given the draws before it, so all together follow the multivariate law with
+an exact total.  A node holds only sources that still have blocks there, and
+nodes are spread over tasks again after every few levels.  Blocks are then dealt
+to shards in a permuted order, each instance to one shard, and rows are shuffled
+inside the shard.
 
 Defined results: a null or blank text has size 0 and is never taken; null is a
 source of its own, last in order; repeated rows are separate rows; sources
@@ -60,29 +62,41 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.col("text").cast("string").alias("text"), *_other(docs))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), 64 - _BITS)
-    return rows.select("*", _skey(F.col("source")).alias("skey"), u.alias("u"), F.shiftright(u, 12).alias("leaf"), F.monotonically_increasing_id().alias("row"))
+    # tells rows of one id apart alike in every run, whatever the partitions
+    mark = F.xxhash64("text", *([F.col("other").cast("string")] if "other" in rows.columns else []))
+    return rows.select("*", _skey(F.col("source")).alias("skey"), u.alias("u"), F.shiftright(u, 12).alias("leaf"), mark.alias("mark"), F.monotonically_increasing_id().alias("row"))
+
+
+def _ranked(by: DataFrame) -> DataFrame:
+    """Sources with idx, their place in the order of code points, null last: ranks inside ranges and the sizes of the ranges before."""
+    dealt = by.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    dealt = scratch.table(dealt, "mix-sources")
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    # one row for each range
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.withColumn("inside", inside).join(F.broadcast(parts), "part").withColumn("idx", F.col("before") + F.col("inside") - 1).drop("part", "inside", "before")
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """skey, idx, source_size, n_docs, target: the water level at which capped shares add up to the budget.
+    """skey, idx, source_size, n_docs, target: shares by weight, sources at their cap and the rest shared again until none is above.
 
-    The windows here run over one row per source.
+    Sizes and weights are whole numbers, so their sums, and with them the
+    targets, are the same in every run.
     """
-    by = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    idx = F.row_number().over(order) - 1
+    by = _ranked(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
-    by = by.withColumn("idx", idx).withColumn("w", w).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    whole = Window.partitionBy(F.lit(0))
-    fill = Window.orderBy((F.col("most") / F.col("w")).asc(), F.col("idx"))
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    open_w = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    by = by.withColumn("level", left / open_w)
-    # the level at the first source that stays below its cap holds for all later ones
-    level = F.min(F.when(F.col("most") > F.col("w") * F.col("level"), F.struct((F.col("most") / F.col("w")).alias("at"), "idx", "level"))).over(whole)
-    by = by.withColumn("water", level["level"])
-    return by.select("skey", "source", "idx", "source_size", "n_docs", F.least("most", F.col("w") * F.col("water")).alias("target"))
+    by = scratch.table(by.withColumn("w", w).withColumn("most", F.lit(float(cap)) * F.col("source_size")), "mix-weights")
+    budget = float(share) * float(by.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("most") <= F.col("w") * F.lit(level)
+        n, held, free = by.agg(F.count_if(full), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("w")))).first()
+        if n == capped or not free:
+            break
+        capped, level = n, (budget - float(held or 0.0)) / free
+    return by.select("skey", "source", "idx", "source_size", "n_docs", F.least("most", F.col("w") * F.lit(level)).alias("target"))
 
 
 def _plan(rows: DataFrame, per: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def _takes(rows: DataFrame, per: DataFrame) -> DataFrame:
     d = _with_sources(rows, per.drop("source"))
     edge = F.col("leaf") == F.col("cut_leaf")
     inside = d.where(edge)
-    order = Window.partitionBy("skey").orderBy("u", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("skey").orderBy("u", "doc_id", "size", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = inside.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("cut_left") - before)))
     outside = d.where(F.coalesce(~edge, F.lit(True))).withColumn("part", F.when(F.col("leaf") < F.col("cut_leaf"), F.col("size")).otherwise(F.lit(0).cast("long")))
@@ -123,6 +137,60 @@ def _takes(rows: DataFrame, per: DataFrame) -> DataFrame:
     return d.withColumn("takes", F.concat(whole, F.array("part")))
 
 
+def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
+    """How many of the ``marked`` among ``total`` are in ``drawn`` of them, by inversion of u in [0, 1).
+
+    The law is summed from eight standard deviations below the mean to as many
+    above it, outside of which lies less than 1e-14, with weights relative to
+    the first.
+    """
+    n, k, d = (c.cast("double") for c in (total, marked, drawn))
+    mean = F.when(n > 0, d * k / n).otherwise(0.0)
+    sd = F.sqrt(F.when(n > 1, mean * (1 - k / n) * (n - d) / (n - 1)).otherwise(0.0))
+    low = F.greatest(F.lit(0.0), d - (n - k), F.floor(mean - 8 * sd).cast("double")).cast("long")
+    high = F.least(k, d, F.ceil(mean + 8 * sd).cast("double")).cast("long")
+    places = F.sequence(low, F.greatest(low, high))
+
+    def after(w: Column, x: Column) -> Column:
+        at = x.cast("double")
+        return w * (k - at) * (d - at) / ((at + 1) * (n - k - d + at + 1))
+
+    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+    mass = F.aggregate(places, zero, lambda a, x: F.struct(after(a["w"], x).alias("w"), (a["sum"] + a["w"]).alias("sum")))["sum"]
+
+    def step(a: Column, x: Column) -> Column:
+        upto = a["sum"] + a["w"]
+        return F.struct(after(a["w"], x).alias("w"), upto.alias("sum"), F.when(upto <= u * a["mass"], x + 1).otherwise(a["at"]).alias("at"), a["mass"].alias("mass"))
+
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), low.alias("at"), mass.alias("mass"))
+    return F.least(F.aggregate(places, start, step)["at"], F.greatest(low, high))
+
+
+#: Levels of the tree between which its nodes are spread over tasks.
+LEVELS = 5
+
+
+def _split(node: DataFrame, seed: int) -> DataFrame:
+    """Nodes (lo, hi, cells of idx, skey and n) of the next level; those of one shard stay."""
+    several = F.col("hi") - F.col("lo") > 1
+    blocks = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    node = node.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")).withColumn("blocks", blocks)
+    wanted = F.floor(F.col("blocks") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
+
+    def draw(a: Column, c: Column) -> Column:
+        got = hypergeometric(a["rem"], c["n"], a["want"], _unit(F.lit(seed), F.col("lo"), F.col("hi"), c["idx"]))
+        return F.struct((a["want"] - got).alias("want"), (a["rem"] - c["n"]).alias("rem"), F.concat(a["out"], F.array(got)).alias("out"))
+
+    zero = F.struct(wanted.alias("want"), F.col("blocks").alias("rem"), F.array().cast("array<long>").alias("out"))
+    node = node.withColumn("left", F.when(several, F.aggregate("cells", zero, draw)["out"]))
+    cell = lambda c, n: F.struct(c["idx"].alias("idx"), c["skey"].alias("skey"), n.cast("long").alias("n"))
+    some = lambda cells: F.filter(cells, lambda c: c["n"] > 0)
+    left = F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), some(F.zip_with("cells", "left", cell)).alias("cells"))
+    right = F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), some(F.zip_with("cells", "left", lambda c, x: cell(c, c["n"] - x))).alias("cells"))
+    same = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("cells").alias("cells"))
+    return node.select(F.explode(F.when(several, F.array(left, right)).otherwise(F.array(same))).alias("p")).select("p.*")
+
+
 def _quotas(per: DataFrame, block_docs: int, shard_blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of each source, and the shard of each block instance."""
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).cast("long")
@@ -132,40 +200,17 @@ def _quotas(per: DataFrame, block_docs: int, shard_blocks: int, seed: int) -> tu
     per = per.withColumn("quota", F.when(F.col("target") >= 1, quota).otherwise(0).cast("long"))
     total = per.agg(F.sum("quota")).first()[0] or 0
     shards = max(1, -(-total // shard_blocks))
-    listed = F.array_sort(F.collect_list(F.struct("idx", "skey", "quota")))
-    node = per.agg(listed.alias("all")).select(
-        F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.transform("all", lambda x: x["skey"]).alias("keys"), F.transform("all", lambda x: x["quota"]).alias("counts")
-    )
-    for _ in range(max(0, (shards - 1).bit_length())):
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        blocks = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-        node = node.withColumn("mid", mid).withColumn("blocks", blocks)
-        wanted = F.floor(F.col("blocks") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-        node = node.withColumn("draw", F.when(F.col("hi") - F.col("lo") > 1, wanted).otherwise(F.col("blocks")))
-
-        def pick(acc: Column, k: Column) -> Column:
-            """One source: each of its k blocks goes left with chance wanted / remaining."""
-            seq = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
-            start = F.struct(acc["want"].alias("want"), acc["rem"].alias("rem"), F.lit(0).cast("long").alias("got"))
-
-            def one(a: Column, _: Column) -> Column:
-                left = (_unit(F.lit(seed), F.col("lo"), F.col("hi"), a["rem"]) * a["rem"].cast("double") < a["want"].cast("double")).cast("long")
-                return F.struct((a["want"] - left).alias("want"), (a["rem"] - 1).alias("rem"), (a["got"] + left).alias("got"))
-
-            done = F.aggregate(seq, start, one)
-            return F.struct(done["want"].alias("want"), done["rem"].alias("rem"), F.concat(acc["out"], F.array(done["got"])).alias("out"))
-
-        zero = F.struct(F.col("draw").alias("want"), F.col("blocks").alias("rem"), F.array().cast("array<long>").alias("out"))
-        node = node.withColumn("left", F.aggregate("counts", zero, pick)["out"])
-        parts = F.array(
-            F.struct(F.col("lo").alias("lo"), F.when(F.col("hi") - F.col("lo") > 1, F.col("mid")).otherwise(F.col("hi")).alias("hi"), F.col("left").alias("counts")),
-            F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.zip_with("counts", "left", lambda c, x: c - x).alias("counts")),
-        )
-        parts = F.when(F.col("hi") - F.col("lo") > 1, parts).otherwise(F.slice(parts, 1, 1))
-        node = node.select("keys", F.explode(parts).alias("p")).select("p.lo", "p.hi", "keys", "p.counts")
-    cells = node.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("keys", "counts")).alias("c")).select("shard", F.col("c.keys").alias("skey"), F.col("c.counts").alias("n"))
+    # the root has one cell for each source
+    listed = F.array_sort(F.collect_list(F.struct("idx", "skey", F.col("quota").alias("n"))))
+    node = per.where("quota > 0").agg(listed.alias("cells")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "cells")
+    depth = max(0, (shards - 1).bit_length())
+    for level in range(depth):
+        if level and level % LEVELS == 0:
+            node = scratch.table(node.repartition("lo"), "mix-tree")
+        node = _split(node, seed)
+    cells = node.select(F.col("lo").alias("shard"), F.explode("cells").alias("c")).select("shard", "c.skey", "c.n")
     end = F.sum("n").over(Window.partitionBy("skey").orderBy("shard"))
-    cells = cells.withColumn("end", end).where("n > 0")
+    cells = cells.withColumn("end", end)
     cells = cells.join(per.select("skey", "quota"), "skey")
     deal = cells.select("skey", "quota", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("slot"))
     # a prime above every quota is coprime to each, so this is a permutation of the instances
@@ -192,10 +237,10 @@ def mix_sources(
     d = _takes(rows, per)
     block = F.shiftrightunsigned(F.col("u") * F.col("n_blocks"), _BITS)
     draws = F.filter(F.transform("takes", lambda w, i: F.struct(i.alias("pass"), w.alias("words"))), lambda x: x["words"] > 0)
-    d = d.select("row", "doc_id", "source", "skey", "size", "source_size", "target", "n_blocks", *carried, block.alias("block"), F.explode_outer(draws).alias("x"))
+    d = d.select("row", "mark", "doc_id", "source", "skey", "size", "source_size", "target", "n_blocks", *carried, block.alias("block"), F.explode_outer(draws).alias("x"))
     d = d.withColumn("inst", F.col("x.pass") * F.col("n_blocks") + F.col("block"))
     d = d.join(deal, ["skey", "inst"], "left")
-    place = F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed), "shard", "row", "x.pass"))
+    place = F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed), "shard", "doc_id", "source", "mark", "x.pass"))
     # a document that is taken whole keeps what stands behind its last word
     text = F.when(F.col("x.words") == F.col("size"), F.col("text")).when(F.col("x.words") > 0, first_words(F.col("text"), F.col("x.words")))
     d = d.withColumn("text", text)
