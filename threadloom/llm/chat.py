@@ -12,9 +12,12 @@ there.  Each backslash of an escaped string begins a pair, hence undoing the
 pairs with the backslash last gives back the text.
 
 Defined results: a null text or role counts as empty; rows of one conversation
-go by turn, then role, then text, nulls first; a null conversation id is a
-conversation of its own; repeated rows are turns of their own; an empty table
-gives no conversations; fields that no mapping names are ignored.
+go by turn, then role, then text, nulls first; rows without a conversation id
+are one conversation in a layout of rows and one each in the others; ids may be
+numbers or text; repeated rows are turns of their own; an empty table gives no
+conversations; fields that no mapping names are ignored.  A conversation is one
+value, so its turns meet in one task; they are bounded by what a row of the
+output may hold.
 """
 
 from __future__ import annotations
@@ -102,6 +105,12 @@ def mapping_for(schema: T.StructType) -> Callable[[], Column] | str | None:
     return "rows" if best == ROWS else _KNOWN[fingerprint(list(best))]
 
 
+def _ident(df: DataFrame, key: str) -> Column:
+    """The id as it is: a whole number as long, anything else as text."""
+    kind = df.schema[key].dataType
+    return F.col(key).cast("long" if isinstance(kind, T.IntegralType) else "string")
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """conv_id, turns: one row a conversation, whatever the layout of ``df``."""
     how = mapping_for(df.schema)
@@ -109,11 +118,11 @@ def canonical(df: DataFrame) -> DataFrame:
         raise ValueError(f"no mapping for the fields {field_paths(df.schema)}")
     if how == "rows":
         one = F.struct(F.col("turn").cast("long").alias("turn"), _str("role").alias("role"), _str("text").alias("text"))
-        rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("t"))
+        rows = df.select(_ident(df, "conv_id").alias("conv_id"), one.alias("t"))
         turns = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
         return rows.groupBy("conv_id").agg(turns.alias("turns"))
     key = next((c for c in ("conv_id", "id") if c in df.columns), None)
-    ident = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    ident = _ident(df, key) if key else F.monotonically_increasing_id()
     return df.select(ident.alias("conv_id"), how().cast(TURNS).alias("turns"))
 
 
