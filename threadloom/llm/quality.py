@@ -7,10 +7,11 @@ heuristic votes on good and on bad documents, hence a posterior for every
 pattern.  A hashed linear scorer is then trained on posteriors of a bounded
 sample and scores every whole document by its words and their shapes.
 
-Toxic documents have a second scorer.  Its labels come from a bounded sample of
-a table of known ones, since no heuristic about form can see them.  It holds
-the words and word beginnings that between them explain the known toxic texts
-and hardly occur in others; one of them is enough, however long the rest is.
+Toxic documents have a second hashed linear scorer.  No heuristic about form
+can see them, so its labellers are words and word beginnings, and their
+accuracies are counted on a bounded sample of a table of known documents.  Those
+that tell the classes apart by more than the luck of so many candidates are the
+scorer's features, by how often they occur, beside the length of the document.
 
 Defined results: a null or blank text gets no vote against it, scores the
 prior and is kept; very long texts are scored whole; repeated rows get equal
@@ -21,14 +22,16 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -38,8 +41,10 @@ from .words import Memo
 DIM = 1 << 16
 #: The dimension of a token that repeats the one before; such a token counts once for itself and once here.
 REPEAT = DIM - 1
-#: Documents on which the quality scorer, and labelled documents on which the toxicity scorer are fitted at most.
-QUALITY_SAMPLE, TOXIC_SAMPLE = 6_000, 20_000
+#: Documents on which the quality scorer, and labelled documents on which the toxicity scorer are fitted at most, and bytes of text of either sample.
+QUALITY_SAMPLE, TOXIC_SAMPLE, SAMPLE_BYTES = 6_000, 20_000, 256_000_000
+#: Chance that any feature of the toxicity scorer is there by luck.
+LUCK = 0.01
 GOOD, BAD, NONE = 2, 1, 0
 _OUTER = ".,;:!?\"'()[]{}<>…«»„“”‘’`*#%$&|-–—_/\\=+~^@"
 
@@ -202,21 +207,26 @@ class LinearScorer:
         self.w = self.w.astype(np.float32)
 
 
-def _sample(df: DataFrame, most: int) -> DataFrame:
-    """A reproducible sample of ``most`` rows at most."""
-    return df.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most)
+def _sample(df: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """y and text of a reproducible sample of the documents in ``df`` (doc_id, y): ``most`` rows and SAMPLE_BYTES at most."""
+    picked = df.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    # a sum over at most so many rows
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", F.xxhash64("text")))
+    sizes = scratch.table(rows.select("doc_id", "y", "text"), "sample")
+    last = sizes.select("doc_id", F.coalesce(size, F.lit(0)).alias("upto")).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id").distinct()
+    return sizes.join(F.broadcast(last), "doc_id").select("y", "text")
 
 
 def fit_quality(docs: DataFrame, table: DataFrame) -> tuple[LabelModel, LinearScorer]:
-    by = table.groupBy("votes").count().collect()
+    by = sorted(table.groupBy("votes").count().collect())
     model = LabelModel([r.votes for r in by], [r["count"] for r in by])
     if not by:
         return model, LinearScorer([])
     post = model.posterior(np.array([[int(c) for c in r.votes] for r in by]))
     known = table.sparkSession.createDataFrame([(r.votes, float(p)) for r, p in zip(by, post, strict=True)], "votes string, y double")
-    picked = _sample(table, QUALITY_SAMPLE).join(F.broadcast(known), "votes").select("doc_id", "y")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("y", "text")
-    return model, LinearScorer(_counts(rows).collect())
+    rows = _sample(table.join(F.broadcast(known), "votes").select("doc_id", "y"), docs, QUALITY_SAMPLE)
+    return model, LinearScorer(sorted(_counts(rows).collect()))
 
 
 def telling(w: str) -> list[int]:
@@ -225,55 +235,94 @@ def telling(w: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in {word, *(f"{word[:k]}+" for k in (4, 5, 6) if len(word) >= k)} if len(x) >= 3]
 
 
-#: Candidates for toxic features that are weighed against each other.
-TOXIC_CANDIDATES = 5_000
+class ToxicScorer:
+    """Logistic regression on the logarithms of how often telling features occur and of the number of tokens.
 
+    ``rows`` have y, the number of tokens, the features and their counts.
+    """
 
-def fit_toxic(docs: DataFrame, labels: DataFrame, precision: float = 0.97) -> set[int]:
-    """Features that tell toxic documents: each must explain several that those chosen before it do not."""
-    known = _sample(labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("y")), TOXIC_SAMPLE)
+    def __init__(self, rows: list, rounds: int = 400):
+        names = sorted({f for r in rows for f in r.f})
+        place = {f: i for i, f in enumerate(names)}
+        m, length = len(names), len(names)
+        at = np.concatenate([np.array([place[f] for f in r.f] + [length], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(r.f) + 1 for r in rows])
+        x = np.concatenate([np.log1p(np.array([*r.c, r.n], np.float64)) for r in rows]) if rows else np.zeros(0)
+        y = np.array([r.y for r in rows])
+        n = max(1, len(rows))
+        # features on one scale; only the length is centred, so that absent ones stay zero
+        mean = np.bincount(at, x, m + 1) / n
+        scale = np.sqrt(np.maximum(np.bincount(at, x * x, m + 1) / n - mean**2, 1e-12)) + 1e-9
+        middle = mean[length]
+        x = (x - np.where(at == length, middle, 0.0)) / scale[at]
+        w, b = np.zeros(m + 1), 0.0
+        for _ in range(rounds if m else 0):
+            z = np.bincount(row, w[at] * x, len(rows)) + b
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            w -= np.bincount(at, g[row] * x, m + 1) / n + 1e-4 * w
+            b -= g.mean()
+        w /= scale
+        self.weights = {f: float(w[i]) for f, i in place.items()}
+        self.length = float(w[length]) if m else 0.0
+        self.bias = b - self.length * middle if m else -30.0
+
+    def __call__(self, counts: Counter[int], n: int) -> float:
+        return self.bias + self.length * log1p(n) + sum(self.weights[f] * log1p(c) for f, c in counts.items())
+
+
+def _likelier(n: Column, toxic: Column, prior: float) -> Column:
+    """How far the share of toxic documents among n is above the prior, as the logarithm of how unlikely that is by luck."""
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), toxic / n))
+    return F.when(p > prior, n * (p * F.log(p / prior) + (1 - p) * F.log((1 - p) / (1 - prior)))).otherwise(0.0)
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame) -> ToxicScorer:
+    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(telling)
         for b in batches:
-            out = [sorted({f for w in set((t or "").split()) for f in memo[w]}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["y", "f"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("y", "text").dropDuplicates(["text"])
-    rows = scratch.table(rows.mapInArrow(run, "y double, f array<long>"), "toxic-features")
-    n_toxic = rows.where("y > 0.5").count()
-    least = max(3, int(0.004 * n_toxic))
-    by = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).where((F.col("toxic") >= least) & (F.col("toxic") >= precision * F.col("n")))
-    chosen = by.orderBy(F.col("toxic").desc(), "f").limit(TOXIC_CANDIDATES).select("f")
-    tagged = rows.where("y > 0.5").select(F.monotonically_increasing_id().alias("d"), F.explode("f").alias("f")).join(F.broadcast(chosen), "f")
-    left = [set(r.f) for r in tagged.groupBy("d").agg(F.collect_list("f").alias("f")).collect()]
-    out: set[int] = set()
-    while left:
-        hits: dict[int, int] = {}
-        for s in left:
-            for f in s:
-                hits[f] = hits.get(f, 0) + 1
-        best = max(hits, key=lambda f: (hits[f], -f))
-        if hits[best] < least:
-            break
-        out.add(best)
-        left = [s for s in left if best not in s]
-    return out
-
-
-#: Added to a token's weight where it is toxic; far above any sum of weights.
+            n, fs, cs = [], [], []
+            for t in b.column(1).to_pylist():
+                words = (t or "").split()
+                seen = Counter(f for w in words for f in memo[w])
+                n.append(len(words))
+                fs.append(sorted(seen))
+                cs.append([seen[f] for f in fs[-1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fs, pa.list_(pa.int64())), pa.array(cs, pa.list_(pa.int64()))], names=["y", "n", "f", "c"])
+
+    rows = _sample(known, docs, TOXIC_SAMPLE).groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
+    rows = scratch.table(rows.mapInArrow(run, "y double, n long, f array<long>, c array<long>"), "toxic-features")
+    size, toxic = rows.agg(F.count("*"), F.sum("y")).first()
+    if not size or not 0 < toxic < size:
+        return ToxicScorer([])
+    by = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).where("n > 1")
+    by = scratch.table(by, "toxic-labellers")
+    least = float(np.log(max(1, by.count()) / LUCK))
+    good = by.where((_likelier(F.col("n"), F.col("toxic"), toxic / size) > least) & (F.col("toxic") >= 0.5 * F.col("n"))).select("f")
+    pairs = rows.select("y", "n", F.monotonically_increasing_id().alias("d"), F.arrays_zip("f", "c").alias("fc"))
+    hits = pairs.select("d", F.explode("fc").alias("x")).select("d", "x.f", "x.c").join(good, "f")
+    hits = hits.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("f", "c"))).alias("x"))
+    found = pairs.drop("fc").join(hits, "d", "left").select("y", "n", F.coalesce(F.transform("x", lambda x: x["f"]), F.array().cast("array<long>")).alias("f"), F.coalesce(F.transform("x", lambda x: x["c"]), F.array().cast("array<long>")).alias("c"))
+    return ToxicScorer(sorted(found.collect()))
+
+
+#: Added to a token's weight where it has a telling feature; far above any sum of weights.
 _MARK = 1e9
 
 
 class _Judge:
-    """The scorer and the toxic features, for the texts of one task."""
+    """Both scorers, for the texts of one task."""
+
+    def __init__(self, w: np.ndarray, bias: float, toxic: ToxicScorer):
+        tells = toxic.weights
 
-    def __init__(self, w: np.ndarray, bias: float, bad: set[int]):
         def weigh(token: str) -> float:
             a, s = features(token)
-            return float(w[a] + w[s]) / 2 + (_MARK if bad and not bad.isdisjoint(telling(token)) else 0.0)
+            return float(w[a] + w[s]) / 2 + (_MARK if tells and any(f in tells for f in telling(token)) else 0.0)
 
-        self.memo, self.bias, self.again = Memo(weigh), bias, float(w[REPEAT])
+        self.memo, self.bias, self.again, self.toxic = Memo(weigh), bias, float(w[REPEAT]), toxic
+        self.tells = Memo(lambda token: [f for f in telling(token) if f in tells])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[float], list[bool]]:
         """For each text the chance that it is good, and whether it is toxic."""
@@ -281,10 +330,10 @@ class _Judge:
         for t in texts:
             words = (t or "").split()
             got = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
-            marks, twice = int(np.count_nonzero(got > _MARK / 2)), repeats(words)
-            z = (float(got.sum()) - marks * _MARK + twice * self.again) / (len(got) + twice) + self.bias if len(got) else 30.0
+            marked, twice = np.flatnonzero(got > _MARK / 2), repeats(words)
+            z = (float(got.sum()) - len(marked) * _MARK + twice * self.again) / (len(got) + twice) + self.bias if len(got) else 30.0
             q.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            x.append(marks > 0)
+            x.append(len(marked) > 0 and self.toxic(Counter(f for i in marked.tolist() for f in self.tells[words[i]]), len(words)) > 0)
         return q, x
 
 
@@ -292,12 +341,12 @@ def _fit(docs: DataFrame, labels: DataFrame | None) -> Broadcast:
     """What a judge is made of, on all executors."""
     table = scratch.table(vote_table(docs), "votes")
     _, scorer = fit_quality(docs, table)
-    toxic = fit_toxic(docs, labels) if labels is not None else set()
+    toxic = fit_toxic(docs, labels) if labels is not None else ToxicScorer([])
     return docs.sparkSession.sparkContext.broadcast((scorer.w, scorer.b, toxic))
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, keep_at: float = 0.5) -> DataFrame:
-    """doc_id, votes, quality (the scorer's chance that it is good), toxic, kept."""
+    """doc_id, quality (the scorer's chance that it is good), toxic, kept."""
     shared = _fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
