@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,18 +54,21 @@ def documents(spark, data):
 
 
 def brute_knn(rows, k=10):
-    fine = [(i, np.floor(1024 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for i, q in fine:
+    """Repeated ids are rows of their own; short vectors count as padded with zeros."""
+    fine = [(n, i, np.floor(1024 * np.array(v, float)).astype(np.int64)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    dim = max((len(v) for _, _, v in fine), default=0)
+    fine = [(n, i, np.append(v, np.zeros(dim - len(v), np.int64))) for n, i, v in fine]
+    out = collections.Counter()
+    for n, i, q in fine:
         if i % 100 == 0:
-            best = sorted((-int(q @ x), j) for j, x in fine if j != i)[:k]
-            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+            best = sorted((-int(q @ x), j) for m, j, x in fine if m != n)[:k]
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
     return out
 
 
 def test_knn_equals_brute_force(spark, data):
     df = spark.read.parquet(f"{data}/embeddings.parquet")
-    got = {tuple(r) for r in knn.top_k(df).collect()}
+    got = collections.Counter(tuple(r) for r in knn.top_k(df).collect())
     assert got == brute_knn([(r.vec_id, r.embedding) for r in df.collect()])
 
 
@@ -73,16 +77,28 @@ def test_knn_ties_nulls_clusters_and_empty(spark):
     centres = r.normal(size=(5, 8))
     rows = [(i, [float(x) for x in centres[i % 5] * (1 + i % 3) + 0.01 * r.normal(size=8)]) for i in range(700)]
     rows += [(i, [0.5] * 8) for i in range(800, 900)] + [(900, None), (901, []), (902, [1.0, None] * 4), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (None, [1.0] * 8), (1000, [0.5] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "block", "chunk", "rank")})
+    rows += [(1000, [0.5] * 8), (1100, [0.25] * 3), (1100, [0.25] * 3), (300, [9.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "block", "chunk", "rank", "row", "floor", "cell", "query")})
     as_float = [(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None) for i, v in rows]
-    assert {tuple(x) for x in knn.top_k(df).collect()} == brute_knn(as_float)
+    assert collections.Counter(tuple(x) for x in knn.top_k(df).collect()) == brute_knn(as_float)
     assert knn.top_k(df.limit(0)).count() == 0
     assert knn.top_k(df.where("vec_id = 100")).count() == 0
 
 
-def test_knn_splits_a_hot_pivot():
-    held, first, split = knn._blocks(np.array([3 * knn.BLOCK, 5, 0, 7]))
-    assert split[0] == 3 and held[:3] == [[0]] * 3 and held[3] == [1, 3] and first[3] == first[1] == 3
+@pytest.mark.parametrize("block", [4096, 7])
+def test_knn_sends_only_what_matters(spark, monkeypatch, block):
+    """Vectors in clusters: a group gets little more than its own, and the result is that of brute force, whatever the size of a block."""
+    monkeypatch.setattr(knn, "BLOCK", block)
+    monkeypatch.setattr(knn, "CHUNK", 200)
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(40, 32))
+    rows = [(i, [float(np.float32(x)) for x in centres[0 if i % 3 == 0 else r.integers(40)] + 0.02 * r.normal(size=32)]) for i in range(6_000)]
+    got = knn.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert collections.Counter(tuple(x) for x in got.result.collect()) == brute_knn(rows)
+    sent = got.dealt.where("not asks").select("grp", "row").distinct().count()
+    assert got.groups >= 3 and sent < 2 * len(rows) and sent < 0.5 * got.groups * len(rows)
+    told = got.dealt.where("asks").groupBy("grp", "block", "chunk").count().agg(F.max("count")).first()[0]
+    assert told <= 2.5 * block + 10
 
 
 # 2. token counts
@@ -129,6 +145,58 @@ def test_classifier_on_held_out_labels(spark, data):
     assert sum(not got[r.doc_id].kept for r in junk) >= 0.95 * len(junk)
 
 
+def test_classifier_equals_a_plain_version(spark, data):
+    """The whole result, from the same models fitted on what plain Python gathers."""
+    docs = documents(spark, data)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    said = {i: "".join(map(str, quality.votes(t, Memo(quality.token_code)))) for i, t, _ in docs}
+    patterns = sorted(collections.Counter(said.values()).items())
+    model = quality.LabelModel([p for p, _ in patterns], [n for _, n in patterns])
+    post = dict(zip([p for p, _ in patterns], model.posterior(np.array([[int(c) for c in p] for p, _ in patterns])), strict=True))
+
+    Row = collections.namedtuple("Row", "y dims counts")
+    rows = []
+    for i, t, _ in docs:
+        w = (t or "").split()
+        c = collections.Counter(f for x in w for f in quality.features(x))
+        c[quality.REPEAT] += 2 * quality.repeats(w)
+        dims = sorted(d for d in c if c[d])
+        rows.append(Row(float(post[said[i]]), np.array(dims, np.int32).tobytes(), np.array([c[d] for d in dims], np.int32).tobytes()))
+    scorer = quality.LinearScorer(sorted(rows))
+
+    known = {}
+    for i, t, _ in docs:
+        if i in labels:
+            known[t] = max(known.get(t, 0.0), float(labels[i]))
+    seen = [(y, len((t or "").split()), collections.Counter(f for w in (t or "").split() for f in quality.telling(w))) for t, y in known.items()]
+    n, tox = collections.Counter(f for _, _, c in seen for f in c), collections.Counter(f for y, _, c in seen for f in c if y)
+    prior, several = sum(y for y, _, _ in seen) / len(seen), sum(1 for f in n if n[f] > 1)
+
+    def tells(f):
+        p = min(1 - 1e-9, max(1e-9, tox[f] / n[f]))
+        return n[f] > 1 and p > prior and p >= 0.5 and n[f] * (p * math.log(p / prior) + (1 - p) * math.log((1 - p) / (1 - prior))) > math.log(several / quality.LUCK)
+
+    Known = collections.namedtuple("Known", "y n f c")
+    toxic = quality.ToxicScorer(sorted(Known(y, k, sorted(f for f in c if tells(f)), [c[f] for f in sorted(c) if tells(f)]) for y, k, c in seen))
+    got = {r.doc_id: r for r in quality.classify(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))).collect()}
+    for i, t, _ in docs:
+        w = (t or "").split()
+        weights = [(float(scorer.w[a]) + float(scorer.w[b])) / 2 for a, b in map(quality.features, w)]
+        z = (sum(weights) + quality.repeats(w) * float(scorer.w[quality.REPEAT])) / (len(w) + quality.repeats(w)) + scorer.b if w else 30.0
+        hits = collections.Counter(f for x in w for f in quality.telling(x) if f in toxic.weights)
+        bad = bool(hits) and toxic(hits, len(w)) > 0
+        assert math.isclose(got[i].quality, 1 / (1 + math.exp(-min(30, max(-30, z)))), rel_tol=1e-5, abs_tol=1e-6) and got[i].toxic == bad and got[i].kept == (got[i].quality >= 0.5 and not bad)
+
+
+def test_toxic_documents_held_out(spark, data):
+    """Half of the labels teach; of the other half most toxic documents are found and clean ones left alone."""
+    docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.toxic for r in quality.classify(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where("doc_id % 2 = 0")).collect()}
+    test = labels.where("doc_id % 2 = 1").collect()
+    toxic, clean = [got[r.doc_id] for r in test if r.toxic == 1], [got[r.doc_id] for r in test if r.toxic == 0]
+    assert sum(toxic) >= 0.78 * len(toxic) and sum(clean) <= 0.006 * len(clean)
+
+
 def test_label_model_finds_accuracies():
     r = random.Random(1)
     votes = collections.Counter()
@@ -146,8 +214,11 @@ def test_label_model_finds_accuracies():
 def test_classifier_edges(spark, edge, empty):
     labels = spark.createDataFrame([(4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     got = quality.classify(edge, labels).collect()
-    assert len(got) == edge.count() and all(r.kept for r in got if r.doc_id in (1, 2, 3))
+    assert len(got) == edge.count() and all(r.kept for r in got if r.doc_id in (1, 2, 3)) and not any(r.toxic for r in got)
+    assert len({(r.quality, r.kept) for r in got if r.doc_id == 6}) == 1 and sum(r.doc_id == 6 for r in got) == 2
+    assert next(r for r in got if r.doc_id == 8).kept and 0 <= min(r.quality for r in got) and max(r.quality for r in got) <= 1
     assert quality.classify(empty, labels.limit(0)).count() == 0
+    assert quality.ToxicScorer([]).weights == {}
 
 
 # 4. mixing
@@ -194,13 +265,35 @@ def test_mix_hits_targets_and_reruns_agree(spark, data, edge, empty):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     one = check_mix(docs)
     two = mixing.mix_sources(docs.repartition(5), shard_blocks=8).collect()
-    key = lambda m: (m["doc_id"], m["pass"], m["words"], m["shard"])
+    key = lambda m: (m["doc_id"], m["pass"], m["words"], m["shard"], m["place"], m["text"])
     assert sorted(map(key, one), key=repr) == sorted(map(key, two), key=repr)
     assert {m["shard"] for m in one if m["words"]} == set(range(max(m["shard"] or 0 for m in one) + 1))
+    three = [sorted(map(key, mixing.mix_sources(edge.repartition(n), shard_blocks=8).collect()), key=repr) for n in (1, 7)]
+    assert three[0] == three[1]
     check_mix(edge)
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_with_many_sources(spark):
+    """Every size of source, shares that are reshared many times, and a tree deep enough to be spread."""
+    rows = [(i, words(2 + i % 7 + (400 if i % 50 == 0 else 0), i), None if i % 97 == 0 else f"s{i % 83}") for i in range(1_500)]
+    mixed = check_mix(frame(spark, rows))
+    assert len({m["shard"] for m in mixed}) > 2 ** (mixing.LEVELS - 1)
+
+
+@pytest.mark.parametrize(("total", "marked", "drawn"), [(10, 4, 5), (100, 3, 50), (1_000, 500, 400), (7, 7, 3), (5, 0, 2), (40, 39, 39), (20_000, 9_000, 10_000)])
+def test_draws_are_hypergeometric(spark, total, marked, drawn):
+    n = 40_000
+    c = [F.lit(x).cast("long") for x in (total, marked, drawn)]
+    got = spark.range(n).select(mixing.hypergeometric(*c, mixing._unit(F.lit(5), F.col("id"))).alias("x")).groupBy("x").count().collect()
+    log = lambda k: math.lgamma(k + 1)
+    choose = lambda a, b: log(a) - log(b) - log(a - b)
+    law = {x: math.exp(choose(marked, x) + choose(total - marked, drawn - x) - choose(total, drawn)) for x in range(max(0, drawn - total + marked), min(marked, drawn) + 1)}
+    assert sum(r["count"] for r in got) == n and all(r.x in law for r in got)
+    far = 0.5 * sum(abs(law[x] - {r.x: r["count"] for r in got}.get(x, 0) / n) for x in law)
+    assert far < 0.01 + 0.4 * sum(math.sqrt(p * (1 - p) / n) for p in law.values())
+
+
 def test_mix_writes_the_texts(spark, edge, data, tmp_path):
     """What the shards hold is the documents, whole or cut behind the last word drawn, in shuffled order, with their columns."""
     import corpus_pipeline as cp
@@ -262,35 +355,119 @@ def test_base_scores_counts_and_held_out_gain(spark, data, monkeypatch):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_probabilities_of_a_context_add_up():
-    """Over all known words and the unknown one, at the parent and behind a context."""
-    count, tables = np.array([5, 3, 1, 0, 0]), np.array([2, 1, 1, 0, 0])
-
-    class S:
-        customers, root_tables = np.array([4, 2, 2, 1, 1]), np.array([2, 1, 1, 1, 1])
-
-    m = hpylm.Model(5, 100, 10, 6, 0.7, 0.5)
-    parent = m.parent(S)
-    unknown = (hpylm.ROOT_THETA + m.root_discount * m.root_tables) / (m.v + 1) / (hpylm.ROOT_THETA + m.customers)
-    assert math.isclose(parent.sum() + unknown, 1.0)
-    back = hpylm.THETA + m.discount * tables.sum()
-    p = (np.maximum(count - m.discount * tables, 0) + back * parent) / (hpylm.THETA + count.sum())
-    assert math.isclose(p.sum() + back * unknown / (hpylm.THETA + count.sum()), 1.0)
-
-
-def test_seating_follows_the_restaurant_process():
-    """Mean number of tables against the recursion for it."""
-    for n, s, d in ((2, 1.0, 0.5), (20, 0.3, 0.7), (40, 5.0, 0.2)):
-        keys = np.arange(1, 40_001, dtype=np.uint64)
-        got = hpylm.seat(np.full(40_000, n), np.full(40_000, s), d, keys, 1)
-        r, sims = random.Random(2), []
-        for _ in range(4_000):
-            t = 1
-            for i in range(1, n):
-                t += r.random() < s / (s + i - d * t)
-            sims.append(t)
-        assert abs(got.mean() - np.mean(sims)) < 0.12 and got.min() >= 1 and got.max() <= n
+def one_chunk(docs):
+    """The corpus as one chunk, its pairs counted, and the states of all sweeps, driven by the operator's own steps."""
+    (row,) = hpylm.chunks(docs.coalesce(1), 10**9).collect()
+    c, bits, states, model = hpylm.Chunk(row.asDict()), 5, [], None
+    own = np.ones(len(c.keys), np.bool_)
+    for sweep in range(hpylm.SWEEPS + 1):
+        t = (c.pair_count > 0).astype(np.int64) if model is None else hpylm._seating(c, c.pair_count, *states[-1], sweep)
+        asked = hpylm._word_requests(c, t, own, bits)
+        told = [hpylm._answer_words(model, sweep)(pa.table([[x] for x in r], names=["bucket", "chunk", "keys", "counts"])).to_pylist()[0] for r in asked]
+        facts = {k: sum(r[k] for r in told) for k in ("v", "n", "customers", "root_tables", "ones", "twos")}
+        model = hpylm.Model(facts["v"], facts["n"], facts["customers"], facts["root_tables"], hpylm._discount(int((c.pair_count == 1).sum()), int((c.pair_count == 2).sum())), hpylm._discount(facts["ones"], facts["twos"]))
+        states.append((hpylm.Stats(c, told, bits), model))
+    return c, states
+
+
+def test_probabilities_of_every_context_add_up(spark, data):
+    """The model's own numbers, over all known words and the unknown one, at the parent and behind every context."""
+    c, states = one_chunk(spark.read.parquet(f"{data}/documents.parquet"))
+    for p, (s, m) in zip(hpylm.sampled(c, c.pair_count, states), states[-hpylm.SAMPLES :], strict=True):
+        parent, known = m.parent(s), s.count > 0
+        known[-1] = False  # the start is no word
+        assert math.isclose(parent[known].sum() + m.unknown(), 1.0, rel_tol=1e-9) and (s.root_tables <= s.customers).all()
+        seen = known[c.pair_w]
+        inside = np.bincount(c.pair_u[seen], weights=p[seen], minlength=len(c.words))
+        rest = 1 - np.bincount(c.pair_u[seen], weights=parent[c.pair_w][seen], minlength=len(c.words))
+        context = (s.count > 0) & (np.bincount(c.pair_u, minlength=len(c.words)) > 0)
+        back = (hpylm.THETA + m.discount * s.tables) / (hpylm.THETA + s.count)
+        assert np.allclose((inside + back * rest)[context], 1.0, rtol=1e-9) and context.sum() > 1_000
+
+
+def test_scores_agree_with_a_plain_sampler(spark, data):
+    """Customers seated one at a time in dictionaries, with the same discounts."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    got = {r.doc_id: r.score for r in hpylm.score_documents(docs).collect()}
+    toks = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in docs.collect()}
+    pairs = {i: list(zip(["start", *w[:-1]], w, strict=True)) for i, w in toks.items()}
+    train = collections.Counter(x for i, p in pairs.items() if zlib.crc32(str(i).encode()) % 10 for x in p)
+    known = {w for _, w in train}
+    at = collections.Counter()
+    for (u, _), n in train.items():
+        at[u] += n
+    disc = lambda c: hpylm._discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    d, r, total = disc(train), random.Random(3), collections.defaultdict(float)
+
+    def seats(n, s, dd):
+        t = 1
+        for i in range(1, n):
+            t += r.random() < s / (s + i - dd * t)
+        return t
+
+    runs = 2
+    for _ in range(runs):
+        tables, root, per = dict.fromkeys(train, 1), None, collections.defaultdict(float)
+        for sweep in range(hpylm.SWEEPS + 1):
+            if sweep:
+                tables = {(u, w): seats(n, (hpylm.THETA + d * rest[u]) * p0(w), d) for (u, w), n in train.items()}
+            rest, cust = collections.Counter(), collections.Counter()
+            for (u, w), t in tables.items():
+                rest[u] += t
+                cust[w] += t
+            root = {w: seats(n, (hpylm.ROOT_THETA + d0 * sum(root.values())) / (len(known) + 1), d0) for w, n in cust.items()} if sweep else dict.fromkeys(cust, 1)
+            d0 = disc(cust)
+            base, full = (hpylm.ROOT_THETA + d0 * sum(root.values())) / (len(known) + 1), hpylm.ROOT_THETA + sum(cust.values())
+            p0 = lambda w, cust=cust, root=root, d0=d0, base=base, full=full: (cust[w] - d0 * root.get(w, 0) + base) / full
+            if sweep > hpylm.SWEEPS - hpylm.SAMPLES:
+                for u, w in {x for p in pairs.values() for x in p}:
+                    n, t = train[u, w], tables.get((u, w), 0)
+                    per[u, w] += ((n - d * t + (hpylm.THETA + d * rest[u]) * p0(w)) / (hpylm.THETA + at[u]) if at[u] else p0(w)) / hpylm.SAMPLES
+        for i, p in pairs.items():
+            total[i] += sum(math.log10(per[x]) for x in p) / runs
+    assert all(abs(got[i] - total[i]) < 0.01 * abs(total[i]) + 0.5 for i in pairs) and abs(sum(got.values()) / sum(total.values()) - 1) < 0.003
+
+
+@pytest.mark.parametrize(("n", "s", "d"), [(2, 1.0, 0.5), (20, 0.3, 0.7), (40, 5.0, 0.2), (200, 0.05, 0.9), (200, 2.0, 0.6), (700, 30.0, 0.8), (700, 0.5, 0.05), (1500, 400.0, 0.5)])
+def test_seating_follows_the_restaurant_process(n, s, d):
+    """The law of the number of tables against that of the process, which a recursion over customers gives exactly."""
+    law = np.zeros(n + 1)
+    law[1], t = 1.0, np.arange(n + 1)
+    for i in range(1, n):
+        p = s / (s + np.maximum(i - d * t, 1e-9))
+        law = law * (1 - p) + np.append(0.0, (law * p)[:-1])
+    size = 200_000
+    got = hpylm.seat(np.full(size, n), np.full(size, s), d, np.arange(1, size + 1, dtype=np.uint64), 1)
+    seen = np.bincount(got, minlength=n + 1) / size
+    noise = np.sqrt(law * (1 - law) / size).sum() * 0.8
+    assert got.min() >= 1 and got.max() <= n and 0.5 * np.abs(seen - law).sum() < 0.02 + noise
+    assert abs(got.mean() - (law * t).sum()) < 0.01 * (law * t).sum() + 0.01
+
+
+def test_seating_of_none_and_of_many():
     assert hpylm.seat(np.array([0, 1, 5000]), np.array([1.0] * 3), 0.5, np.arange(3, dtype=np.uint64), 1)[:2].tolist() == [0, 1]
+    big = hpylm.seat(np.full(50, 10**9), np.full(50, 2.0), 0.0, np.arange(50, dtype=np.uint64), 1)
+    assert abs(big.mean() - 2 * math.log(10**9)) < 5
+
+
+def test_chunks_grow_with_the_corpus(monkeypatch):
+    class Plan:
+        def __init__(self, n):
+            self.n = n
+
+        def __getattr__(self, _):
+            return lambda: self
+
+        def __str__(self):
+            return str(self.n)
+
+    def sized(n):
+        return hpylm.chunk_tokens(type("D", (), {"_jdf": Plan(n)}))
+
+    assert sized(10**9) == hpylm.CHUNK_TOKENS and sized(1 << 63) == hpylm.CHUNK_TOKENS
+    for n in (10**11, 10**12, 10**13, 10**14):
+        rows = (n / 4 / sized(n)) ** 2
+        assert rows <= 1.01 * n / 4 / hpylm.ROW_PAIRS * max(1, n / 4 * hpylm.ROW_PAIRS / hpylm.MOST_TOKENS**2)
 
 
 def test_model_edges(edge, empty):
@@ -393,6 +570,21 @@ def test_layouts_become_the_same_turns(spark, schema, make):
         assert x.formatted[span.start : span.end].replace("\\b", "[").replace("\\l", "<").replace("\\e", "\\") == x.t[1].text
 
 
+def test_chat_ids_may_be_text(spark):
+    rows = [("abc", 0, "user", "a"), ("abc", 1, "assistant", "b"), ("7", 0, "user", None), (None, 0, "user", "x")]
+    got = {r.conv_id: r.n_turns for r in chat.digest(chat.render(chat.canonical(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")))).collect()}
+    assert got == {"abc": 2, "7": 1, None: 1}
+    pairs = spark.createDataFrame([("x-1", "q", "a"), ("x-1", "q", "a"), (None, "", None)], "id string, prompt string, response string")
+    assert sorted(r.conv_id or "" for r in chat.render(chat.canonical(pairs)).collect()) == ["", "x-1", "x-1"]
+
+
+def test_a_very_long_conversation(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<t "), F.col("id").cast("string")).alias("text"))
+    (got,) = chat.digest(chat.render(chat.canonical(rows))).collect()
+    loss = "".join(f"<t {i}" for i in range(1, 20_000, 2))
+    assert got.n_turns == 20_000 and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_chat_edges(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("formatted", "turns", "parts", "id")})
@@ -589,7 +781,8 @@ def passages(seed=3):
 
 @pytest.mark.parametrize("most", [2_000, 1])
 def test_cut_equals_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(substrings, "MOST", most)
+    """Also with every group split until its members are alike."""
+    monkeypatch.setattr(substrings, "GROUP", most)
     rows = passages()
     got = substrings.cut_repeats(frame(spark, [(i, t, None) for i, t in rows])).collect()
     assert collections.Counter(map(tuple, got)) == brute_cut(rows)
@@ -600,6 +793,32 @@ def test_cut_of_the_corpus(spark, data):
     assert collections.Counter(map(tuple, queries.op10_repeated_substrings(spark, data).collect())) == brute_cut(rows)
 
 
+def test_group_halves_hold_every_window_once():
+    r = random.Random(2)
+    for _ in range(200):
+        before, behind = r.randint(0, 136), r.randint(0, 136)
+        text = bytes(r.randrange(256) for _ in range(max(200, before + 64 + behind)))
+        todo, windows = [(5, 1, 1000, before, 64, True, text)], []
+        while todo:
+            g, k, base, off, core, need, t = todo.pop()
+            parts = substrings.halves(g, k, base, off, core, need, t)
+            assert all(p[4] > core and p[6][p[3] : p[3] + p[4]] == text[p[2] - 1000 + p[3] : p[2] - 1000 + p[3] + p[4]] for p in parts)
+            todo += parts
+            windows += [base] if core == 200 else []
+        first, last = max(0, before + 64 - 200), min(before, len(text) - 200)
+        assert set(range(first, last + 1)) <= set(windows) and len(windows) == len(set(windows))
+
+
+def test_copies_of_a_row_are_told_of_once(spark):
+    """What is gathered for rows alike in id and text doesn't grow with their number."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(5_000))
+    told = [substrings.repeated_starts(frame(spark, [(1, text, None)] * n).select("doc_id", "text")).count() for n in (2, 400)]
+    assert told[0] == told[1] > 0
+    got = substrings.cut_repeats(frame(spark, [(1, text, None)] * 1_600)).collect()
+    assert len(got) == 1_600 and {(x.n_removed, x.n_spans) for x in got} == {(5_000, 1)}
+
+
 def test_cut_edges(edge, empty):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     assert collections.Counter(map(tuple, substrings.cut_repeats(edge).collect())) == brute_cut(rows)
