@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,70 +10,89 @@ from ..catalog import query
 from ..config import DEFAULT, Art
 from ..plans.fold import keyed_fold
 from ..sources.fixtures import MEMORIES, TURNS, cosine, memories, turns
-from .segments import py_cosine
+from .segments import direction
 from .vectors import mean_vectors
 
+_COS = "list_cosine_similarity"
+
+
+def py_blend(a: np.ndarray, b: np.ndarray, beta: float) -> np.ndarray:
+    return direction(a * (1 - beta) + b * beta)
+
+
+class Centroids:
+    """Vectors that are held against another one all at once."""
 
-def py_blend(a: list[float], b: list[float], beta: float) -> list[float]:
-    v = [x * (1 - beta) + y * beta for x, y in zip(a, b, strict=True)]
-    n = math.sqrt(sum(x * x for x in v))
-    return [x / n for x in v] if n > 0 else v
+    def __init__(self):
+        self.n, self.rows, self.units = 0, np.zeros((0, 0)), np.zeros((0, 0))
+
+    def put(self, at: int, v: np.ndarray) -> None:
+        if at == self.n:
+            if self.n == len(self.rows):
+                size = max(8, 2 * self.n)
+                self.rows, self.units = (np.vstack([x.reshape(-1, len(v)), np.zeros((size - len(x), len(v)))]) for x in (self.rows, self.units))
+            self.n += 1
+        self.rows[at], self.units[at] = v, direction(v)
+
+    def likeness(self, v: np.ndarray) -> np.ndarray:
+        return self.units[: self.n] @ direction(v)
 
 
 class Map:
-    """Categories and bundles of one topic."""
+    """Categories and bundles of one topic, numbered from 1."""
 
     def __init__(self, anchor: str):
         self.anchor = anchor
-        self.categories: list[dict] = []
-        self.bundles: list[dict] = []
+        self.categories, self.bundles = Centroids(), Centroids()
+        #: the bundle of each category
+        self.home: list[int] = []
         self.last_bundle: int | None = None
 
 
-def _nearest(rows: list[dict], vec: list[float]) -> tuple[dict | None, float]:
-    best, at = -2.0, None
-    for r in rows:
-        if (c := py_cosine(r["centroid"], vec)) > best:
-            best, at = c, r
-    return at, best
+def _nearest(c: Centroids, vec: np.ndarray) -> tuple[int, float]:
+    """Place and likeness of the nearest, the first on a tie; -1 if there are none."""
+    if not c.n:
+        return -1, -2.0
+    sims = c.likeness(vec)
+    at = int(sims.argmax())
+    return at, float(sims[at])
 
 
-def _assign_bundle(s: Map, cat: dict, cfg: Art) -> dict:
+def _assign_bundle(s: Map, cat: int, cfg: Art) -> int:
     """The category's own bundle while it fits, else the nearest that does, else a new one."""
-    current = next((b for b in s.bundles if b["id"] == cat.get("bundle")), None)
-    if current and py_cosine(cat["centroid"], current["centroid"]) >= cfg.bundle_at:
-        current["centroid"] = py_blend(current["centroid"], cat["centroid"], cfg.bundle_beta)
-        return current
-    best, sim = _nearest(s.bundles, cat["centroid"])
-    if best is not None and sim >= cfg.bundle_at:
+    centroid = s.categories.rows[cat]
+    current = s.home[cat] - 1
+    if current >= 0 and float(s.bundles.units[current] @ direction(centroid)) >= cfg.bundle_at:
+        s.bundles.put(current, py_blend(s.bundles.rows[current], centroid, cfg.bundle_beta))
+        return current + 1
+    best, sim = _nearest(s.bundles, centroid)
+    if best >= 0 and sim >= cfg.bundle_at:
         # joining blends once for the category and once for the move
-        best["centroid"] = py_blend(py_blend(best["centroid"], cat["centroid"], cfg.bundle_beta), cat["centroid"], cfg.bundle_beta)
-        return best
-    made = {"id": len(s.bundles) + 1, "centroid": cat["centroid"]}
-    s.bundles.append(made)
-    return made
+        s.bundles.put(best, py_blend(py_blend(s.bundles.rows[best], centroid, cfg.bundle_beta), centroid, cfg.bundle_beta))
+        return best + 1
+    s.bundles.put(s.bundles.n, centroid)
+    return s.bundles.n
 
 
 def art_step(cfg: Art):
     """Where one memory goes: category and bundle, whether they are new, and the bundle inserted into before."""
 
     def step(s: Map, row: dict) -> list[tuple]:
-        vec = row["vec"]
+        vec = np.asarray(row["vec"], np.float64)
         cat, sim = _nearest(s.categories, vec)
-        new = cat is None or sim < cfg.category_at
+        new = cat < 0 or sim < cfg.category_at
         if new:
-            cat, sim = {"id": len(s.categories) + 1, "centroid": vec, "support": 0}, 1.0
-            s.categories.append(cat)
+            cat, sim = s.categories.n, 1.0
+            s.categories.put(cat, vec)
+            s.home.append(0)
         else:
-            cat["centroid"] = py_blend(cat["centroid"], vec, cfg.category_beta)
-            sim = py_cosine(cat["centroid"], vec)
-        cat["support"] += 1
-        before = len(s.bundles)
-        bundle = _assign_bundle(s, cat, cfg)
-        cat["bundle"] = bundle["id"]
-        linked = s.last_bundle if s.last_bundle not in (None, bundle["id"]) else None
-        s.last_bundle = bundle["id"]
-        return [(s.anchor, row["turn"], row["mem_id"], cat["id"], bundle["id"], new, len(s.bundles) > before, float(sim), linked)]
+            s.categories.put(cat, py_blend(s.categories.rows[cat], vec, cfg.category_beta))
+            sim = float(s.categories.units[cat] @ direction(vec))
+        before = s.bundles.n
+        bundle = s.home[cat] = _assign_bundle(s, cat, cfg)
+        linked = s.last_bundle if s.last_bundle not in (None, bundle) else None
+        s.last_bundle = bundle
+        return [(s.anchor, row["turn"], row["mem_id"], cat + 1, bundle, new, s.bundles.n > before, sim, linked)]
 
     return step
 
@@ -86,12 +104,45 @@ def art_map(mem: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
     return keyed_fold(mem.select("anchor", "turn", "mem_id", "vec"), "anchor", ["turn", "mem_id"], Map, art_step(cfg), ART_SCHEMA)
 
 
+def _unit_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+
+
+def _blend_sql(a: str, b: str, beta: float) -> str:
+    return f"list_transform(range(1, 65), lambda i: {a}[i] * {1 - beta!r} + {b}[i] * {beta!r})"
+
+
+def art_sql(mem: str) -> str:
+    """The map as a recursive query, one step a memory, as ``art``."""
+    return f"""ax AS (SELECT anchor, turn, mem_id, vec, row_number() OVER (PARTITION BY anchor ORDER BY turn, mem_id) AS n FROM {mem}),
+art AS MATERIALIZED (WITH RECURSIVE f AS (
+  SELECT anchor, n, turn, mem_id, 1 AS category, 1 AS bundle, true AS new_category, true AS new_bundle, 1.0::DOUBLE AS score, NULL::INT AS linked_from, [{{'c': vec, 'b': 1}}] AS cats, [vec] AS buns FROM ax WHERE n = 1
+  UNION ALL
+  SELECT anchor, n, turn, mem_id, cid, bid, fresh, bid > len(buns), score, CASE WHEN old <> bid THEN old END,
+    CASE WHEN fresh THEN list_append(cats, {{'c': cc, 'b': bid}}) ELSE list_transform(cats, lambda k, i: CASE WHEN i = cid THEN {{'c': cc, 'b': bid}} ELSE k END) END,
+    CASE WHEN bid > len(buns) THEN list_append(buns, cc) ELSE list_transform(buns, lambda k, i: CASE WHEN i = bid THEN bc ELSE k END) END
+  FROM (SELECT *, CASE WHEN own THEN u1 ELSE u2 END AS bc FROM (SELECT *, {_unit_sql('b2')} AS u2 FROM (
+   SELECT *, {_blend_sql('u1','cc',0.18)} AS b2 FROM (SELECT *, {_unit_sql('b1')} AS u1 FROM (
+    SELECT *, {_blend_sql('bbase','cc',0.18)} AS b1 FROM (SELECT *, CASE WHEN bid <= len(buns) THEN buns[bid] ELSE cc END AS bbase FROM (
+     SELECT *, CASE WHEN own THEN was WHEN bm >= 0.82 THEN list_position(bs, bm) ELSE len(buns) + 1 END AS bid, NOT own AND bm >= 0.82 AS joins FROM (
+      SELECT *, list_max(bs) AS bm, coalesce({_COS}(cc, buns[was]) >= 0.82, false) AS own FROM (
+       SELECT *, list_transform(buns, lambda k: {_COS}(k, cc)) AS bs, CASE WHEN fresh THEN 1.0 ELSE {_COS}(cc, vec) END AS score, cats[cid].b AS was FROM (
+        SELECT *, CASE WHEN fresh THEN vec ELSE c2 END AS cc FROM (SELECT *, {_unit_sql('c1')} AS c2 FROM (
+         SELECT *, {_blend_sql('base','vec',0.28)} AS c1 FROM (SELECT *, CASE WHEN fresh THEN vec ELSE cats[cid].c END AS base FROM (
+          SELECT *, list_max(cs) < 0.88 AS fresh, CASE WHEN list_max(cs) < 0.88 THEN len(cats) + 1 ELSE list_position(cs, list_max(cs)) END AS cid FROM (
+           SELECT f.anchor, x.n, x.turn, x.mem_id, x.vec, cats, buns, bundle AS old, list_transform(cats, lambda k: {_COS}(k.c, x.vec)) AS cs FROM f JOIN ax x ON x.anchor = f.anchor AND x.n = f.n + 1))))))))))))))))
+  SELECT anchor, turn, mem_id, category, bundle, new_category, new_bundle, score, linked_from FROM f)"""
+
+
+_ART = f"WITH {TURNS}, {MEMORIES}, {art_sql('mem')}"
+
+
 def _art(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     mem = memories(turns(spark, sf_dir))
     return mem, art_map(mem)
 
 
-@query("a1_categories")
+@query("a1_categories", f"{_ART}, x AS (SELECT *, row_number() OVER (PARTITION BY anchor, category ORDER BY round(score, 9) DESC, mem_id) AS k FROM art) SELECT anchor, category, count(*) AS support, max(turn) AS last_turn, list(mem_id ORDER BY k) FILTER (WHERE k <= 12) AS exemplars FROM x GROUP BY ALL")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories with their support and their twelve best exemplars."""
     _, a = _art(spark, sf_dir)
@@ -100,7 +151,7 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("n", n).groupBy("anchor", "category").agg(F.count("*").alias("support"), F.max("turn").alias("last_turn"), best.alias("exemplars"))
 
 
-@query("a2_bundles")
+@query("a2_bundles", f"{_ART} SELECT anchor, bundle, list_sort(list(DISTINCT category)) AS categories, count(*) AS inserts, max(turn) AS last_turn FROM art GROUP BY ALL")
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, a = _art(spark, sf_dir)
     return a.groupBy("anchor", "bundle").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.count("*").alias("inserts"), F.max("turn").alias("last_turn"))
@@ -113,7 +164,10 @@ def bundle_links(a: DataFrame) -> DataFrame:
     return both.groupBy("anchor", "bundle", "other").agg(F.count("*").cast("double").alias("weight"))
 
 
-@query("a3_bundle_links")
+_LINKS = "lk AS (SELECT anchor, bundle, other, count(*)::DOUBLE AS weight FROM (SELECT anchor, linked_from AS bundle, bundle AS other FROM art WHERE linked_from IS NOT NULL UNION ALL SELECT anchor, bundle, linked_from FROM art WHERE linked_from IS NOT NULL) GROUP BY ALL)"
+
+
+@query("a3_bundle_links", f"{_ART}, {_LINKS} SELECT anchor, bundle, other, weight FROM lk")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle_links(_art(spark, sf_dir)[1])
 
@@ -137,32 +191,98 @@ def _ranked(df: DataFrame, by: Column, group: list[str], tie: str, most: int) ->
     return df.withColumn("n", n).where(F.col("n") <= most).drop("n")
 
 
-def candidates(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
-    """qid, anchor, mem_id, score, route of the memories that each query (qid, anchor, qv) should look at.
+def chosen_bundles(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """qid, anchor, qv, bundle, bs, r: the bundles that each query (qid, anchor, qv) looks into, the best first.
 
-    By bundle: those within the margin of the best, filled up from linked
-    bundles, four categories in all.  Where no bundle fits, by category.
+    Those within the margin of the best, if that fits at all; where it is
+    alone, the best of its two strongest neighbours besides.
     """
-    b, c = _centroids(mem, assigned, "bundle"), _centroids(mem, assigned, "category")
-    home = assigned.groupBy("anchor", "category").agg(F.max_by("bundle", "turn").alias("bundle"))
+    b = _centroids(mem, assigned, "bundle")
     qb = queries.join(b, "anchor").select("qid", "anchor", "qv", "bundle", cosine(F.col("qv"), F.col("centroid")).alias("bs"))
+    best = F.row_number().over(Window.partitionBy("qid", "anchor").orderBy(F.round("bs", 9).desc(), "bundle"))
     top = F.max("bs").over(Window.partitionBy("qid", "anchor"))
-    qb = qb.withColumn("top", top)
-    good = _ranked(qb.where((F.col("top") >= cfg.bundle_at) & (F.col("bs") >= F.col("top") - cfg.bundle_margin)), F.col("bs"), ["qid", "anchor"], "bundle", cfg.bundles)
-    near = good.join(links, ["anchor", "bundle"]).groupBy("qid", "anchor", F.col("other").alias("bundle")).agg(F.max("weight").alias("strength"))
-    near = near.join(good.select("qid", "anchor", "bundle"), ["qid", "anchor", "bundle"], "left_anti").join(qb.drop("top"), ["qid", "anchor", "bundle"])
-    near = _ranked(near.withColumn("ns", F.col("strength") + 0.35 * F.col("bs")), F.col("ns"), ["qid", "anchor"], "bundle", cfg.neighbours)
-    taken = good.select("qid", "anchor", "qv", "bundle", "bs").unionByName(near.select("qid", "anchor", "qv", "bundle", "bs"))
-    by_bundle = taken.join(home, ["anchor", "bundle"]).join(c, ["anchor", "category"]).select("qid", "anchor", "category", "qv", "bs", cosine(F.col("qv"), F.col("centroid")).alias("cs"))
-    by_bundle = _ranked(by_bundle, 0.55 * F.col("cs") + 0.25 * F.col("bs"), ["qid", "anchor"], "category", cfg.categories).withColumn("route", F.lit("bundle"))
-    lost = queries.join(qb.where(F.col("top") >= cfg.bundle_at).select("qid", "anchor").distinct(), ["qid", "anchor"], "left_anti")
-    by_cat = lost.join(c, "anchor").select("qid", "anchor", "category", "qv", F.lit(0.0).alias("bs"), cosine(F.col("qv"), F.col("centroid")).alias("cs"))
-    by_cat = _ranked(by_cat, F.col("cs"), ["qid", "anchor"], "category", cfg.categories).withColumn("route", F.lit("category"))
-    m = assigned.select("anchor", "category", "mem_id", F.col("score").alias("stored")).join(mem.select("mem_id", "vec"), "mem_id")
-    j = by_bundle.unionByName(by_cat).join(m, ["anchor", "category"])
-    exemplar = F.greatest("stored", cosine(F.col("qv"), F.col("vec")))
-    score = F.when(F.col("route") == "bundle", 0.55 * F.col("cs") + 0.25 * F.col("bs") + 0.20 * exemplar).otherwise(0.76 * F.col("cs") + 0.24 * exemplar)
-    return j.groupBy("qid", "anchor", "mem_id").agg(F.max(score).alias("score"), F.min("route").alias("route"))
+    qr = qb.withColumn("r", best).withColumn("top", top)
+    good = qr.where((F.col("top") >= cfg.bundle_at) & (F.col("r") <= cfg.bundles) & ((F.col("r") == 1) | (F.col("bs") >= F.greatest(F.lit(cfg.bundle_at), F.col("top") - cfg.bundle_margin))))
+    lone = good.withColumn("n", F.count("*").over(Window.partitionBy("qid", "anchor"))).where("n = 1").select("qid", "anchor", "bundle")
+    near = lone.join(links, ["anchor", "bundle"]).select("qid", "anchor", F.col("other").alias("bundle"), "weight")
+    near = _ranked(near, F.col("weight"), ["qid", "anchor"], "bundle", cfg.neighbours).join(qb, ["qid", "anchor", "bundle"])
+    near = _ranked(near, F.col("weight") + 0.35 * F.col("bs"), ["qid", "anchor"], "bundle", 1)
+    return good.select("qid", "anchor", "qv", "bundle", "bs", "r").unionByName(near.select("qid", "anchor", "qv", "bundle", "bs", F.lit(2).alias("r")))
+
+
+def chosen_categories(queries: DataFrame, taken: DataFrame, mem: DataFrame, assigned: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """qid, anchor, qv, bundle, category, bs, cs, route: four categories of each query, an equal share of each bundle and then the nearest of the rest.
+
+    A category counts for every bundle it was ever in.  Queries without a
+    bundle take the nearest categories of the topic.
+    """
+    c = _centroids(mem, assigned, "category")
+    held = assigned.select("anchor", "bundle", "category").distinct()
+    home = assigned.groupBy("anchor", "category").agg(F.max_by("bundle", F.struct("turn", "mem_id")).alias("bundle"))
+    per = Window.partitionBy("qid", "anchor")
+    t = taken.withColumn("share", F.floor((cfg.categories + F.count("*").over(per) - 1) / F.count("*").over(per)))
+    t = t.join(held, ["anchor", "bundle"]).join(c, ["anchor", "category"]).withColumn("cs", cosine(F.col("qv"), F.col("centroid"))).drop("centroid")
+    near = Window.partitionBy("qid", "anchor", "r").orderBy(F.round("cs", 9).desc(), "category")
+    first = t.where("r = 1").withColumn("k", F.row_number().over(near)).where(F.col("k") <= F.col("share")).drop("k")
+    second = t.where("r = 2").join(first.select("qid", "anchor", "category"), ["qid", "anchor", "category"], "left_anti")
+    second = second.withColumn("k", F.row_number().over(near)).where(F.col("k") <= F.col("share")).drop("k")
+    got = first.unionByName(second.select(first.columns))
+    rest = t.join(got.select("qid", "anchor", "category"), ["qid", "anchor", "category"], "left_anti")
+    once = F.row_number().over(Window.partitionBy("qid", "anchor", "category").orderBy("r"))
+    rest = rest.withColumn("o", once).where("o = 1").drop("o")
+    room = got.groupBy("qid", "anchor").agg((cfg.categories - F.count("*")).alias("room"))
+    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("qid", "anchor").orderBy(F.round("cs", 9).desc(), "category"))).join(room, ["qid", "anchor"]).where(F.col("k") <= F.col("room"))
+    names = ["qid", "anchor", "qv", "bundle", "category", "bs", "cs"]
+    by_bundle = got.select(names).unionByName(rest.select(names)).withColumn("route", F.lit("bundle"))
+    lost = queries.join(taken.select("qid", "anchor").distinct(), ["qid", "anchor"], "left_anti")
+    by_cat = lost.join(c, "anchor").select("qid", "anchor", "qv", "category", F.lit(0.0).alias("bs"), cosine(F.col("qv"), F.col("centroid")).alias("cs"))
+    by_cat = _ranked(by_cat, F.col("cs"), ["qid", "anchor"], "category", cfg.categories).join(home, ["anchor", "category"])
+    return by_bundle.unionByName(by_cat.select(names).withColumn("route", F.lit("category")))
+
+
+def exemplars(assigned: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """anchor, category, mem_id, stored: the twelve memories of each category that were most like it when they came."""
+    n = F.row_number().over(Window.partitionBy("anchor", "category").orderBy(F.round("score", 9).desc(), "mem_id"))
+    return assigned.withColumn("n", n).where(F.col("n") <= cfg.exemplars).select("anchor", "category", "mem_id", F.col("score").alias("stored"))
+
+
+def candidates(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """qid, anchor, mem_id, sim, score, bundle, route of the memories that each query (qid, anchor, qv) should look at: the exemplars of its categories."""
+    taken = chosen_bundles(queries, mem, assigned, links, cfg)
+    cats = chosen_categories(queries, taken, mem, assigned, cfg)
+    j = cats.join(exemplars(assigned, cfg), ["anchor", "category"]).join(mem.select("mem_id", "vec"), "mem_id")
+    sim = cosine(F.col("qv"), F.col("vec"))
+    held = lambda c: F.greatest(F.lit(0.0), c)
+    like = held(F.greatest("stored", sim))
+    score = F.when(F.col("route") == "bundle", 0.55 * held(F.col("cs")) + 0.25 * held(F.col("bs")) + 0.20 * like).otherwise(0.76 * held(F.col("cs")) + 0.24 * like)
+    # a memory is in one category, so no pair comes twice
+    return j.select("qid", "anchor", "mem_id", sim.alias("sim"), score.alias("score"), "bundle", "route")
+
+
+def _cent_sql(level: str) -> str:
+    return f"SELECT anchor, {level}, {_unit_sql('v')} AS centroid FROM (SELECT anchor, {level}, list(x ORDER BY p) AS v FROM (SELECT a.anchor, a.{level}, p, avg(m.vec[p]) AS x FROM art a JOIN {{mem}} m USING (mem_id), range(1, 65) r(p) GROUP BY ALL) GROUP BY ALL)"
+
+
+def candidates_sql(mem: str, queries: str) -> str:
+    """``candidates`` as ``ca``, for ``queries`` of qid, anchor, qv; ``tk`` has the bundles."""
+    return f"""bcen AS MATERIALIZED ({_cent_sql('bundle').format(mem=mem)}), ccen AS MATERIALIZED ({_cent_sql('category').format(mem=mem)}), held AS (SELECT DISTINCT anchor, bundle, category FROM art), home AS (SELECT anchor, category, arg_max(bundle, turn) AS home FROM art GROUP BY ALL), {_LINKS},
+qt AS MATERIALIZED ({queries}), qb AS (SELECT qid, anchor, b.bundle, {_COS}(qv, b.centroid) AS bs FROM qt JOIN bcen b USING (anchor)),
+qr AS (SELECT *, row_number() OVER (PARTITION BY qid, anchor ORDER BY round(bs, 9) DESC, bundle) AS r, max(bs) OVER (PARTITION BY qid, anchor) AS top FROM qb),
+sel AS (SELECT qid, anchor, bundle, bs, r FROM qr WHERE top >= 0.82 AND r <= 2 AND (r = 1 OR bs >= greatest(0.82, top - 0.06))), lone AS (SELECT qid, anchor, bundle FROM sel QUALIFY count(*) OVER (PARTITION BY qid, anchor) = 1),
+nb AS (SELECT l.qid, l.anchor, lk.other AS bundle, lk.weight FROM lone l JOIN lk USING (anchor, bundle) QUALIFY row_number() OVER (PARTITION BY qid, anchor ORDER BY weight DESC, other) <= 2),
+nr AS (SELECT nb.qid, nb.anchor, nb.bundle, qb.bs FROM nb JOIN qb USING (qid, anchor, bundle) QUALIFY row_number() OVER (PARTITION BY nb.qid, nb.anchor ORDER BY round(weight + 0.35 * bs, 9) DESC, nb.bundle) = 1),
+tk AS MATERIALIZED (SELECT qid, anchor, bundle, bs, r FROM sel UNION ALL SELECT qid, anchor, bundle, bs, 2 FROM nr), tn AS (SELECT *, count(*) OVER (PARTITION BY qid, anchor) AS nsel FROM tk),
+tc AS (SELECT t.*, h.category, {_COS}(q.qv, c.centroid) AS cs FROM tn t JOIN qt q USING (qid, anchor) JOIN held h USING (anchor, bundle) JOIN ccen c USING (anchor, category)),
+kc AS (SELECT *, row_number() OVER (PARTITION BY qid, anchor, r ORDER BY round(cs, 9) DESC, category) AS k1 FROM tc), first1 AS (SELECT * FROM kc WHERE r = 1 AND k1 <= (4 + nsel - 1) // nsel),
+kd AS (SELECT kc.* FROM kc ANTI JOIN first1 f ON f.qid = kc.qid AND f.anchor = kc.anchor AND f.category = kc.category WHERE kc.r = 2), first2 AS (SELECT * FROM kd QUALIFY row_number() OVER (PARTITION BY qid, anchor ORDER BY round(cs, 9) DESC, category) <= (4 + nsel - 1) // nsel),
+got1 AS (SELECT qid, anchor, bundle, category, bs, cs FROM first1 UNION ALL SELECT qid, anchor, bundle, category, bs, cs FROM first2),
+spill0 AS (SELECT kc.* FROM kc ANTI JOIN got1 g ON g.qid = kc.qid AND g.anchor = kc.anchor AND g.category = kc.category QUALIFY row_number() OVER (PARTITION BY kc.qid, kc.anchor, kc.category ORDER BY kc.r) = 1),
+spill AS (SELECT *, row_number() OVER (PARTITION BY qid, anchor ORDER BY round(cs, 9) DESC, category) AS k FROM spill0), have AS (SELECT qid, anchor, count(*) AS n FROM got1 GROUP BY ALL),
+got AS (SELECT *, 'bundle' AS route FROM got1 UNION ALL SELECT s.qid, s.anchor, s.bundle, s.category, s.bs, s.cs, 'bundle' FROM spill s JOIN have h USING (qid, anchor) WHERE s.k <= 4 - h.n
+  UNION ALL SELECT q.qid, q.anchor, h.home, c.category, 0.0, {_COS}(q.qv, c.centroid), 'category' FROM qt q JOIN ccen c USING (anchor) JOIN home h USING (anchor, category) ANTI JOIN sel s ON s.qid = q.qid AND s.anchor = q.anchor QUALIFY row_number() OVER (PARTITION BY q.qid, q.anchor ORDER BY round({_COS}(q.qv, c.centroid), 9) DESC, c.category) <= 4),
+exm AS (SELECT anchor, category, mem_id, score AS stored FROM art QUALIFY row_number() OVER (PARTITION BY anchor, category ORDER BY round(score, 9) DESC, mem_id) <= 12),
+cs0 AS (SELECT g.*, e.mem_id, e.stored, {_COS}(q.qv, m.vec) AS sim FROM got g JOIN exm e USING (anchor, category) JOIN qt q USING (qid, anchor) JOIN {mem} m ON m.mem_id = e.mem_id),
+ca AS MATERIALIZED (SELECT qid, anchor, mem_id, sim, CASE WHEN route = 'bundle' THEN 0.55 * greatest(0, cs) + 0.25 * greatest(0, bs) + 0.2 * greatest(0, greatest(stored, sim)) ELSE 0.76 * greatest(0, cs) + 0.24 * greatest(0, greatest(stored, sim)) END AS score, bundle, route FROM cs0)"""
 
 
 def _route(spark: SparkSession, sf_dir: str, elsewhere: bool = False) -> DataFrame:
@@ -171,16 +291,22 @@ def _route(spark: SparkSession, sf_dir: str, elsewhere: bool = False) -> DataFra
     if elsewhere:
         other = mem.select("scope_key", F.col("anchor").alias("other")).distinct()
         q = mem.select("scope_key", F.col("mem_id").alias("qid"), "anchor", F.col("vec").alias("qv")).join(other, "scope_key").where("anchor <> other").select("qid", F.col("other").alias("anchor"), "qv")
-    return candidates(q, mem, a, bundle_links(a)).withColumn("score", F.round("score", 6))
+    c = candidates(q, mem, a, bundle_links(a))
+    return c.select("qid", "anchor", "mem_id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), "bundle", "route")
+
 
+_OWN = "SELECT mem_id AS qid, anchor, vec AS qv FROM mem"
+_OTHERS = "SELECT q.mem_id AS qid, o.anchor, q.vec AS qv FROM mem q JOIN (SELECT DISTINCT scope_key, anchor FROM mem) o ON o.scope_key = q.scope_key AND o.anchor <> q.anchor"
+_CA = "SELECT qid, anchor, mem_id, round(sim, 6) AS sim, round(score, 6) AS score, bundle, route FROM ca"
 
-@query("a4_bundle_route")
+
+@query("a4_bundle_route", f"{_ART}, {candidates_sql('mem', _OWN)} {_CA} WHERE route = 'bundle'")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn asks its own topic."""
     return _route(spark, sf_dir).where("route = 'bundle'")
 
 
-@query("a5_category_route")
+@query("a5_category_route", f"{_ART}, {candidates_sql('mem', _OTHERS)} {_CA} WHERE route = 'category'")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn asks the other topics of its scope, none of whose bundles fits."""
     return _route(spark, sf_dir, elsewhere=True).where("route = 'category'")
@@ -211,20 +337,24 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_fold(ev, "key", ["turn"], Prior, reinforce_step(DEFAULT.art), "key string, turn long, value double").withColumn("value", F.round("value", 6))
 
 
-@query("a7_state")
+@query("a7_state", f"{_ART} SELECT anchor, mem_id, category, bundle FROM art")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of a topic's map as a table: every memory's category and bundle."""
     return _art(spark, sf_dir)[1].select("anchor", "mem_id", "category", "bundle")
 
 
-@query("e7_bundle_feedback")
-def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each turn recalls raises the bundles of its memories: the top one as adopted, the others by a share of it."""
-    mem, a = _art(spark, sf_dir)
-    r = _route(spark, sf_dir).where("route = 'bundle'").join(a.select("mem_id", "bundle"), "mem_id")
-    per = r.groupBy("qid", "anchor", "bundle").agg(F.max("score").alias("score"))
-    n = F.row_number().over(Window.partitionBy("qid", "anchor").orderBy(F.col("score").desc(), "bundle"))
-    lr = F.when(F.col("n") == 1, DEFAULT.art.adopt_lr).otherwise(DEFAULT.art.recall_lr * 0.35)
-    ev = per.withColumn("n", n).select(F.concat_ws("#", "anchor", F.col("bundle").cast("string")).alias("key"), F.col("qid").alias("turn"), lr.alias("lr"))
-    v = keyed_fold(ev, "key", ["turn"], Prior, reinforce_step(DEFAULT.art), "key string, turn long, value double")
-    return v.groupBy("key").agg(F.round(F.max_by("value", "turn"), 6).alias("prior"), F.count("*").alias("touches"))
+def bundle_feedback(signals: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """key, turn, lr: what a recall teaches the bundles it looked into (qid, anchor, bundle, r, n), n being the rank of their topic among the chosen.
+
+    Each of them was recalled; if the topic was chosen first, they are adopted
+    too, all but the first by a share of it.
+    """
+    recall = signals.where("n is not null").select(F.concat_ws("#", "anchor", F.col("bundle").cast("string"), F.lit("recall")).alias("key"), F.col("qid").alias("turn"), F.lit(cfg.recall_lr).alias("lr"))
+    adopt = F.when(F.col("r") == 1, cfg.adopt_lr).otherwise(cfg.adopt_lr * 0.35)
+    return recall.unionByName(signals.where("n = 1").select(F.concat_ws("#", "anchor", F.col("bundle").cast("string"), F.lit("adopt")).alias("key"), F.col("qid").alias("turn"), adopt.alias("lr")))
+
+
+def learned(events: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """key, prior, touches after all events (key, turn, lr)."""
+    v = keyed_fold(events, "key", ["turn"], Prior, reinforce_step(cfg), "key string, turn long, value double")
+    return v.groupBy("key").agg(F.max_by("value", "turn").alias("prior"), F.count("*").alias("touches"))

@@ -19,6 +19,11 @@ def _mem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(turns(spark, sf_dir))
 
 
+def _with_now(df: DataFrame, mem: DataFrame) -> DataFrame:
+    """Rows with the last turn of the memories as ``now``: one row joined in, nothing on the driver."""
+    return df.join(F.broadcast(mem.agg(F.max("turn").alias("now"))), F.lit(True))
+
+
 def transitions(mem: DataFrame, cfg: Graph = DEFAULT.graph) -> DataFrame:
     """src, dst, kind, amount, turn: one event whenever the topic of a scope changes."""
     prev = F.lag("anchor").over(Window.partitionBy("scope_key").orderBy("turn"))
@@ -65,45 +70,67 @@ def decayed(events: DataFrame, now: Column, cfg: Graph = DEFAULT.graph) -> DataF
 @query("e3_decay", f"{_M}, {_EV} SELECT src, dst, round(sum(amount * pow(0.995, {_NOW} - turn)), 6) AS weight FROM ev GROUP BY ALL HAVING sum(amount * pow(0.995, {_NOW} - turn)) >= 1e-4")
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = _mem(spark, sf_dir)
-    now = mem.agg(F.max("turn")).first()[0]
-    return decayed(edge_events(mem), F.lit(now)).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return decayed(_with_now(edge_events(mem), mem), F.col("now")).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+def visible_sql(m: str, q: str) -> str:
+    return f"({m}.memory_scope = 'scope' OR ({m}.memory_scope = 'thread' AND {m}.thread_key = {q}.thread_key) OR ({m}.memory_scope = 'actor' AND {m}.actor_key = {q}.actor_key))"
+
+
+def recall_log(mem: DataFrame, back: int = 16, k: int = 3) -> DataFrame:
+    """flow_key, turn, anchor, retrieved, adopted: what each turn recalled and then wrote.
+
+    Recalled are the ``k`` nearest visible memories among the last ``back`` of
+    its own topic, a frame of bounded size; adopted is the memory of the turn.
+    """
+    w = Window.partitionBy("anchor").orderBy("turn").rowsBetween(-back, -1)
+    seen = F.collect_list(F.struct("mem_id", "vec", "memory_scope", "thread_key", "actor_key")).over(w)
+    q = mem.select("scope_key", "turn", "anchor", "mem_id", "vec", "thread_key", "actor_key", seen.alias("seen"))
+    m = q.select("turn", "vec", "thread_key", "actor_key", F.explode("seen").alias("m"))
+    kind = F.col("m.memory_scope")
+    ok = (kind == "scope") | ((kind == "thread") & (F.col("m.thread_key") == F.col("thread_key"))) | ((kind == "actor") & (F.col("m.actor_key") == F.col("actor_key")))
+    near = m.where(ok).select("turn", F.struct((-F.round(cosine(F.col("vec"), F.col("m.vec")), 9)).alias("o"), F.col("m.mem_id").alias("id")).alias("x"))
+    got = near.groupBy("turn").agg(F.array_sort(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, k), lambda x: x["id"])).alias("retrieved"))
+    out = q.select(F.col("scope_key").alias("flow_key"), "turn", "anchor", F.array("mem_id").alias("adopted")).join(got, "turn", "left")
+    return out.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<long>")))
+
 
+def log_sql(mem: str) -> str:
+    return f"""lo AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY turn) AS ln FROM {mem}),
+lg AS MATERIALIZED (SELECT q.scope_key AS flow_key, q.turn, q.anchor, coalesce(l.retrieved, []) AS retrieved, [q.mem_id] AS adopted FROM lo q LEFT JOIN (SELECT turn, list(mem_id ORDER BY mem_id) AS retrieved FROM (SELECT q.turn, m.mem_id FROM lo q JOIN lo m ON m.anchor = q.anchor AND m.ln BETWEEN q.ln - 16 AND q.ln - 1 AND {visible_sql('m', 'q')}
+  QUALIFY row_number() OVER (PARTITION BY q.turn ORDER BY round(list_cosine_similarity(q.vec, m.vec), 9) DESC, m.mem_id) <= 3) GROUP BY 1) l ON l.turn = q.turn)"""
 
-@query("e4_priors", f"{_M}, p AS (SELECT anchor, cluster_id AS mem_id, sum(CASE WHEN turn % 3 = 0 THEN 0.18 ELSE 0.1 END)::DOUBLE AS weight FROM mem GROUP BY ALL) SELECT anchor, mem_id, round(weight, 6) AS weight FROM p QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY round(weight, 9) DESC, mem_id) <= 64")
+
+_LG = log_sql("mem")
+
+
+@query("e4_priors", f"{_M}, {_LG}, p AS (SELECT anchor, mem_id, sum(a)::DOUBLE AS weight FROM (SELECT anchor, unnest(retrieved) AS mem_id, 0.1 AS a FROM lg UNION ALL SELECT anchor, unnest(adopted), 0.18 FROM lg) GROUP BY ALL) SELECT anchor, mem_id, round(weight, 6) AS weight FROM p QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY round(weight, 9) DESC, mem_id) <= 64")
 def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieved and adopted memories raise their topic's prior; clusters stand for memories."""
-    amount = F.when(F.col("turn") % 3 == 0, 0.18).otherwise(0.10)
-    p = _mem(spark, sf_dir).groupBy("anchor", F.col("cluster_id").alias("mem_id")).agg(F.sum(amount).alias("weight"))
+    """Retrieved and adopted memories raise their topic's prior."""
+    g = recall_log(_mem(spark, sf_dir))
+    each = g.select("anchor", F.explode("retrieved").alias("mem_id"), F.lit(DEFAULT.graph.recall).alias("a")).unionByName(g.select("anchor", F.explode("adopted").alias("mem_id"), F.lit(DEFAULT.graph.adopt).alias("a")))
+    p = each.groupBy("anchor", "mem_id").agg(F.sum("a").alias("weight"))
     return prune(p, "anchor", "mem_id", DEFAULT.graph.prior_cap).select("anchor", "mem_id", F.round("weight", 6).alias("weight"))
 
 
-def successors(recalls: DataFrame, cfg: Graph = DEFAULT.graph) -> DataFrame:
-    """flow_key, src, dst, w: what was selected after what, from rows (flow_key, turn, selected, lr)."""
-    prev = F.lag("selected").over(Window.partitionBy("flow_key").orderBy("turn"))
-    r = recalls.withColumn("prev", prev).where("prev is not null")
-    r = r.select("flow_key", "lr", "selected", F.explode("prev").alias("src")).select("flow_key", "lr", "src", F.explode("selected").alias("dst")).where("src <> dst")
-    by = r.groupBy("flow_key", "src", "dst").agg(F.sum("lr").alias("w"))
+def successors(log: DataFrame, cfg: Graph = DEFAULT.graph) -> DataFrame:
+    """flow_key, src, dst, w: what was retrieved or adopted after what was selected at the flow's turn before."""
+    w = Window.partitionBy("flow_key").orderBy("turn")
+    r = log.withColumn("prev", F.lag(F.array_union("retrieved", "adopted")).over(w)).where("prev is not null")
+    r = r.select("flow_key", F.explode("prev").alias("src"), "retrieved", "adopted")
+    pairs = r.select("flow_key", "src", F.explode("retrieved").alias("dst"), F.lit(cfg.recall).alias("a")).unionByName(r.select("flow_key", "src", F.explode("adopted").alias("dst"), F.lit(cfg.adopt).alias("a")))
+    by = pairs.where("src <> dst").groupBy("flow_key", "src", "dst").agg(F.sum("a").alias("w"))
     n = F.row_number().over(Window.partitionBy("flow_key", "src").orderBy(F.round("w", 9).desc(), "dst"))
     return by.withColumn("n", n).where(F.col("n") <= cfg.next_cap).drop("n")
 
 
-def recalls_fx(mem: DataFrame) -> DataFrame:
-    """What each turn selected: itself, its cluster's and its topic's number, by scope as the flow."""
-    return mem.select(F.col("scope_key").alias("flow_key"), "turn", F.array(F.col("cluster_id"), F.col("topic") + 100, F.col("turn") % 7 + 200).alias("selected"), F.when(F.col("turn") % 3 == 0, 0.18).otherwise(0.10).alias("lr"))
-
-
-_SU = "rc AS (SELECT scope_key AS flow_key, turn, [cluster_id, topic + 100, turn % 7 + 200] AS selected, CASE WHEN turn % 3 = 0 THEN 0.18 ELSE 0.1 END::DOUBLE AS lr FROM mem), rl AS (SELECT *, lag(selected) OVER (PARTITION BY flow_key ORDER BY turn) AS prev FROM rc), rx AS (SELECT flow_key, lr, unnest(selected) AS dst, prev FROM rl WHERE prev IS NOT NULL), ry AS (SELECT flow_key, lr, dst, unnest(prev) AS src FROM rx), su0 AS (SELECT flow_key, src, dst, sum(lr) AS w FROM ry WHERE src <> dst GROUP BY ALL), su AS MATERIALIZED (SELECT * FROM su0 QUALIFY row_number() OVER (PARTITION BY flow_key, src ORDER BY round(w, 9) DESC, dst) <= 32)"
+_SU = """sp AS (SELECT flow_key, retrieved, adopted, unnest(prev) AS src FROM (SELECT *, lag(list_concat(retrieved, adopted)) OVER (PARTITION BY flow_key ORDER BY turn) AS prev FROM lg) WHERE prev IS NOT NULL),
+su0 AS (SELECT flow_key, src, dst, sum(a)::DOUBLE AS w FROM (SELECT flow_key, src, unnest(retrieved) AS dst, 0.1 AS a FROM sp UNION ALL SELECT flow_key, src, unnest(adopted), 0.18 FROM sp) WHERE src <> dst GROUP BY ALL), su AS MATERIALIZED (SELECT * FROM su0 QUALIFY row_number() OVER (PARTITION BY flow_key, src ORDER BY round(w, 9) DESC, dst) <= 32)"""
 
 
-@query("e5_successors", f"{_M}, {_SU} SELECT flow_key, src, dst, round(w, 6) AS w FROM su")
+@query("e5_successors", f"{_M}, {_LG}, {_SU} SELECT flow_key, src, dst, round(w, 6) AS w FROM su")
 def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return successors(recalls_fx(_mem(spark, sf_dir))).withColumn("w", F.round("w", 6))
-
-
-@query("e6_recall_edges", f"{_M}, {_EV} SELECT src, dst, round(recall + adopt, 6) AS weight FROM ed WHERE recall + adopt > 0")
-def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(edge_events(_mem(spark, sf_dir)).where("kind in ('recall', 'adopt')"))
-    return e.select("src", "dst", F.round(F.col("recall") + F.col("adopt"), 6).alias("weight"))
+    return successors(recall_log(_mem(spark, sf_dir))).withColumn("w", F.round("w", 6))
 
 
 def live_flows(flows: DataFrame, now: Column, cfg: Graph = DEFAULT.graph) -> DataFrame:
@@ -114,8 +141,8 @@ def live_flows(flows: DataFrame, now: Column, cfg: Graph = DEFAULT.graph) -> Dat
 @query("e8_flow_gc", f"{_M}, fl AS (SELECT actor_key AS flow_key, max(turn) AS last_turn FROM mem GROUP BY 1) SELECT flow_key, last_turn FROM fl WHERE {_NOW} - last_turn <= 128 ORDER BY last_turn DESC, flow_key LIMIT 256")
 def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = _mem(spark, sf_dir)
-    now = mem.agg(F.max("turn")).first()[0]
-    return live_flows(mem.groupBy(F.col("actor_key").alias("flow_key")).agg(F.max("turn").alias("last_turn")), F.lit(now))
+    flows = mem.groupBy(F.col("actor_key").alias("flow_key")).agg(F.max("turn").alias("last_turn"))
+    return live_flows(_with_now(flows, mem), F.col("now")).drop("now")
 
 
 def activation_events(mem: DataFrame, cfg: Activation = DEFAULT.activation) -> DataFrame:
@@ -143,7 +170,7 @@ def activation_step(cfg: Activation):
         if s.last is not None:
             s.strength *= cfg.decay ** (turn - s.last)
             if s.window and s.strength < cfg.close_below:
-                out.append((s.anchor, turn, s.strength, *s.window, "decay"))
+                out.append((s.anchor, turn, s.strength, *s.window, "decay", False))
                 s.window = None
         s.strength = min(cfg.most, s.strength + row["amount"])
         s.last = turn
@@ -154,17 +181,17 @@ def activation_step(cfg: Activation):
             s.window = (start, turn, peak, at, touches + 1, why)
         elif s.strength >= cfg.open_at:
             s.window = (turn, turn, s.strength, turn, 1, row["reason"])
-        out.append((s.anchor, turn, s.strength, None, None, None, None, None, None, "touch"))
+        out.append((s.anchor, turn, s.strength, None, None, None, None, None, None, "touch", s.window is not None))
         return out
 
     return step
 
 
 def _drain(s: Active) -> list[tuple]:
-    return [(s.anchor, s.last, s.strength, *s.window, "open")] if s.window else []
+    return [(s.anchor, s.last, s.strength, *s.window, "open", True)] if s.window else []
 
 
-ACTIVATION_SCHEMA = "anchor string, turn long, strength double, start_turn long, last_turn long, peak double, peak_turn long, touches long, open_reason string, kind string"
+ACTIVATION_SCHEMA = "anchor string, turn long, strength double, start_turn long, last_turn long, peak double, peak_turn long, touches long, open_reason string, kind string, is_open boolean"
 
 
 def activations(events: DataFrame, cfg: Activation = DEFAULT.activation) -> DataFrame:
@@ -181,20 +208,30 @@ def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("anchor", "turn", F.round("strength", 6).alias("strength"))
 
 
-@query("h2_windows")
+_AW = """ae AS (SELECT anchor, turn, ([1.0, 0.1, 0.18])[turn % 3 + 1]::DOUBLE AS amount, (['bind', 'recall', 'adopt'])[turn % 3 + 1] AS why, row_number() OVER (PARTITION BY anchor ORDER BY turn) AS n FROM mem),
+aw AS MATERIALIZED (WITH RECURSIVE f AS (
+  SELECT anchor, n, turn, least(8.0, amount)::DOUBLE AS strength, CASE WHEN amount >= 0.25 THEN {'start_turn': turn, 'last_turn': turn, 'peak': least(8.0, amount)::DOUBLE, 'peak_turn': turn, 'touches': 1::BIGINT, 'open_reason': why} END AS w, NULL::STRUCT(start_turn BIGINT, last_turn BIGINT, peak DOUBLE, peak_turn BIGINT, touches BIGINT, open_reason VARCHAR) AS ended FROM ae WHERE n = 1
+  UNION ALL
+  SELECT anchor, n, turn, s, CASE WHEN kept IS NOT NULL THEN {'start_turn': kept.start_turn, 'last_turn': turn, 'peak': greatest(kept.peak, s), 'peak_turn': CASE WHEN s > kept.peak THEN turn ELSE kept.peak_turn END, 'touches': kept.touches + 1, 'open_reason': kept.open_reason}
+    WHEN s >= 0.25 THEN {'start_turn': turn, 'last_turn': turn, 'peak': s, 'peak_turn': turn, 'touches': 1::BIGINT, 'open_reason': why} END, CASE WHEN d < 0.12 THEN w END
+  FROM (SELECT f.anchor, x.n, x.turn, x.why, w, f.strength * pow(0.985, x.turn - f.turn) AS d, least(8.0, f.strength * pow(0.985, x.turn - f.turn) + x.amount)::DOUBLE AS s, CASE WHEN f.strength * pow(0.985, x.turn - f.turn) >= 0.12 THEN w END AS kept FROM f JOIN ae x ON x.anchor = f.anchor AND x.n = f.n + 1))
+  SELECT * FROM f),
+win AS (SELECT anchor, ended AS w, 'decay' AS kind FROM aw WHERE ended IS NOT NULL UNION ALL SELECT anchor, arg_max(w, n), 'open' FROM aw GROUP BY anchor HAVING arg_max(w IS NOT NULL, n))"""
+
+
+@query("h2_windows", f"{_M}, {_AW} SELECT anchor, w.start_turn AS start_turn, w.last_turn AS last_turn, round(w.peak, 6) AS peak, w.peak_turn AS peak_turn, w.touches AS touches, w.open_reason AS open_reason, kind FROM win QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY w.start_turn DESC) <= 128")
 def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed and open windows, the last 128 of a topic."""
     w = activations(activation_events(_mem(spark, sf_dir))).where("kind <> 'touch'")
     n = F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("start_turn").desc()))
-    return w.withColumn("n", n).where(F.col("n") <= DEFAULT.activation.windows_cap).drop("n", "turn", "strength").withColumn("peak", F.round("peak", 6))
+    return w.withColumn("n", n).where(F.col("n") <= DEFAULT.activation.windows_cap).drop("n", "turn", "strength", "is_open").withColumn("peak", F.round("peak", 6))
 
 
 @query("h3_active_topics", f"{_M}, {_AC}, la AS (SELECT anchor, arg_max(strength, n) * pow(0.985, {_NOW} - max(turn)) AS strength FROM ac GROUP BY 1) SELECT anchor, round(strength, 6) AS strength FROM la WHERE strength >= 0.25 ORDER BY strength DESC, anchor LIMIT 10")
 def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = _mem(spark, sf_dir)
-    now = mem.agg(F.max("turn")).first()[0]
     a = activations(activation_events(mem)).where("kind = 'touch'").groupBy("anchor").agg(F.max_by("strength", "turn").alias("s"), F.max("turn").alias("t"))
-    a = a.select("anchor", (F.col("s") * F.pow(F.lit(DEFAULT.activation.decay), F.lit(now) - F.col("t"))).alias("strength"))
+    a = _with_now(a, mem).select("anchor", (F.col("s") * F.pow(F.lit(DEFAULT.activation.decay), F.col("now") - F.col("t"))).alias("strength"))
     return a.where(F.col("strength") >= DEFAULT.activation.open_at).orderBy(F.col("strength").desc(), "anchor").limit(10).select("anchor", F.round("strength", 6).alias("strength"))
 
 
@@ -206,10 +243,9 @@ def activation_prior(strength: Column, sim: Column, age: Column, is_open: Column
 @query("h4_prior", f"{_M}, {NODES}, {_AC} SELECT ac.anchor, ac.turn, round(CASE WHEN list_cosine_similarity(n.centroid, m.vec) < 0.35 THEN 0 ELSE least(0.1, 0.08 * (ac.strength / 8.0) * ((list_cosine_similarity(n.centroid, m.vec) - 0.35) / 0.65) * exp(-({_NOW} - ac.turn) / 64.0) * CASE WHEN ac.strength >= 0.25 THEN 1.0 ELSE 0.6 END) END, 6)::DOUBLE AS prior FROM ac JOIN nodes n USING (anchor) JOIN mem m ON m.turn = ac.turn")
 def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = _mem(spark, sf_dir)
-    now = mem.agg(F.max("turn")).first()[0]
-    a = activations(activation_events(mem)).where("kind = 'touch'").select("anchor", "turn", "strength")
+    a = _with_now(activations(activation_events(mem)).where("kind = 'touch'").select("anchor", "turn", "strength"), mem)
     a = a.join(topic_nodes(mem).select("anchor", "centroid"), "anchor").join(mem.select("turn", "vec"), "turn")
-    p = activation_prior(F.col("strength"), cosine(F.col("centroid"), F.col("vec")), F.lit(now) - F.col("turn"), F.col("strength") >= 0.25)
+    p = activation_prior(F.col("strength"), cosine(F.col("centroid"), F.col("vec")), F.col("now") - F.col("turn"), F.col("strength") >= 0.25)
     return a.select("anchor", "turn", F.round(p, 6).alias("prior"))
 
 

@@ -116,10 +116,12 @@ def credits(adm: DataFrame, cfg: Guard = DEFAULT.guard) -> DataFrame:
     return keyed_fold(adm.select("actor_key", "turn", "source", "ts", "risk"), "actor_key", ["turn"], Credit, credit_step(cfg), CREDIT_SCHEMA)
 
 
-_ADM = f"""x AS (SELECT *, regexp_replace(user_input, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS s FROM turns),
+def admission_sql(start: float) -> str:
+    """Admissions and running credits from ``start`` on, as ``blocks``."""
+    return f"""x AS (SELECT *, regexp_replace(user_input, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS s FROM turns),
 adm AS (SELECT turn, {_ACTOR} AS actor_key, source, epoch(event_ts)::BIGINT AS ts, {RISK_SQL} AS risk, row_number() OVER (PARTITION BY {_ACTOR} ORDER BY turn) AS n FROM x),
 cr AS (WITH RECURSIVE f AS (
-  SELECT n, actor_key, turn, ts, risk, 0.35::DOUBLE AS before, least(1.0, greatest(0.0, 0.35 * 0.985 + CASE WHEN risk <= 0.05 THEN 0.02 ELSE -0.4 * risk END))::DOUBLE AS after, 0::BIGINT AS held FROM adm WHERE n = 1
+  SELECT n, actor_key, turn, ts, risk, {start}::DOUBLE AS before, least(1.0, greatest(0.0, {start} * 0.985 + CASE WHEN risk <= 0.05 THEN 0.02 ELSE -0.4 * risk END))::DOUBLE AS after, 0::BIGINT AS held FROM adm WHERE n = 1
   UNION ALL
   SELECT a.n, a.actor_key, a.turn, a.ts, a.risk, f.after, least(1.0, greatest(0.0, f.after * 0.985 + CASE WHEN a.risk <= 0.05 THEN 0.02 ELSE -0.4 * a.risk END))::DOUBLE,
     CASE WHEN f.after <= 0.25 THEN greatest(CASE WHEN f.held > 0 AND f.ts >= f.held THEN CASE WHEN f.before >= 0.75 THEN 0 ELSE f.ts + 3600 END ELSE f.held END, f.ts + 3600) ELSE CASE WHEN f.held > 0 AND f.ts >= f.held THEN CASE WHEN f.before >= 0.75 THEN 0 ELSE f.ts + 3600 END ELSE f.held END END
@@ -128,6 +130,11 @@ credit AS MATERIALIZED (SELECT *, CASE WHEN held > 0 AND ts >= held THEN CASE WH
 blocks AS MATERIALIZED (SELECT *, CASE WHEN after <= 0.25 THEN greatest(h0, ts + 3600) ELSE h0 END AS blocked_until FROM credit)"""
 
 
+_ADM = admission_sql(DEFAULT.guard.live_credit)
+#: Actors who are trusted from the start, for queries whose path would else be shut for all of the fixture's short lives.
+TRUSTED = DEFAULT.with_values("guard", live_credit=0.9).guard
+
+
 def _credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credits(admissions(turns(spark, sf_dir)))
 

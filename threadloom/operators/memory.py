@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..config import DEFAULT, Graph
 from ..plans.fold import keyed_fold
-from ..sources.fixtures import MEMORIES, TURNS, cosine, memories, turns
-from .segments import py_cosine
+from ..sources.fixtures import MEMORIES, TURNS, memories, turns
+from .segments import direction
 from .text import _FACTS, atomic_facts, fact_key, remove_cot
 
 _M = f"WITH {TURNS}, {MEMORIES}"
@@ -84,30 +86,75 @@ def merge_key() -> Column:
 @query("m4_merge_argmax", f"{_M}, k AS (SELECT mem_id, vec, concat_ws(chr(31), scope_key, memory_scope, CASE memory_scope WHEN 'thread' THEN thread_key WHEN 'actor' THEN actor_key ELSE '' END) AS b FROM mem), p AS (SELECT a.mem_id, b.mem_id AS into_id, list_cosine_similarity(a.vec, b.vec) AS sim, row_number() OVER (PARTITION BY a.mem_id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.mem_id) AS n FROM k a JOIN k b ON a.b = b.b AND b.mem_id < a.mem_id) SELECT mem_id, into_id, round(sim, 6) AS sim FROM p WHERE n = 1 AND sim >= 0.95")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each memory the most similar earlier one of its bucket, if they are alike enough to merge."""
-    k = memories(turns(spark, sf_dir)).select("mem_id", "vec", merge_key().alias("b"))
-    p = k.join(k.select(F.col("mem_id").alias("into_id"), F.col("vec").alias("v"), "b"), "b").where("into_id < mem_id").withColumn("sim", cosine(F.col("vec"), F.col("v")))
-    n = F.row_number().over(Window.partitionBy("mem_id").orderBy(F.round("sim", 9).desc(), "into_id"))
-    return p.withColumn("n", n).where("n = 1 and sim >= 0.95").select("mem_id", "into_id", F.round("sim", 6).alias("sim"))
+    return nearest_earlier(memories(turns(spark, sf_dir)).select("mem_id", "vec", merge_key().alias("b"))).withColumn("sim", F.round("sim", 6))
+
+
+#: Memories of one block; a bucket has as many blocks as it needs, and each task holds two.
+BLOCK = 4096
+
+
+def nearest_earlier(rows: DataFrame, at: float = DEFAULT.graph.merge_at) -> DataFrame:
+    """mem_id, into_id, sim: for each row (mem_id, vec, b) the most similar one of its bucket with a lower id, the lowest id on a tie.
+
+    A bucket is cut into blocks; each pair of blocks is one task's matrix
+    product, from which at most one row for each later memory comes back.
+    """
+    sizes = rows.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    r = rows.join(sizes, "b").withColumn("own", F.pmod(F.xxhash64("mem_id"), F.col("blocks").cast("long")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    late = r.select("b", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "mem_id", "vec")
+    early = r.select("b", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "mem_id", "vec")
+
+    def solve(t: pa.Table) -> pa.Table:
+        asks, ids = np.asarray(t["asks"]), np.asarray(t["mem_id"])
+        v = np.asarray(t["vec"].combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+        n = np.sqrt((v * v).sum(1, keepdims=True))
+        v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+        data = np.flatnonzero(~asks)
+        data = data[np.argsort(ids[data], kind="stable")]
+        out: list[tuple[int, int, float]] = []
+        for q in np.array_split(np.flatnonzero(asks), max(1, int(asks.sum()) // 512)):
+            sims = v[q] @ v[data].T
+            sims[ids[data][None, :] >= ids[q][:, None]] = -2.0
+            best = np.round(sims, 9).argmax(1) if len(data) else np.zeros(len(q), np.int64)
+            top = sims[np.arange(len(q)), best] if len(data) else np.full(len(q), -2.0)
+            out += [(int(ids[x]), int(ids[data[b]]), float(c)) for x, b, c in zip(q, best, top, strict=True) if c >= at]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["mem_id", "into_id", "sim"])
+
+    found = late.unionByName(early).groupBy("b", "i", "j").applyInArrow(solve, "mem_id long, into_id long, sim double")
+    best = F.max(F.struct(F.round("sim", 9).alias("o"), (-F.col("into_id")).alias("minus"), "sim"))
+    return found.groupBy("mem_id").agg(best.alias("x")).select("mem_id", (-F.col("x.minus")).alias("into_id"), "x.sim")
 
 
 class Store:
     """The memories of one merge bucket, in order of their ids."""
 
     def __init__(self, _key: object = None):
-        self.rows: list[tuple[int, list[float]]] = []
+        self.ids: list[int] = []
+        self.rows = np.zeros((0, 0))
+
+    def add(self, ident: int, v: np.ndarray) -> None:
+        if len(self.ids) == len(self.rows):
+            grown = np.zeros((max(16, 2 * len(self.ids)), len(v)))
+            if self.ids:
+                grown[: len(self.ids)] = self.rows
+            self.rows = grown
+        self.rows[len(self.ids)] = v
+        self.ids.append(ident)
 
 
 def merge_step(cfg: Graph):
     """Upsert: into the most similar stored memory, the lowest id on a tie, or a new one.  Stored vectors stay as first written."""
 
     def step(s: Store, row: dict) -> list[tuple]:
-        best, at = -2.0, None
-        for i, v in s.rows:
-            if (c := py_cosine(v, row["vec"])) > best:
-                best, at = c, i
-        if at is not None and best >= cfg.merge_at:
-            return [(row["mem_id"], at, True)]
-        s.rows.append((row["mem_id"], row["vec"]))
+        v = direction(np.asarray(row["vec"], np.float64))
+        if s.ids:
+            sims = s.rows[: len(s.ids)] @ v
+            at = int(sims.argmax())
+            if sims[at] >= cfg.merge_at:
+                return [(row["mem_id"], s.ids[at], True)]
+        s.add(row["mem_id"], v)
         return [(row["mem_id"], row["mem_id"], False)]
 
     return step
@@ -115,10 +162,33 @@ def merge_step(cfg: Graph):
 
 def upsert(mem: DataFrame, cfg: Graph = DEFAULT.graph) -> DataFrame:
     """mem_id, stored_id, merged: the sequence of inserts and merges."""
-    return keyed_fold(mem.select(merge_key().alias("bucket"), "mem_id", "vec"), "bucket", ["mem_id"], Store, merge_step(cfg), "mem_id long, stored_id long, merged boolean")
+    return upsert_in(mem.select(merge_key().alias("b"), "mem_id", "vec"), cfg).drop("b")
+
+
+def upsert_in(rows: DataFrame, cfg: Graph = DEFAULT.graph) -> DataFrame:
+    """b, mem_id, stored_id, merged: the same for rows whose bucket b is known; ids count inside a bucket."""
+    step = merge_step(cfg)
+    return keyed_fold(rows.select("b", "mem_id", "vec"), "b", ["mem_id"], Store, lambda s, row: [(row["b"], *r) for r in step(s, row)], "b string, mem_id long, stored_id long, merged boolean")
+
+
+# Earlier memories of the bucket by likeness; the first of them that is stored decides.
+def upsert_sql(src: str) -> str:
+    """``upsert`` as ``up``, over ``src`` of b (the bucket), mem_id and vec."""
+    return f"""uk AS MATERIALIZED ({src}),
+uc AS (SELECT a.b, a.mem_id, list({{'id': b.mem_id, 's': list_cosine_similarity(a.vec, b.vec)}} ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.mem_id) AS near FROM uk a JOIN uk b ON a.b = b.b AND b.mem_id < a.mem_id GROUP BY ALL),
+ux AS (SELECT uk.b, uk.mem_id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY uk.b ORDER BY uk.mem_id) AS n FROM uk LEFT JOIN uc USING (b, mem_id)),
+up AS MATERIALIZED (WITH RECURSIVE f AS (
+  SELECT b, n, mem_id, mem_id AS stored_id, false AS merged, [mem_id] AS ids FROM ux WHERE n = 1
+  UNION ALL
+  SELECT b, n, mem_id, CASE WHEN hit.s >= 0.95 THEN hit.id ELSE mem_id END, coalesce(hit.s >= 0.95, false), CASE WHEN hit.s >= 0.95 THEN ids ELSE list_append(ids, mem_id) END
+  FROM (SELECT x.b, x.n, x.mem_id, ids, list_filter(x.near, lambda c: list_contains(ids, c.id))[1] AS hit FROM f JOIN ux x ON x.b = f.b AND x.n = f.n + 1))
+  SELECT b, mem_id, stored_id, merged FROM f)"""
+
+
+_BUCKETS = "SELECT mem_id, vec, concat_ws(chr(31), scope_key, memory_scope, CASE memory_scope WHEN 'thread' THEN thread_key WHEN 'actor' THEN actor_key ELSE '' END) AS b FROM mem"
 
 
-@query("m4_upsert")
+@query("m4_upsert", f"{_M}, {upsert_sql(_BUCKETS)} SELECT mem_id, stored_id, merged FROM up")
 def m4_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(memories(turns(spark, sf_dir)))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +18,10 @@ from ..catalog import query
 from ..config import DEFAULT
 from ..config import Router as Settings
 from ..plans.fold import keyed_fold
-from ..sources.fixtures import MEMORIES, TURNS, cosine, memories, turns
+from ..sources.fixtures import MEMORIES, TURNS, memories, turns
 from .guard import actor_key, scope_key
-from .segments import py_cosine, py_mean
-from .text import has_cue, is_reaction, mentions
+from .segments import direction, sql_mean
+from .text import _CUE, _MENTION, _REACTION, has_cue, is_reaction, mentions
 
 _T = f"WITH {TURNS}"
 
@@ -32,9 +32,8 @@ class Stream:
     segment: int
     start: int
     window: list = field(default_factory=list)
-    centroid: list = field(default_factory=list)
-    head: list = field(default_factory=list)
-    tail: list = field(default_factory=list)
+    #: directions of the mean of the window, of the last and of the first vector, one row each
+    points: np.ndarray | None = None
     last_turn: int = 0
     last_actor: str = ""
     confirmed: int = 0
@@ -86,18 +85,20 @@ class Router:
         self.next_stream = self.next_segment = 1
         self.last_assigned, self.streak, self.hold_until = None, 0, 0
         self.lost: list[dict] = []
+        #: (score, likeness, stream, stability) of the streams at the message routed last, best first
+        self.ranked: list[tuple[float, float, int, float]] = []
 
-    def _open(self, turn: int, vec: list[float], actor: str, **kind: bool) -> Stream:
-        s = Stream(self.next_stream, self.next_segment, turn, [vec], vec, vec, vec, turn, actor, **kind)
+    def _open(self, turn: int, vec: np.ndarray, actor: str, **kind: bool) -> Stream:
+        s = Stream(self.next_stream, self.next_segment, turn, [vec], np.stack([direction(vec)] * 3), turn, actor, **kind)
         self.next_stream += 1
         self.next_segment += 1
         self.streams[s.id] = s
         return s
 
-    def _renew(self, s: Stream, turn: int, vec: list[float], actor: str) -> None:
+    def _renew(self, s: Stream, turn: int, vec: np.ndarray, actor: str) -> None:
         """A new segment of the same thread begins with this message."""
         s.segment, self.next_segment = self.next_segment, self.next_segment + 1
-        s.start, s.window, s.centroid, s.head, s.tail, s.last_turn, s.last_actor = turn, [vec], vec, vec, vec, turn, actor
+        s.start, s.window, s.points, s.last_turn, s.last_actor = turn, [vec], np.stack([direction(vec)] * 3), turn, actor
 
     def _drop(self, keep) -> None:
         """Streams go, but what they still held is committed first."""
@@ -115,8 +116,8 @@ class Router:
 
     def score(self, s: Stream, row: dict) -> tuple[float, float]:
         """How well a message fits a stream, and its likeness for the reset test."""
-        cfg, vec, turn = self.cfg, row["vec"], row["turn"]
-        c, t, h = (py_cosine(v, vec) for v in (s.centroid, s.tail, s.head))
+        cfg, turn = self.cfg, row["turn"]
+        c, t, h = (s.points @ row["unit"]).tolist()
         total = cfg.w_centroid * c + cfg.w_tail * t + cfg.w_head * h
         if row["actor"] and row["actor"] == s.last_actor:
             total += cfg.same_actor
@@ -139,11 +140,15 @@ class Router:
         return s is not None and not s.orphan and max(0, turn - s.last_turn) <= self.cfg.recent_turns
 
     def route(self, row: dict) -> Choice:
-        cfg, vec, turn, actor = self.cfg, row["vec"], row["turn"], row["actor"]
-        if not vec or turn <= 0:
+        cfg, turn, actor = self.cfg, row["turn"], row["actor"]
+        self.ranked = []
+        if row["vec"] is None or not len(row["vec"]) or turn <= 0:
             return Choice()
+        vec = row["vec"] = np.asarray(row["vec"], np.float64)
+        row["unit"] = direction(vec)
         self._evict(turn)
         ranked = sorted(((*self.score(s, row), s) for s in self.streams.values() if not s.ambient), key=lambda x: (-x[0], x[2].id))
+        self.ranked = [(v, like, s.id, stability_of(s, turn, cfg)) for v, like, s in ranked]
         ch = Choice(best=ranked[0][0] if ranked else -1.0, second=ranked[1][0] if len(ranked) > 1 else -1.0)
         best = ranked[0][2] if ranked else None
         real = sum(s.counts for s in self.streams.values())
@@ -210,7 +215,7 @@ class Router:
         if s is None or (ch.pending_only and s.counts):
             return
         s.window = [*s.window, row["vec"]][-self.cfg.window :] if s.window[-1] is not row["vec"] else s.window
-        s.centroid, s.tail = py_mean(s.window), row["vec"]
+        s.points[0], s.points[1] = direction(np.mean(s.window, axis=0)), row["unit"]
         s.confirmed += not ch.pending_only
         s.last_turn, s.last_actor = row["turn"], row["actor"]
         s.participants[row["actor"]] = s.participants.get(row["actor"], 0) + 1
@@ -259,9 +264,13 @@ class Router:
         self.lost = []
         return out
 
-    def export(self) -> dict:
-        """The scope's state as plain data."""
-        return {"scope_key": self.scope, "next_stream": self.next_stream, "next_segment": self.next_segment, "streams": [{"id": s.id, "segment": s.segment, "turns": s.confirmed, "pending": len(s.pending)} for s in self.streams.values()]}
+    def unsettled(self) -> list[tuple[int, dict]]:
+        """Events that are still held, each with its stream."""
+        return [(s.id, e) for s in self.streams.values() for e in [*s.pending, *s.local]]
+
+    def export(self) -> list[tuple]:
+        """The scope's state as plain data: one row a stream."""
+        return [(self.scope, self.next_stream, self.next_segment, s.id, s.segment, s.confirmed, len(s.pending), len(s.local)) for s in self.streams.values()]
 
 
 ROUTE_SCHEMA = "kind string, scope_key string, turn long, at_turn long, decision string, reason string, stream long, thread_key string, segment_key string, confidence double, best double, second double, pending_only boolean, boundary boolean, merged boolean, local_sequence boolean, mode string"
@@ -281,107 +290,180 @@ def _committed(r: Router, e: dict, at: int) -> tuple:
 
 
 def _finish(r: Router) -> list[tuple]:
-    return [_committed(r, e, 0) for e in r.drain()]
+    held = [("held", r.scope, e["turn"], 0, None, None, i, e["thread_key"], e["segment_key"], None, None, None, None, None, None, None, None) for i, e in r.unsettled()]
+    return held + [_committed(r, e, 0) for e in r.drain()]
 
 
-def router_input(t: DataFrame) -> DataFrame:
-    """The columns the machine reads; what is text work is done by expressions."""
-    text = F.col("user_input")
-    return t.select(scope_key(F.lit("")).alias("scope_key"), "turn", "vec", actor_key().alias("actor"), F.lower(F.col("user_id")).alias("alias"), F.lower(text).alias("low"), mentions(text).alias("mentions"), has_cue(text).alias("cue"), is_reaction(text).alias("reaction"))
+def score_step(r: Router, row: dict) -> list[tuple]:
+    """One row for each stream that a message was held against."""
+    route_step(r, row)
+    return [(r.scope, row["turn"], i, n, float(score), float(like), float(stable)) for n, (score, like, i, stable) in enumerate(r.ranked, 1)]
 
 
-def route(t: DataFrame) -> DataFrame:
-    on = t.where(F.col("source").isin(*DEFAULT.router.sources))
-    return keyed_fold(router_input(on), "scope_key", ["turn"], Router, route_step, ROUTE_SCHEMA, _finish)
+#: Fixed values of the fixture: what every fourth message says instead, since the corpus has no reactions, cues or mentions.
+CHAT = ("哈哈哈", "666", "[笑][哭]", "before that, continue", "@u5 reply", "嗯")
 
 
-def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route(turns(spark, sf_dir))
+def chat(t: DataFrame) -> DataFrame:
+    """The turns, some of which react, refer back or mention somebody."""
+    said = F.element_at(F.array(*[F.lit(x) for x in CHAT]), (F.floor(F.col("turn") / 4) % len(CHAT) + 1).cast("int"))
+    return t.withColumn("user_input", F.when(F.col("turn") % 4 == 2, said).otherwise(F.col("user_input")))
 
 
-@query("r0_enabled", f"{_T} SELECT turn, source IN ('bilibili') AS routed FROM turns")
-def r0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).select("turn", F.col("source").isin(*DEFAULT.router.sources).alias("routed"))
+def router_input(t: DataFrame) -> DataFrame:
+    """The columns the machine reads; what is text work is done by expressions."""
+    text = F.col("user_input")
+    return t.select(scope_key(F.lit("")).alias("scope_key"), "turn", "vec", actor_key().alias("actor"), F.lower(F.col("user_id")).alias("alias"), F.lower(text).alias("low"), mentions(text).alias("mentions"), has_cue(text).alias("cue"), is_reaction(text).alias("reaction"))
 
 
-def stability(confirmed: Column, participants: Column, confidence: Column, age: Column, cfg: Settings = DEFAULT.router) -> Column:
-    return 0.45 * F.least(F.lit(1.0), confirmed / cfg.stability_turns) + 0.20 * F.least(F.lit(1.0), participants / 2) + 0.20 * F.least(F.lit(1.25), confidence) / 1.25 + 0.15 / (1 + age / cfg.cue_recent)
+def _enabled(t: DataFrame) -> DataFrame:
+    return t.where(F.col("source").isin(*DEFAULT.router.sources))
 
 
-_ST = "st AS MATERIALIZED (SELECT anchor, scope_key, count(*) AS confirmed, count(DISTINCT actor_key) AS participants, 1.0 AS confidence, max(turn) AS last_turn FROM mem GROUP BY ALL)"
-_STAB = "(0.45 * least(1.0, confirmed / 4.0) + 0.2 * least(1.0, participants / 2.0) + 0.2 * least(1.25, confidence) / 1.25 + 0.15 / (1 + ({age}) / 6.0))"
+def route(t: DataFrame) -> DataFrame:
+    return keyed_fold(router_input(_enabled(t)), "scope_key", ["turn"], Router, route_step, ROUTE_SCHEMA, _finish)
 
 
-def _stats(mem: DataFrame) -> DataFrame:
-    return mem.groupBy("anchor", "scope_key").agg(F.count("*").alias("confirmed"), F.countDistinct("actor_key").alias("participants"), F.max("turn").alias("last_turn")).withColumn("confidence", F.lit(1.0))
+def scores(t: DataFrame) -> DataFrame:
+    """scope_key, turn, stream, rank, score, likeness, stability of every stream that a message was held against."""
+    return keyed_fold(router_input(_enabled(t)), "scope_key", ["turn"], Router, score_step, "scope_key string, turn long, stream long, rank long, score double, likeness double, stability double")
 
 
-@query("r1_stability", f"{_T}, {MEMORIES}, {_ST} SELECT anchor, round({_STAB.format(age='(SELECT max(turn) FROM mem) - last_turn')}, 6)::DOUBLE AS stability FROM st")
-def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mem = memories(turns(spark, sf_dir))
-    now = mem.agg(F.max("turn")).first()[0]
-    return _stats(mem).select("anchor", F.round(stability(F.col("confirmed"), F.col("participants"), F.col("confidence"), F.lit(now) - F.col("last_turn")), 6).alias("stability"))
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route(chat(turns(spark, sf_dir)))
+
+
+# The machine as a recursive query: one step a message, streams as a list of structures.
+_EVENTS = "STRUCT(turn BIGINT, tk VARCHAR, sk VARCHAR)[]"
+_STREAM = f"STRUCT(id INT, seg INT, win DOUBLE[][], cen DOUBLE[], head DOUBLE[], tail DOUBLE[], lt BIGINT, la VARCHAR, conf INT, sure DOUBLE, parts VARCHAR[], al VARCHAR[], adr VARCHAR[], pend {_EVENTS}, loc {_EVENTS}, orphan BOOLEAN, amb BOOLEAN)[]"
+_FIELDS = ("id", "seg", "win", "cen", "head", "tail", "lt", "la", "conf", "sure", "parts", "al", "adr", "pend", "loc", "orphan", "amb")
+_COS = "list_cosine_similarity"
+
+
+def _layers(base: str, *added: str) -> str:
+    """Columns added one layer upon the other, each of which may use those below."""
+    for a in added:
+        base = f"SELECT *, {a} FROM ({base})"
+    return base
+
+
+def _with(streams: str, when: str = "", **new: str) -> str:
+    """Every stream, with some fields anew (where ``when`` holds)."""
+    value = lambda k: f"CASE WHEN {when} THEN {new[k]} ELSE s.{k} END" if when else new[k]
+    return f"list_transform({streams}, lambda s: {{{', '.join(f'{k!r}: {value(k) if k in new else "s." + k}' for k in _FIELDS)}}})"
+
+
+_NEW = {"win": "[vec]", "cen": "vec", "head": "vec", "tail": "vec", "lt": "turn", "la": "actor"}
+_STABLE = "least(1.0, greatest(0.0, 0.45 * least(1.0, s.conf / 4.0) + 0.2 * least(1.0, len(s.parts) / 2.0) + 0.2 * least(1.25, greatest(0.0, s.sure)) / 1.25 + 0.15 / (1 + greatest(0, turn - s.lt) / 6.0)))"
+_LIVES = "NOT (s.orphan AND turn - s.lt >= 20) AND (len(s.pend) > 0 OR len(s.loc) > 0 OR turn - s.lt < 60)"
+_HELD = f"""list_transform(list_filter(kept, lambda s: NOT s.amb), lambda s: {{'id': s.id, 'orphan': s.orphan, 'lt': s.lt, 'la': s.la, 'age': greatest(0, turn - s.lt), 'stab': {_STABLE}, 'c': {_COS}(s.cen, vec), 't': {_COS}(s.tail, vec), 'h': {_COS}(s.head, vec), 'part': list_contains(s.parts, actor),
+  'named': len(list_filter(mentions, lambda m: list_contains(s.al, m))), 'told': len(list_filter(mentions, lambda m: list_contains(s.adr, m))), 'named2': len(list_filter(s.al, lambda a: strlen(a) >= 3 AND contains(low, a))), 'told2': len(list_filter(s.adr, lambda a: NOT list_contains(mentions, a) AND strlen(a) >= 3 AND contains(low, a)))}})"""
+_TOTAL = """0.42 * x.c + 0.38 * x.t + 0.2 * x.h + CASE WHEN x.la = actor THEN 0.06 WHEN x.part THEN 0.03 ELSE 0 END + CASE WHEN x.named + x.told > 0 THEN least(2, x.named) * 0.05 + least(2, x.told) * 0.04 ELSE least(2, x.named2) * 0.05 + least(2, x.told2) * 0.04 END
+  + CASE WHEN cue AND x.age <= 6 THEN 0.05 * (1 - least(0.85, x.age / 6.0)) ELSE 0 END + 0.04 * x.stab - 0.01 * least(x.age, 32)"""
+_NEAR_BY = "NOT {0}.orphan AND greatest(0, turn - {0}.lt) <= 3"
+_STEP = _layers(
+    "SELECT f.scope_key, x.n, x.turn, x.vec, x.actor, x.alias, x.low, x.mentions, x.cue, x.reaction, streams, nst, nseg, lasta, streak, hold FROM f JOIN rin x ON x.scope_key = f.scope_key AND x.n = f.n + 1",
+    f"list_filter(streams, lambda s: {_LIVES}) AS kept, list_filter(streams, lambda s: NOT ({_LIVES})) AS gone",
+    f"flatten(list_transform(gone, lambda s: s.pend)) AS lost1, {_HELD} AS held, len(list_filter(kept, lambda s: NOT s.orphan AND NOT s.amb)) AS real, coalesce(list_filter(kept, lambda s: s.amb)[1].id, nst) AS ambient",
+    f"list_sort(list_transform(held, lambda x: {{'o': -({_TOTAL}), 'id': x.id, 'lk': greatest(x.t, x.c), 'orphan': x.orphan, 'lt': x.lt, 'stab': x.stab}})) AS ranked",
+    "ranked[1] AS b, list_filter(ranked, lambda x: x.id = lasta)[1] AS fr, len(ranked) AS k",
+    "CASE WHEN k > 0 THEN -b.o ELSE -1.0 END AS best, CASE WHEN k > 1 THEN -ranked[2].o ELSE -1.0 END AS second",
+    f"""CASE WHEN k > 0 AND best >= 0.8 THEN 'assign' WHEN k > 0 AND reaction AND {_NEAR_BY.format('b')} AND best >= 0.46 THEN 'attach_reaction'
+  WHEN k > 0 AND reaction AND fr.id IS NOT NULL AND {_NEAR_BY.format('fr')} AND (-fr.o >= 0.36 OR fr.stab >= 0.18) THEN 'attach_recent' WHEN reaction AND real > 0 THEN 'ambient'
+  WHEN k > 0 AND best >= 0.72 AND ((k > 1 AND best - second < 0.06) OR real >= 6) THEN 'keep_pending' WHEN real < 6 THEN 'create' ELSE 'orphan' END AS how""",
+    "CASE WHEN how IN ('assign', 'attach_reaction', 'keep_pending') THEN b.id WHEN how = 'attach_recent' THEN fr.id WHEN how = 'ambient' THEN ambient ELSE nst END AS tid, how IN ('ambient', 'keep_pending', 'orphan') AS aside, how = 'assign' AND b.lk < 0.62 AS renew",
+    """tid = nst AS opens, CASE how WHEN 'assign' THEN 'attach' WHEN 'attach_reaction' THEN 'attach' WHEN 'attach_recent' THEN 'attach' WHEN 'create' THEN 'open' ELSE how END AS decision,
+  CASE WHEN renew THEN 'reset_topic' WHEN how = 'assign' AND b.orphan THEN 'promote_orphan' WHEN how = 'ambient' THEN 'ambient_attach' WHEN how = 'orphan' THEN 'orphan_overflow' ELSE how END AS why,
+  CASE how WHEN 'assign' THEN best WHEN 'keep_pending' THEN best WHEN 'create' THEN 1.0 WHEN 'attach_reaction' THEN least(1.25, greatest(0.0, best + 0.04)) WHEN 'attach_recent' THEN least(1.25, greatest(0.0, 0.04 - fr.o)) ELSE greatest(0.0, best) END AS confidence""",
+    f"""list_concat({_with(_with('kept', 'renew AND s.id = tid', seg='nseg', **_NEW), orphan="s.orphan AND NOT (how = 'assign' AND s.id = tid)")},
+  list_filter([{{'id': nst, 'seg': nseg, 'win': [vec], 'cen': vec, 'head': vec, 'tail': vec, 'lt': turn, 'la': actor, 'conf': 0, 'sure': 0.0, 'parts': []::VARCHAR[], 'al': []::VARCHAR[], 'adr': []::VARCHAR[], 'pend': []::{_EVENTS}, 'loc': []::{_EVENTS}, 'orphan': how = 'orphan', 'amb': how = 'ambient'}}], lambda s: opens)) AS st1,
+  nseg + (opens OR renew)::INT AS nseg1, nst + opens::INT AS nst1, CASE WHEN aside THEN 0 WHEN lasta = tid THEN streak + 1 ELSE 1 END AS streak1, CASE WHEN aside THEN lasta ELSE tid END AS lasta1""",
+    "len(list_filter(st1, lambda s: NOT s.orphan AND NOT s.amb)) > 1 AS several0",
+    "several0 AND streak1 >= 4 AND len(list_filter(st1, lambda s: s.id <> tid AND turn - s.lt < 8)) = 0 AS merged",
+    f"""CASE WHEN merged THEN list_concat(lost1, flatten(list_transform(list_filter(st1, lambda s: s.id <> tid), lambda s: s.pend))) ELSE lost1 END AS lost2, {_with("list_filter(st1, lambda s: NOT merged OR s.id = tid)", 'merged', seg='nseg1', **_NEW)} AS st2,
+  nseg1 + merged::INT AS nseg2, CASE WHEN merged THEN 1 ELSE streak1 END AS streak2, several0 AND NOT merged AS several, renew OR merged AS boundary, CASE WHEN merged THEN 'merge' ELSE why END AS reason""",
+    "CASE WHEN several THEN greatest(hold, turn + 8) WHEN boundary THEN greatest(hold, turn + 2) ELSE hold END AS hold1, list_filter(st2, lambda s: s.id = tid)[1] AS tg",
+    "aside OR several OR turn <= hold1 AS local_sequence, scope_key || '$th:' || tid AS thread_key, scope_key || '$th:' || tid || '/seg:' || tg.seg AS segment_key, NOT (aside AND NOT tg.orphan AND NOT tg.amb) AS learns, CASE WHEN opens OR boundary THEN tg.win ELSE list_append(tg.win, vec)[-4:] END AS win1",
+    f"{sql_mean('win1')} AS cen1",
+    _with("st2", "learns AND s.id = tid", win="win1", cen="cen1", tail="vec", lt="turn", la="actor", conf="s.conf + (NOT aside)::INT", sure="0.75 * s.sure + 0.25 * confidence", parts="CASE WHEN list_contains(s.parts, actor) THEN s.parts ELSE list_append(s.parts, actor) END",
+          al="CASE WHEN list_contains(s.al, alias) THEN s.al ELSE list_append(s.al, alias) END", adr="list_concat(s.adr, list_filter(mentions, lambda m: NOT list_contains(s.adr, m)))") + " AS st3",
+    "list_transform(st3, lambda s: CASE WHEN s.id <> tid OR boundary THEN greatest(0, len(s.pend) - CASE WHEN turn - s.lt >= 2 OR s.id = tid THEN 0 ELSE 1 END) ELSE 0 END) AS cuts, {'turn': turn, 'tk': thread_key, 'sk': segment_key} AS event, list_position(list_transform(st3, lambda s: s.id), tid) AS ti",
+    "list_concat(lost2, flatten(list_transform(st3, lambda s, i: s.pend[:cuts[i]]))) AS out1, list_transform(st3, lambda s, i: s.pend[cuts[i] + 1:]) AS pend1",
+    "CASE WHEN aside THEN pend1[ti] ELSE list_append(list_concat(pend1[ti], list_transform(st3[ti].loc, lambda e: {'turn': e.turn, 'tk': thread_key, 'sk': segment_key})), event) END AS full1",
+    "CASE WHEN aside THEN 0 WHEN local_sequence THEN len(full1) - 1 WHEN len(full1) >= 2 THEN len(full1) ELSE 0 END AS cut1",
+    "list_concat(out1, full1[:cut1]) AS out, " + _with("st3", pend="CASE WHEN s.id = tid THEN full1[cut1 + 1:] ELSE pend1[list_position(list_transform(st3, lambda z: z.id), s.id)] END",
+          loc="CASE WHEN s.id <> tid THEN s.loc WHEN aside AND s.amb THEN list_append(s.loc, event)[-12:] WHEN aside THEN list_append(s.loc, event)[-4:] ELSE s.loc[:0] END", lt="CASE WHEN s.id = tid AND aside THEN turn ELSE s.lt END") + " AS st4",
+)
+def router_sql(src: str = "turns", chatty: bool = True) -> str:
+    """The machine over ``src`` as ``rt``, what it has settled as ``com``, its last states as ``fin`` and its scores as ``rs``."""
+    return f"""rin0 AS (SELECT turn, source || ':' || room_id AS scope_key, vec, source || '/room:' || room_id || '/uid:' || user_id AS actor, lower(user_id) AS alias, CASE WHEN {chatty} AND turn % 4 = 2 THEN ({list(CHAT)!r})[(turn // 4) % {len(CHAT)} + 1] ELSE user_input END AS text FROM {src}),
+rin AS (SELECT *, lower(text) AS low, list_filter(list_distinct(list_transform(regexp_extract_all(text, '{_MENTION}', 1), lambda a: regexp_replace(lower(a), '^[@#]+', ''))), lambda a: a <> '') AS mentions, {_CUE} AS cue, {_REACTION} AS reaction, row_number() OVER (PARTITION BY scope_key ORDER BY turn) AS n FROM rin0),
+rt AS MATERIALIZED (WITH RECURSIVE f AS (
+  SELECT DISTINCT scope_key, 0::BIGINT AS n, 0::BIGINT AS turn, '' AS decision, '' AS reason, 0 AS stream, '' AS thread_key, '' AS segment_key, 0.0::DOUBLE AS confidence, 0.0::DOUBLE AS best, 0.0::DOUBLE AS second, false AS pending_only, false AS boundary, false AS merged, false AS local_sequence, false AS several, []::{_EVENTS} AS settled,
+    []::STRUCT(o DOUBLE, id INT, lk DOUBLE, orphan BOOLEAN, lt BIGINT, stab DOUBLE)[] AS ranked, []::{_STREAM} AS streams, 1 AS nst, 1 AS nseg, 0 AS lasta, 0 AS streak, 0::BIGINT AS hold FROM rin
+  UNION ALL
+  SELECT scope_key, n, turn, decision, reason, tid, thread_key, segment_key, confidence, best, second, aside, boundary, merged, local_sequence, several, out, ranked, st4, nst1, nseg2, lasta1, streak2, hold1 FROM ({_STEP}))
+  SELECT * FROM f WHERE n > 0),
+fin AS (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY scope_key ORDER BY n DESC) = 1),
+com AS MATERIALIZED (SELECT scope_key, e.turn AS turn, at_turn, e.tk AS thread_key, e.sk AS segment_key FROM (SELECT scope_key, turn AS at_turn, unnest(settled) AS e FROM rt UNION ALL SELECT scope_key, 0, unnest(flatten(list_transform(streams, lambda s: s.pend))) FROM fin)),
+rs AS (SELECT scope_key, turn, r.id::BIGINT AS stream, n AS rank, -r.o AS score, r.lk AS likeness, r.stab AS stability FROM (SELECT scope_key, turn, unnest(ranked) AS r, unnest(range(1, len(ranked) + 1)) AS n FROM rt))"""
+
+
+_R = f"{_T}, {router_sql()}"
 
 
-#: Each topic as it stood before a turn: mean of the last four vectors, last vector, first vector, last actor and turn.
-_SC = """pr AS (SELECT m.turn, m.actor_key, m.vec, p.anchor, arg_max(p.vec, p.turn) AS tail, arg_min(p.vec, p.turn) AS head, arg_max(p.actor_key, p.turn) AS last_actor, max(p.turn) AS last_turn FROM mem m JOIN mem p ON p.scope_key = m.scope_key AND p.turn < m.turn AND p.turn >= m.turn - 24 GROUP BY ALL),
-scr AS MATERIALIZED (SELECT turn, anchor, 0.8 * list_cosine_similarity(tail, vec) + 0.2 * list_cosine_similarity(head, vec) + CASE WHEN actor_key = last_actor THEN 0.06 ELSE 0 END - 0.01 * least(turn - last_turn, 32) AS score FROM pr)"""
+@query("r0_enabled", f"{_T} SELECT turn, source IN ('bilibili') AS routed FROM turns")
+def r0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).select("turn", F.col("source").isin(*DEFAULT.router.sources).alias("routed"))
 
 
-def stream_scores(mem: DataFrame, back: int = 24) -> DataFrame:
-    """Score of each turn against the topics its scope touched lately; scope is the equi-key, the turns a bounded band."""
-    p = mem.select("scope_key", F.col("turn").alias("pt"), "anchor", F.col("vec").alias("pv"), F.col("actor_key").alias("pa"))
-    j = mem.select("scope_key", "turn", "actor_key", "vec").join(p, "scope_key").where((F.col("pt") < F.col("turn")) & (F.col("pt") >= F.col("turn") - back))
-    g = j.groupBy("turn", "anchor").agg(F.max_by("pv", "pt").alias("tail"), F.min_by("pv", "pt").alias("head"), F.max_by("pa", "pt").alias("last_actor"), F.max("pt").alias("last_turn"), F.first("vec").alias("vec"), F.first("actor_key").alias("actor_key"))
-    cfg = DEFAULT.router
-    score = (cfg.w_centroid + cfg.w_tail) * cosine(F.col("tail"), F.col("vec")) + cfg.w_head * cosine(F.col("head"), F.col("vec"))
-    score += F.when(F.col("actor_key") == F.col("last_actor"), cfg.same_actor).otherwise(0.0)
-    return g.select("turn", "anchor", (score - cfg.age * F.least(F.col("turn") - F.col("last_turn"), F.lit(cfg.age_cap))).alias("score"))
+@query("r1_stability", f"{_R} SELECT scope_key, turn, stream, round(stability, 6) AS stability FROM rs")
+def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How settled each stream was when a message came."""
+    return scores(chat(turns(spark, sf_dir))).select("scope_key", "turn", "stream", F.round("stability", 6).alias("stability"))
 
 
-@query("r2_stream_score", f"{_T}, {MEMORIES}, {_SC} SELECT turn, anchor, round(score, 6) AS score FROM scr")
+@query("r2_stream_score", f"{_R} SELECT scope_key, turn, stream, round(score, 6) AS score, round(likeness, 6) AS likeness FROM rs")
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_scores(memories(turns(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    return scores(chat(turns(spark, sf_dir))).select("scope_key", "turn", "stream", F.round("score", 6).alias("score"), F.round("likeness", 6).alias("likeness"))
 
 
-@query("r3_best_second", f"{_T}, {MEMORIES}, {_SC}, rr AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY round(score, 9) DESC, anchor) AS n FROM scr) SELECT turn, max(anchor) FILTER (WHERE n = 1) AS best, round(max(score) FILTER (WHERE n = 1), 6) AS score, round(max(score) FILTER (WHERE n = 1) - coalesce(max(score) FILTER (WHERE n = 2), -1), 6) AS margin FROM rr GROUP BY 1")
+@query("r3_best_second", f"{_R} SELECT scope_key, turn, max(stream) FILTER (WHERE rank = 1) AS best, round(max(score) FILTER (WHERE rank = 1), 6) AS score, round(max(score) FILTER (WHERE rank = 1) - coalesce(max(score) FILTER (WHERE rank = 2), -1), 6) AS margin FROM rs GROUP BY ALL")
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stream_scores(memories(turns(spark, sf_dir)))
-    n = F.row_number().over(Window.partitionBy("turn").orderBy(F.round("score", 9).desc(), "anchor"))
-    s = s.withColumn("n", n).where("n <= 2")
-    top, nxt = F.max(F.when(F.col("n") == 1, F.col("score"))), F.max(F.when(F.col("n") == 2, F.col("score")))
-    return s.groupBy("turn").agg(F.max(F.when(F.col("n") == 1, F.col("anchor"))).alias("best"), F.round(top, 6).alias("score"), F.round(top - F.coalesce(nxt, F.lit(-1.0)), 6).alias("margin"))
+    s = scores(chat(turns(spark, sf_dir))).where("rank <= 2")
+    top, nxt = F.max(F.when(F.col("rank") == 1, F.col("score"))), F.max(F.when(F.col("rank") == 2, F.col("score")))
+    return s.groupBy("scope_key", "turn").agg(F.max(F.when(F.col("rank") == 1, F.col("stream"))).alias("best"), F.round(top, 6).alias("score"), F.round(top - F.coalesce(nxt, F.lit(-1.0)), 6).alias("margin"))
 
 
-@query("r4_reactions")
+@query("r4_reactions", f"{_R} SELECT scope_key, turn, reason, stream::BIGINT AS stream FROM rt WHERE reason IN ('attach_reaction', 'attach_recent', 'ambient_attach')")
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir).where("kind = 'routed' and reason in ('attach_reaction', 'attach_recent', 'ambient_attach')").select("scope_key", "turn", "reason", "stream")
 
 
-@query("r5_route")
+@query("r5_route", f"{_R} SELECT scope_key, turn, decision, reason, thread_key, round(confidence, 5) AS confidence, round(best, 5) AS best, round(second, 5) AS second, pending_only FROM rt")
 def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _routed(spark, sf_dir).where("kind = 'routed'")
     return r.select("scope_key", "turn", "decision", "reason", "thread_key", *[F.round(x, 5).alias(x) for x in ("confidence", "best", "second")], "pending_only")
 
 
-@query("r6_keys")
+@query("r6_keys", f"{_R} SELECT scope_key, thread_key, segment_key, min(turn) AS first_turn, count(*) AS messages FROM rt GROUP BY ALL")
 def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads and segments that were opened, with their first turns."""
     r = _routed(spark, sf_dir).where("kind = 'routed' and thread_key <> ''")
     return r.groupBy("scope_key", "thread_key", "segment_key").agg(F.min("turn").alias("first_turn"), F.count("*").alias("messages"))
 
 
-@query("r7_merges")
+@query("r7_merges", f"{_R} SELECT scope_key, turn, thread_key, segment_key FROM rt WHERE merged")
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir).where("merged").select("scope_key", "turn", "thread_key", "segment_key")
 
 
-@query("r8_local_sequence")
+@query("r8_local_sequence", f"{_R} SELECT scope_key, turn, CASE WHEN several THEN 'split' ELSE 'single' END AS mode, local_sequence FROM rt")
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir).where("kind = 'routed'").select("scope_key", "turn", "mode", "local_sequence")
 
 
-@query("r9_lifetimes")
+@query("r9_lifetimes", f"{_R} SELECT scope_key, thread_key, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS messages FROM rt GROUP BY ALL")
 def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last turn of each thread; idle ones are evicted, so a later message opens another."""
     r = _routed(spark, sf_dir).where("kind = 'routed' and thread_key <> ''")
@@ -402,42 +484,48 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("turn", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
 
 
-@query("r11_committed")
+@query("r11_committed", f"{_R} SELECT scope_key, turn, at_turn, thread_key, segment_key FROM com")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every settled event with the turn that settled it; 0 stands for the final flush."""
     return _routed(spark, sf_dir).where("kind = 'committed'").select("scope_key", "turn", "at_turn", "thread_key", "segment_key")
 
 
-@query("r12_pending_context", f"{_T}, {MEMORIES}, pc AS (SELECT * FROM (SELECT mem.*, row_number() OVER (PARTITION BY scope_key ORDER BY turn DESC, thread_key DESC) AS n FROM mem) WHERE n <= 2) SELECT scope_key, string_agg('第' || turn || '轮 用户：' || CASE WHEN length(text) > 140 THEN substr(text, 1, 140) || '...' ELSE text END, chr(10) ORDER BY turn) AS pending FROM pc GROUP BY 1")
-def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last two events of each scope as they are shown while unsettled."""
+def pending_context(held: DataFrame, t: DataFrame, cfg: Settings = DEFAULT.router) -> DataFrame:
+    """scope_key, pending: the last events of each scope that the router still holds, as they are shown."""
     from .retrieval import excerpt
 
     n = F.row_number().over(Window.partitionBy("scope_key").orderBy(F.col("turn").desc(), F.col("thread_key").desc()))
-    m = memories(turns(spark, sf_dir)).withColumn("n", n).where(F.col("n") <= DEFAULT.router.pending_context)
-    line = F.concat(F.lit("第"), F.col("turn").cast("string"), F.lit("轮 用户："), excerpt(F.col("text"), 140))
-    return m.groupBy("scope_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "\n").alias("pending"))
+    h = held.withColumn("n", n).where(F.col("n") <= cfg.pending_context).join(t.select("turn", "user_input"), "turn")
+    line = F.concat(F.lit("第"), F.col("turn").cast("string"), F.lit("轮 用户："), excerpt(F.col("user_input"), 140))
+    return h.groupBy("scope_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "\n").alias("pending"))
+
 
+_PENDING = "hd AS (SELECT scope_key, e.turn AS turn, e.tk AS tk FROM (SELECT scope_key, unnest(flatten(list_transform(streams, lambda s: list_concat(s.pend, s.loc)))) AS e FROM fin)), hp AS (SELECT scope_key, string_agg('第' || hd.turn || '轮 用户：' || CASE WHEN length(text) > 140 THEN substr(text, 1, 140) || '...' ELSE text END, chr(10) ORDER BY hd.turn) AS pending FROM (SELECT * FROM hd QUALIFY row_number() OVER (PARTITION BY scope_key ORDER BY turn DESC, tk DESC) <= 2) hd JOIN rin USING (scope_key, turn) GROUP BY 1)"
 
-@query("r13_flush")
+
+@query("r12_pending_context", f"{_R}, {_PENDING} SELECT scope_key, pending FROM hp")
+def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two events of each scope that are not settled after its last message."""
+    t = chat(turns(spark, sf_dir))
+    return pending_context(route(t).where("kind = 'held'"), t)
+
+
+@query("r13_flush", f"{_R} SELECT scope_key, turn, thread_key FROM com WHERE at_turn = 0")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the final flush settles; messages kept aside that no later one took along stay out."""
     return _routed(spark, sf_dir).where("kind = 'committed' and at_turn = 0").select("scope_key", "turn", "thread_key")
 
 
-@query("r14_state")
+@query("r14_state", f"{_R}, x AS (SELECT scope_key, nst, nseg, unnest(streams) AS s FROM fin) SELECT scope_key, nst::BIGINT AS next_stream, nseg::BIGINT AS next_segment, s.id::BIGINT AS stream, s.seg::BIGINT AS segment, s.conf::BIGINT AS confirmed, len(s.pend) AS pending, len(s.loc) AS kept_aside FROM x")
 def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each scope after its last message, as plain data."""
-    import json
 
     def step(r: Router, row: dict) -> list[tuple]:
         route_step(r, row)
         return []
 
-    def done(r: Router) -> list[tuple]:
-        return [(r.scope, r.next_stream, r.next_segment, json.dumps(r.export()["streams"]))]
-
-    return keyed_fold(router_input(turns(spark, sf_dir)), "scope_key", ["turn"], Router, step, "scope_key string, next_stream long, next_segment long, streams string", done)
+    schema = "scope_key string, next_stream long, next_segment long, stream long, segment long, confirmed long, pending long, kept_aside long"
+    return keyed_fold(router_input(chat(turns(spark, sf_dir))), "scope_key", ["turn"], Router, step, schema, Router.export)
 
 
 __all__ = ["Router", "route", "route_step"]

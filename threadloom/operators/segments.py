@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +23,23 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("turn", "room_id", F.round(cosine(before, F.col("vec")), 6).alias("sim"))
 
 
-def py_cosine(a: list[float] | None, b: list[float] | None) -> float:
-    if not a or not b or len(a) != len(b):
+def direction(v: np.ndarray) -> np.ndarray:
+    """The vector at length one; a zero vector stays as it is."""
+    n = float(np.sqrt(v @ v))
+    return v / n if n > 0 else v
+
+
+def py_cosine(a, b) -> float:
+    if a is None or b is None or not len(a) or len(a) != len(b):
         return 0.0
-    n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-    return sum(x * y for x, y in zip(a, b, strict=True)) / n if n > 0 else 0.0
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    n = float(np.sqrt((a @ a) * (b @ b)))
+    return float(a @ b) / n if n > 0 else 0.0
 
 
-def py_mean(vs: list[list[float]]) -> list[float]:
-    return [sum(c) / len(vs) for c in zip(*vs, strict=True)]
+def sql_mean(vectors: str) -> str:
+    """SQL for the mean of a list of vectors."""
+    return f"list_transform(range(1, 65), lambda i: list_sum(list_transform({vectors}, lambda v: v[i])) / len({vectors}))"
 
 
 class Segment:
@@ -41,15 +48,15 @@ class Segment:
     def __init__(self, _key: object = None):
         self.start, self.scope, self.n, self.first, self.head, self.tail, self.last, self.turn = None, None, 0, [], None, [], None, None
 
-    def restart(self, turn: int, scope: str, vec: list[float]) -> None:
+    def restart(self, turn: int, scope: str, vec: np.ndarray) -> None:
         self.__init__()
         self.start, self.scope = turn, scope
         self.add(turn, vec)
 
-    def add(self, turn: int, vec: list[float]) -> None:
+    def add(self, turn: int, vec: np.ndarray) -> None:
         self.n += 1
         self.turn = turn
-        if self.head is None and vec:
+        if self.head is None and len(vec):
             self.first.append(vec)
 
 
@@ -61,20 +68,20 @@ def segment_step(cfg: Topic):
     """
 
     def step(s: Segment, row: dict) -> list[tuple]:
-        turn, vec, scope = row["turn"], row["vec"], row["scope_key"]
+        turn, vec, scope = row["turn"], np.asarray(row["vec"], np.float64), row["scope_key"]
         if s.start is None or scope != s.scope:
             why = "first" if s.start is None else "scope"
             s.restart(turn, scope, vec)
             s.tail, s.last = [vec], vec
             return [(turn, scope, s.start, True, why)]
         first = [*s.first, vec] if s.head is None else s.first
-        head = s.head or (py_mean(first[: cfg.head]) if len(first) >= cfg.head else None)
+        head = s.head if s.head is not None else (np.mean(first[: cfg.head], axis=0) if len(first) >= cfg.head else None)
         tail = [*s.tail, vec][-cfg.tail :]
         split = ""
         if head is not None:
             if py_cosine(s.last, vec) < cfg.break_at and py_cosine(head, vec) < cfg.confirm:
                 split = "break"
-            elif len(tail) >= cfg.tail and py_cosine(head, py_mean(tail)) < cfg.drift:
+            elif len(tail) >= cfg.tail and py_cosine(head, np.mean(tail, axis=0)) < cfg.drift:
                 split = "drift"
         if split and s.n >= cfg.min_length:
             s.restart(turn, scope, vec)
@@ -99,7 +106,25 @@ def segments(t: DataFrame, cfg: Topic = DEFAULT.topic, per_scope: bool = True) -
     return keyed_fold(t, "stream", ["turn"], Segment, segment_step(cfg), "turn long, scope_key string, start_turn long, is_split boolean, reason string")
 
 
-@query("s2_segments")
+_COS = "list_cosine_similarity"
+# The step as a recursive query; the mean of an unfinished head is carried along and counts once it is known.
+_SEG = f"""sx AS (SELECT turn, source || ':' || room_id AS scope_key, vec, row_number() OVER (PARTITION BY room_id ORDER BY turn) AS n FROM turns),
+seg AS MATERIALIZED (WITH RECURSIVE f AS (
+  SELECT scope_key, n, turn, turn AS start_turn, true AS is_split, 'first' AS reason, 1 AS size, [vec] AS early, vec AS head, false AS known, [vec] AS tail, vec AS prev FROM sx WHERE n = 1
+  UNION ALL
+  SELECT scope_key, n, turn, CASE WHEN cut THEN turn ELSE start_turn END, cut, CASE WHEN cut THEN why ELSE '' END, CASE WHEN cut THEN 1 ELSE size + 1 END,
+    CASE WHEN cut THEN [vec] ELSE early END, head, known AND NOT cut, CASE WHEN cut THEN [vec] ELSE tail END, CASE WHEN cut OR why = '' THEN vec ELSE prev END
+  FROM (SELECT *, why <> '' AND size >= 2 AS cut FROM (
+    SELECT *, CASE WHEN NOT known THEN '' WHEN pc < 0.48 AND hc < 0.55 THEN 'break' WHEN len(tail) >= 3 AND tc < 0.62 THEN 'drift' ELSE '' END AS why FROM (
+     SELECT *, {_COS}(prev, vec) AS pc, {_COS}(head, vec) AS hc, {_COS}(head, tm) AS tc FROM (
+      SELECT * EXCLUDE (head, known, hm), CASE WHEN known THEN head ELSE hm END AS head, known OR len(early) >= 4 AS known FROM (
+       SELECT *, {sql_mean('early')} AS hm, {sql_mean('tail')} AS tm FROM (
+        SELECT f.scope_key, x.n, x.turn, x.vec, start_turn, size, prev, head, known, list_append(early, x.vec)[:4] AS early, list_append(tail, x.vec)[-3:] AS tail
+        FROM f JOIN sx x ON x.scope_key = f.scope_key AND x.n = f.n + 1)))))))
+  SELECT turn, scope_key, start_turn, is_split, reason FROM f)"""
+
+
+@query("s2_segments", f"{_T}, {_SEG} SELECT turn, scope_key, start_turn, is_split, reason FROM seg")
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(turns(spark, sf_dir))
 
@@ -121,12 +146,15 @@ def closed(t: DataFrame, seg: DataFrame) -> DataFrame:
     return by.withColumn("end_turn", F.when(later.isNotNull(), F.col("last_turn"))).drop("seg")
 
 
-@query("s4_closed_segments", f"{_T} SELECT room_id, count(*) AS turns FROM turns GROUP BY 1")
+_CLOSED = """cl0 AS (SELECT scope_key, start_turn, max(turn) AS last_turn, count(*) AS n_turns FROM seg GROUP BY ALL), clp AS (SELECT s.scope_key, s.start_turn, p, avg(t.vec[p]) AS x FROM seg s JOIN turns t USING (turn), range(1, 65) r(p) GROUP BY ALL),
+clc AS (SELECT scope_key, start_turn, list(x ORDER BY p) AS centroid FROM clp GROUP BY ALL), cl AS (SELECT *, CASE WHEN lead(start_turn) OVER (PARTITION BY scope_key ORDER BY start_turn) IS NOT NULL THEN last_turn END AS end_turn FROM cl0 JOIN clc USING (scope_key, start_turn))"""
+
+
+@query("s4_closed_segments", f"{_T}, {_SEG}, {_CLOSED} SELECT scope_key, start_turn, end_turn, n_turns FROM cl")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments of a room hold each of its turns once."""
+    """Every segment with its first and last turn; the open one of a scope has no end."""
     t = turns(spark, sf_dir)
-    c = closed(t, segments(t))
-    return c.groupBy(F.substring_index("scope_key", ":", -1).alias("room_id")).agg(F.sum("n_turns").alias("turns"))
+    return closed(t, segments(t)).select("scope_key", "start_turn", "end_turn", "n_turns")
 
 
 def anchors(seg: DataFrame) -> DataFrame:
@@ -148,7 +176,7 @@ def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("start_turn", at).where("is_turn = 1").select("turn", "start_turn")
 
 
-@query("s5_anchors")
+@query("s5_anchors", f"{_T}, {_SEG}, o AS (SELECT *, sum(is_split::INT) OVER (PARTITION BY scope_key ORDER BY turn) AS k FROM seg), l AS (SELECT *, max(k) OVER (PARTITION BY scope_key) AS m FROM o) SELECT turn, scope_key, 'S:' || start_turn AS stable, CASE WHEN k = m THEN 'A:' || start_turn ELSE 'C:' || k END AS live FROM l")
 def s5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors(segments(turns(spark, sf_dir)))
 
@@ -196,16 +224,21 @@ def summary_variants(full: Column) -> dict[str, Column]:
     return {"full": full, "slight": compress(full, 0.65), "heavy": compress(full, 0.30), "none": F.lit("")}
 
 
-@query("s8_summaries", f"{_T}, f AS (SELECT room_id, topic, string_agg(user_input, chr(10) ORDER BY turn) AS text FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY room_id, topic ORDER BY turn) <= 5) GROUP BY ALL) SELECT room_id, topic, text AS \"full\", CASE WHEN length(text) <= floor(length(text) * 0.65)::INT THEN text WHEN floor(length(text) * 0.65)::INT - floor(floor(length(text) * 0.65)::INT * 0.6)::INT - 3 < 10 THEN substr(text, 1, floor(length(text) * 0.65)::INT) || '...' ELSE substr(text, 1, floor(floor(length(text) * 0.65)::INT * 0.6)::INT) || '...' || right(text, floor(length(text) * 0.65)::INT - floor(floor(length(text) * 0.65)::INT * 0.6)::INT - 3) END AS slight FROM f")
+def _short(share: float) -> str:
+    most = f"floor(length(text) * {share})::INT"
+    return f"CASE WHEN length(text) <= {most} THEN text WHEN {most} - floor({most} * 0.6)::INT - 3 < 10 THEN substr(text, 1, {most}) || '...' ELSE substr(text, 1, floor({most} * 0.6)::INT) || '...' || right(text, {most} - floor({most} * 0.6)::INT - 3) END"
+
+
+@query("s8_summaries", f"{_T}, f AS (SELECT room_id, topic, string_agg(user_input, chr(10) ORDER BY turn) AS text FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY room_id, topic ORDER BY turn) <= 5) GROUP BY ALL) SELECT room_id, topic, text AS \"full\", {_short(0.65)} AS slight, {_short(0.30)} AS heavy, '' AS \"none\" FROM f")
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a summariser would be given, its first five turns, and the shorter variant; the summariser itself is a plug-in and off."""
+    """What a summariser would be given, its first five turns, and the shorter variants; the summariser itself is a plug-in and off."""
     n = F.row_number().over(Window.partitionBy("room_id", "topic").orderBy("turn"))
     t = turns(spark, sf_dir).withColumn("n", n).where("n <= 5")
     full = t.groupBy("room_id", "topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "user_input"))), lambda s: s["user_input"]), "\n").alias("full"))
-    return full.select("room_id", "topic", "full", summary_variants(F.col("full"))["slight"].alias("slight"))
+    return full.select("room_id", "topic", *[c.alias(k) for k, c in summary_variants(F.col("full")).items()])
 
 
-@query("s9_segment_table")
+@query("s9_segment_table", f"{_T}, {_SEG}, {_CLOSED} SELECT scope_key, start_turn, end_turn, n_turns, list_transform(centroid, lambda x: round(x, 5)) AS centroid FROM cl")
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment table as it is stored."""
     t = turns(spark, sf_dir)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,16 +13,11 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..config import DEFAULT
 from .fixtures import MEMORIES, TURNS, memories, turns
+from .views import shared_folder
 
 _M = f"WITH {TURNS}, {MEMORIES}"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: the session's checkpoint folder, else, on one machine, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return where.rstrip("/") if where else "file://" + tempfile.mkdtemp(prefix="threadloom-")
-
-
 class Snapshots:
     """Versions of named tables under one folder; a pointer names the current one.
 
@@ -50,7 +44,45 @@ class Snapshots:
         return version
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/versions/{self._versions()[-1]}/{name}")
+        """The table as the newest version that has it left it."""
+        for v in reversed(self._versions()):
+            at = f"{self.root}/versions/{v}/{name}"
+            if self._fs.exists(self._path(at)):
+                return self.spark.read.parquet(at)
+        raise KeyError(name)
+
+
+class Saver:
+    """Tables that changed since they were last written; a flush writes those, and no others, as one version."""
+
+    def __init__(self, snapshots: Snapshots):
+        self.snapshots, self.dirty = snapshots, {}
+
+    def mark(self, name: str, df: DataFrame) -> None:
+        self.dirty[name] = df
+
+    def flush(self) -> list[str]:
+        done = sorted(self.dirty)
+        if done:
+            self.snapshots.save(self.dirty)
+        self.dirty = {}
+        return done
+
+
+class Checkpoints:
+    """States by scope, written when enough turns have passed since the last time; the log is needed only past them."""
+
+    def __init__(self, snapshots: Snapshots, every: int = 24):
+        self.snapshots, self.every, self.last = snapshots, every, 0
+
+    def due(self, turn: int) -> bool:
+        return turn - self.last >= self.every
+
+    def write(self, log: DataFrame, turn: int) -> None:
+        """The last state of each scope up to ``turn``."""
+        upto = log.where(F.col("turn") <= turn).groupBy("scope_key").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
+        self.snapshots.save({"checkpoint": upto})
+        self.last = turn
 
 
 @query("l1_atomic_replace", f"{_M} SELECT count(*) AS n, max(turn) AS last_turn FROM mem WHERE turn % 2 = 0")
@@ -84,10 +116,21 @@ def load_after(log: DataFrame, seq: int) -> DataFrame:
 _WAL = "wal AS (SELECT turn AS seq, turn, scope_key, 's' || turn AS state FROM mem)"
 
 
-@query("l3_dirty_flush", f"{_M} SELECT scope_key, max(turn) AS flushed_turn, count(*) AS dirty FROM mem WHERE turn > 24 GROUP BY 1")
+@query("l3_dirty_flush", f"{_M} SELECT 'actors' AS name, count(DISTINCT actor_key) AS n, 1 AS writes FROM mem UNION ALL SELECT 'memories', count(*), 2 FROM mem")
 def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a flush after turn 24 would have to write, by scope."""
-    return memories(turns(spark, sf_dir)).where("turn > 24").groupBy("scope_key").agg(F.max("turn").alias("flushed_turn"), F.count("*").alias("dirty"))
+    """Two tables change, then one of them again: each flush writes what changed before it, and what is read is the last of each."""
+    mem = memories(turns(spark, sf_dir))
+    saver = Saver(Snapshots(spark, f"{shared_folder(spark)}/l3-{uuid.uuid4().hex}"))
+    saver.mark("memories", mem.where("turn <= 24").select("mem_id"))
+    saver.mark("actors", mem.select("actor_key").distinct())
+    done = saver.flush()
+    saver.mark("memories", mem.select("mem_id"))
+    done += saver.flush() + saver.flush()
+    out = None
+    for name in sorted(set(done)):
+        n = saver.snapshots.load(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(done.count(name)).alias("writes"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("l4_wal", f"{_M}, {_WAL} SELECT seq, turn, scope_key, state FROM wal WHERE seq > 24")
@@ -95,10 +138,16 @@ def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_after(wal(memories(turns(spark, sf_dir))), 24)
 
 
-@query("l5_checkpoint", f"{_M} SELECT turn // 24 AS checkpoint, max(turn) AS last_seq, count(DISTINCT scope_key) AS scopes FROM mem GROUP BY 1")
+@query("l5_checkpoint", f"{_M}, {_WAL} SELECT scope_key, arg_max(state, seq) AS state, max(seq) AS seq, 4 AS written FROM wal WHERE turn <= 96 GROUP BY 1")
 def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A checkpoint every 24 turns, up to which the log may be cut."""
-    return memories(turns(spark, sf_dir)).groupBy(F.floor(F.col("turn") / 24).alias("checkpoint")).agg(F.max("turn").alias("last_seq"), F.countDistinct("scope_key").alias("scopes"))
+    """A checkpoint whenever 24 turns have passed, over the first hundred; the last one as it is read."""
+    log = load_after(wal(memories(turns(spark, sf_dir))), 0)
+    cp, written = Checkpoints(Snapshots(spark, f"{shared_folder(spark)}/l5-{uuid.uuid4().hex}")), 0
+    for turn in range(1, 101):
+        if cp.due(turn):
+            cp.write(log, turn)
+            written += 1
+    return cp.snapshots.load("checkpoint").select("scope_key", "state", "seq", F.lit(written).alias("written"))
 
 
 def recover(checkpoint: DataFrame, log: DataFrame) -> DataFrame:
@@ -115,22 +164,46 @@ def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover(half, load_after(log, 100))
 
 
-@query("l7_shutdown", f"{_M} SELECT count(*) AS memories, count(DISTINCT actor_key) AS actors, count(DISTINCT scope_key) AS scopes FROM mem")
+@query("l7_shutdown", f"{_M}, {_WAL} SELECT 'actors' AS name, count(DISTINCT actor_key) AS n, max(turn) AS last FROM mem UNION ALL SELECT 'checkpoint', count(DISTINCT scope_key), max(seq) FROM wal UNION ALL SELECT 'memories', count(*), max(turn) FROM mem")
 def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All state tables in one version, as a shutdown leaves them."""
+    """A shutdown: the guard's state, then what is dirty, then a checkpoint although none is due; all of it read back."""
     mem = memories(turns(spark, sf_dir))
     s = Snapshots(spark, f"{shared_folder(spark)}/l7-{uuid.uuid4().hex}")
-    s.save({"memories": mem.select("mem_id"), "actors": mem.select("actor_key").distinct(), "scopes": mem.select("scope_key").distinct()})
-    counts = [s.load(t).agg(F.count("*").alias(t)) for t in ("memories", "actors", "scopes")]
-    return counts[0].join(counts[1], F.lit(True)).join(counts[2], F.lit(True))
-
-
-@query("l8_index_rebuild", "SELECT label, count(*) AS n, max(vec_id) AS last_id FROM embeddings GROUP BY 1")
+    s.save({"actors": mem.groupBy("actor_key").agg(F.max("turn").alias("last"))})
+    saver = Saver(s)
+    saver.mark("memories", mem.select("mem_id", F.col("turn").alias("last")))
+    saver.flush()
+    Checkpoints(s).write(load_after(wal(mem), 0), 1 << 60)
+    out = None
+    for name, last in (("actors", "last"), ("memories", "last"), ("checkpoint", "seq")):
+        n = s.load(name).agg(F.count("*").alias("n"), F.max(last).alias("last")).select(F.lit(name).alias("name"), "n", "last")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("l8_index_rebuild", "SELECT * FROM (VALUES ('loaded', true, true), ('rebuilt', true, true)) v(index, enough, all_indexed)")
 def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector index is the table itself; loading it is reading it."""
-    s = Snapshots(spark, f"{shared_folder(spark)}/l8-{uuid.uuid4().hex}")
-    s.save({"index": spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")})
-    return s.load("index").groupBy("label").agg(F.count("*").alias("n"), F.max("vec_id").alias("last_id"))
+    """An index that is saved and loaded, and one rebuilt from the rows where nothing was saved: both hold all rows and find nine tenths of the exact result."""
+    from ..operators.vectors import VectorIndex, _asked, knn_topk, recall_of
+
+    q, data = _asked(spark, sf_dir)
+    path = f"{shared_folder(spark)}/l8-{uuid.uuid4().hex}"
+    VectorIndex.create(data).save(path)
+    exact, out = knn_topk(q, data, 48), None
+    for name, index in (("loaded", load_or_rebuild(spark, path, data)), ("rebuilt", load_or_rebuild(spark, f"{path}-missing", data))):
+        n = index.rows.agg(F.count("*").alias("n")).join(data.agg(F.count("*").alias("all")), F.lit(True)).select((F.col("n") == F.col("all")).alias("all_indexed"))
+        r = recall_of(index.search(q, 48), exact).select(F.lit(name).alias("index"), (F.col("recall") >= 0.9).alias("enough")).join(n, F.lit(True))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def load_or_rebuild(spark: SparkSession, path: str, data: DataFrame):
+    """The index at ``path``, or a new one over ``data`` if there is none."""
+    from ..operators.vectors import VectorIndex
+
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return VectorIndex.load(spark, path) if there else VectorIndex.create(data)
 
 
 #: The tab-separated predictor format of earlier stores.

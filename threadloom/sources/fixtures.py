@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .views import once
+
 #: Rows that the corpus lacks: other scripts, cues, reactions, mentions, risky texts, boundary lengths.
 LITERALS: list[str] = [
     "你好，世界！今天天气怎么样？我们去公园吧。", "继续刚才的话题；@小明 你怎么看", "哈哈哈", "666", "[笑][哭]", "@Alice, reply to @bob! thanks @ALICE",
@@ -77,15 +79,24 @@ NOISE = (0.03, 0.45, 1.0, 0.03)
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user message, its rooms interleaved: turn, texts, identity, topic, event time, vector."""
+    return once(spark, sf_dir, "turns", lambda: _turns(spark, sf_dir))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read(spark, sf_dir, "conversations")
     user = conv.where("role = 'user'").select("conv_id", F.col("turn").alias("conv_turn"), F.col("text").alias("user_input"))
     reply = conv.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("conv_turn"), F.col("text").alias("reply"))
+    # numbers inside each conv_turn, behind those of the conv_turns before; one row a conv_turn is all that one task orders
+    sizes = user.groupBy("conv_turn").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("conv_turn").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("conv_turn", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("conv_turn").orderBy("conv_id"))
+    user = user.withColumn("inside", inside).join(sizes, "conv_turn").withColumn("turn", (F.col("before") + F.col("inside")).cast("long")).drop("before", "inside")
     df = user.join(reply, ["conv_id", "conv_turn"], "left")
-    df = df.withColumn("turn", F.row_number().over(Window.orderBy("conv_turn", "conv_id")).cast("long"))
     df = df.withColumn("topic", (F.col("conv_id") + F.floor(F.col("conv_turn") / 2)) % 6)
     emb = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    n = emb.count()
-    keys = {"k0": F.col("topic"), "k1": 100 + F.col("conv_id") % 3, "k2": 200 + F.col("conv_id") % 100, "k3": (F.col("turn") * 7919) % n}
+    df = df.join(emb.agg(F.count("*").alias("n_emb")), F.lit(True))
+    keys = {"k0": F.col("topic"), "k1": 100 + F.col("conv_id") % 3, "k2": 200 + F.col("conv_id") % 100, "k3": (F.col("turn") * 7919) % F.col("n_emb")}
     df = df.withColumns(keys)
     for k in keys:
         df = df.join(emb.select(F.col("vec_id").alias(k), F.col("e").alias(f"e{k}")), k)
@@ -123,13 +134,28 @@ MEMORIES = """mem AS MATERIALIZED (SELECT turn AS mem_id, source || ':' || room_
   conv_id % 5 + 1 AS cluster_id, [turn] AS turns, user_input AS text, vec, topic, turn FROM turns)"""
 
 
+def mean_of(vec: str, dim: int = 64) -> Column:
+    """The mean of a group's vectors, as an aggregate."""
+    n = F.count("*")
+    return F.array(*[F.sum(F.get(F.col(vec), F.lit(i))) / n for i in range(dim)])
+
+
 def topic_nodes(mem: DataFrame) -> DataFrame:
     """anchor, scope_key, centroid (unit mean of its memories), memory_count, last_turn."""
-    pos = mem.select("anchor", "scope_key", "turn", F.posexplode("vec").alias("p", "x")).groupBy("anchor", "scope_key", "p").agg(F.avg("x").alias("x"), F.count("*").alias("n"), F.max("turn").alias("last_turn"))
-    by = pos.groupBy("anchor", "scope_key").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v"), F.max("n").alias("memory_count"), F.max("last_turn").alias("last_turn"))
-    return by.select("anchor", "scope_key", unit(F.transform("v", lambda s: s["x"])).alias("centroid"), "memory_count", "last_turn")
+    by = mem.groupBy("anchor", "scope_key").agg(mean_of("vec").alias("m"), F.count("*").alias("memory_count"), F.max("turn").alias("last_turn"))
+    return by.select("anchor", "scope_key", unit(F.col("m")).alias("centroid"), "memory_count", "last_turn")
 
 
 NODES = """npos AS (SELECT anchor, scope_key, p, avg(vec[p]) AS x, count(*) AS n, max(turn) AS last_turn FROM mem, range(1, 65) r(p) GROUP BY ALL),
 nraw AS (SELECT anchor, scope_key, list(x ORDER BY p) AS v, max(n) AS memory_count, max(last_turn) AS last_turn FROM npos GROUP BY ALL),
 nodes AS MATERIALIZED (SELECT anchor, scope_key, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS centroid, memory_count, last_turn FROM nraw)"""
+
+
+def split_store(mem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The memories of the first three fifths of the turns, which are a store, and those of later turns, which ask it."""
+    cut = mem.agg(F.floor(F.max("turn") * 3 / 5).alias("cut"))
+    both = mem.join(F.broadcast(cut), F.lit(True))
+    return both.where("turn <= cut").drop("cut"), both.where("turn > cut").drop("cut")
+
+
+STORE = "sto AS MATERIALIZED (SELECT * FROM mem WHERE turn <= (SELECT max(turn) FROM mem) * 3 // 5), ask AS MATERIALIZED (SELECT * FROM mem WHERE turn > (SELECT max(turn) FROM mem) * 3 // 5)"
