@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .suffix import suffix_array
+from .suffix import suffixes
 from .words import mix
 
 LENGTH, ANCHOR = 200, 64
@@ -236,46 +236,61 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut)].tolist(), starts[np.append(cut - 1, len(starts) - 1)].tolist(), strict=True))
 
 
-def repeated_windows(texts: list[bytes], ident: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
-    """For each text the starts of its windows that another place has too; ident and base tell which places are the same."""
+def repeated_windows(texts: list[bytes], ident: np.ndarray, base: np.ndarray, folder: str | None = None) -> list[np.ndarray]:
+    """For each text the starts of its windows that another place has too; ident and base tell which places are the same.
+
+    Suffixes come in order, block by block.  Those with LENGTH bytes in common
+    with the one before are of its group; a group is repeated once it has two
+    different places, until when only its first members are held.
+    """
     sizes = np.array([len(x) for x in texts], np.int64)
     t = np.frombuffer(b"".join(texts), np.uint8)
     if len(t) < LENGTH:
         return [np.zeros(0, np.int64) for _ in texts]
     begin = np.append(0, np.cumsum(sizes)[:-1])
-    order = suffix_array(t, LENGTH)
-    owner = np.searchsorted(begin, order, "right") - 1
-    inside = order - begin[owner]
-    whole = inside + LENGTH <= sizes[owner]
-    order, owner, inside = order[whole], owner[whole], inside[whole]
-    # neighbours in the order with LENGTH equal bytes: equal hashes, then the bytes themselves
-    h = piece_hashes(t, LENGTH)[order]
-    same = np.append(False, h[1:] == h[:-1])
-    view = np.lib.stride_tricks.sliding_window_view(t, LENGTH)
-    maybe = np.flatnonzero(same)
-    for lo in range(0, len(maybe), 20_000):
-        m = maybe[lo : lo + 20_000]
-        same[m] = (view[order[m]] == view[order[m - 1]]).all(axis=1)
-    group = np.cumsum(~same) - 1
-    place = np.stack([ident[owner], base[owner] + inside], axis=1)
-    other = np.append(False, (place[1:] != place[:-1]).any(axis=1)) & same
-    n = int(group[-1]) + 1 if len(group) else 0
-    # a group is repeated if it has two different places at least
-    hit = np.zeros(n, np.bool_)
-    hit[group[other]] = True
-    good = hit[group] if n else np.zeros(0, np.bool_)
-    o, s = owner[good], inside[good]
+    owners, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def settle(owner: np.ndarray, inside: np.ndarray, group: np.ndarray) -> None:
+        """The members of whole groups that have two different places at least."""
+        place = np.stack([ident[owner], base[owner] + inside], axis=1)
+        first = np.searchsorted(group, group)
+        other = (place != place[first]).any(axis=1)
+        hit = np.zeros(int(group[-1]) + 1 if len(group) else 0, np.bool_)
+        hit[group[other]] = True
+        good = hit[group]
+        owners.append(owner[good])
+        starts.append(inside[good])
+
+    held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for pos, common in suffixes(t, folder=folder):
+        owner = np.searchsorted(begin, pos, "right") - 1
+        inside = pos - begin[owner]
+        whole = inside + LENGTH <= sizes[owner]
+        group = np.cumsum(common < LENGTH)
+        owner, inside, group = (np.concatenate([h, x[whole]]) for h, x in zip((*held, np.zeros(len(held[0]), np.int64)), (owner, inside, group), strict=True))
+        # the last group may go on in the next block; of one that is known to be repeated two members stand for it
+        last = np.searchsorted(group, int(np.cumsum(common < LENGTH)[-1]))
+        settle(owner[:last], inside[:last], group[:last])
+        held = owner[last:], inside[last:]
+        if len(held[0]) > 2:
+            place = np.stack([ident[held[0]], base[held[0]] + held[1]], axis=1)
+            other = np.flatnonzero((place != place[0]).any(axis=1))
+            if len(other):
+                settle(*held, np.zeros(len(held[0]), np.int64))
+                held = tuple(x[[0, other[0]]] for x in held)
+    settle(*held, np.zeros(len(held[0]), np.int64))
+    o, s = np.concatenate(owners), np.concatenate(starts)
     by = np.argsort(o, kind="stable")
     o, s = o[by], s[by]
     edge = np.searchsorted(o, np.arange(len(texts) + 1))
     return [np.unique(s[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _shard(table: pa.Table) -> pa.Table:
+def _shard(table: pa.Table, folder: str | None = None) -> pa.Table:
     texts = table["bytes"].to_pylist()
     k, base, need = (np.asarray(table[c]) for c in ("k", "base", "need"))
     rows = []
-    for i, starts in enumerate(repeated_windows(texts, k, base.astype(np.int64))):
+    for i, starts in enumerate(repeated_windows(texts, k, base.astype(np.int64), folder)):
         if need[i] and len(starts):
             rows += [(int(k[i]), int(base[i]) + a, int(base[i]) + b) for a, b in _runs(starts)]
     cols = list(zip(*rows, strict=True)) or [()] * 3
@@ -286,7 +301,8 @@ def _by_shards(groups: DataFrame) -> DataFrame:
     size = groups.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(64, -(-size // SHARD))
     dealt = groups.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards))).repartition(min(shards, 4096), "shard")
-    return dealt.groupBy("shard").applyInArrow(_shard, "k long, lo int, hi int")
+    folder = scratch.place(groups.sparkSession, "suffix-queues")
+    return dealt.groupBy("shard").applyInArrow(lambda t: _shard(t, folder), "k long, lo int, hi int")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
