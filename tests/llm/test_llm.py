@@ -825,20 +825,35 @@ def test_cut_edges(edge, empty):
     assert substrings.cut_repeats(empty).count() == 0
 
 
-def test_suffix_order():
-    r = random.Random(1)
-    for _ in range(300):
-        kinds = r.choice([1, 2, 3, 5, 256])
-        b = bytes(r.randrange(kinds) for _ in range(r.randint(1, 60)))
-        assert suffix.suffix_array(np.frombuffer(b, np.uint8)).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def test_queues_keep_their_order_on_disk():
-    q = suffix.Queues(3, budget=4)
-    for k in range(6):
-        q.push(1, np.array([2 * k, 2 * k + 1]))
-    assert np.concatenate(q.pop(1)).tolist() == list(range(12))
-    q.close()
+def test_suffix_order_and_common_prefixes(tmp_path):
+    """Also with queues that hold three tuples and write all others to files."""
+    r = random.Random(1)
+    for trial in range(400):
+        kinds = r.choice([1, 2, 3, 5, 256])
+        b = bytes(r.randrange(kinds) for _ in range(r.randint(1, 60))) * r.choice([1, 1, 2, 6])
+        out = list(suffix.suffixes(np.frombuffer(b, np.uint8), budget=3, folder=f"file://{tmp_path}/q" if trial % 3 == 0 else None))
+        pos, common = (np.concatenate(x).tolist() for x in zip(*out, strict=True))
+        assert pos[::-1] == sorted(range(len(b)), key=lambda i: b[i:])
+        assert common == [0] + [min(suffix.LONGEST, shared(b[i:], b[j:])) for i, j in zip(pos[1:], pos, strict=False)]
+    assert not list((tmp_path / "q").iterdir())
+
+
+def test_a_shard_far_larger_than_the_budget(tmp_path, monkeypatch):
+    """Half a million bytes with four thousand tuples in memory: the files come and go, and the result is that of the sort in memory."""
+    r = np.random.default_rng(4)
+    t = r.integers(97, 101, 500_000).astype(np.uint8)
+    t[300_000:330_000] = t[:30_000]
+    written = []
+    push = suffix.Queues.push
+    monkeypatch.setattr(suffix.Queues, "push", lambda q, *a: (push(q, *a), written.append(q.written)))
+    small = [np.concatenate(x) for x in zip(*suffix.suffixes(t, 200, budget=4_000, folder=f"file://{tmp_path}/q"), strict=True)]
+    assert max(written) > 400_000 and not list((tmp_path / "q").iterdir())
+    large = [np.concatenate(x) for x in zip(*suffix.suffixes(t, 200), strict=True)]
+    assert all((x == y).all() for x, y in zip(small, large, strict=True))
 
 
 # the pipeline
@@ -897,12 +912,38 @@ def test_pipeline_stages_decide_for_each_row(spark, edge, data, tmp_path):
     assert bulk(cp.quality_classifier(spark, docs.unionByName(more), data)) - kept == collections.Counter({(-1, good[0]): 1, (None, good[0]): 2})
 
 
-def test_pipeline_runs(spark, data):
+def test_every_stage_on_edge_rows_and_on_none(spark, edge, empty, data):
+    """Columns with clashing names pass through; nothing is made up; blanks stay in all stages but the last; very long texts are whole."""
+    import corpus_pipeline as cp
+
+    before = collections.Counter(r.doc_id for r in edge.collect())
+    for name, stage in cp.STAGES:
+        none = stage(spark, empty, data)
+        assert set(empty.columns) <= set(none.columns) and none.count() == 0, name
+        out = stage(spark, edge, data)
+        rows = out.collect()
+        assert all(r[c] == "x" for r in rows for c in CLASH), name
+        if name == "mixture":
+            assert not {r.doc_id for r in rows} & {1, 2, 3} and {r.doc_id for r in rows} <= set(before)
+            continue
+        assert out.columns == edge.columns and not collections.Counter(r.doc_id for r in rows) - before, name
+        assert {1, 2, 3} <= {r.doc_id for r in rows}, name
+        if name != "near_duplicates":
+            assert all(sum(r.doc_id == i for r in rows) in (0, before[i]) for i in (6, 7, None)), name
+        long = [r.text for r in rows if r.doc_id == 8]
+        assert not long or len(long[0].split()) == 30_000, name
+
+
+def test_release_deletes_what_the_pipeline_wrote(spark, data, tmp_path):
     import corpus_pipeline as cp
 
-    out = cp.run(spark, data)
-    assert out.count() > 0 and {"doc_id", "words", "shard"} <= set(out.columns)
-    scratch.release(spark)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        assert cp.run(spark, data).count() > 0 and list((tmp_path / "shared").rglob("*.parquet"))
+        scratch.release(spark)
+        assert not list((tmp_path / "shared").rglob("*.parquet"))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
 
 
 def test_memo_is_bounded(monkeypatch):
