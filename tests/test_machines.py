@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from threadloom.api import Memory
 from threadloom.config import DEFAULT
+from threadloom.operators import vectors
 from threadloom.operators.art import Map, Prior, art_step, reinforce_step
 from threadloom.operators.graph import Active, _drain, activation_step
-from threadloom.operators.guard import Credit, admissions, credit_step, credits
+from threadloom.operators.guard import TRUSTED, Credit, admissions, credit_step, credits
 from threadloom.operators.memory import Store, merge_step
-from threadloom.operators.retrieval import pick_memories, pick_topics
+from threadloom.operators.evaluation import report, simulate
+from threadloom.operators.retrieval import Store as RecallStore
+from threadloom.operators.retrieval import pick, pick_topics
 from threadloom.operators.router import Router, route, route_step
 from threadloom.operators.segments import Segment, segment_step
+from threadloom.operators.vectors import VectorIndex, knn_topk, recall_of
 from threadloom.sources.durability import Snapshots, recover
-from threadloom.sources.fixtures import turns
+from threadloom.sources.fixtures import memories, split_store, turns
 
 
 def message(turn, vec, **over):
@@ -136,15 +142,87 @@ def test_router_commits_each_event_once(seq):
     assert len(done) == len(set(done)) and set(done) <= set(routed)
 
 
+def chosen(sem, group, cover, want, k, like=None):
+    n = len(sem)
+    like = np.eye(n) if like is None else np.array(like)
+    return pick(np.array(sem), np.full(n, 0.5), np.array(group), like, np.array(cover, float).reshape(n, len(want)), np.array(want), k)[0]
+
+
 def test_greedy_choice_prefers_what_is_not_covered():
-    rows = [{"mem_id": i, "sim": s, "local": 0.5, "group": g, "facets": f} for i, s, g, f in ((1, 0.9, 1, {"x": 1.0}), (2, 0.88, 1, {"x": 1.0}), (3, 0.6, 2, {"y": 1.0}))]
-    assert [r["mem_id"] for r, _ in pick_memories(rows, {"x": 0.5, "y": 0.5}, 2)] == [1, 3]
-    assert [r["mem_id"] for r, _ in pick_memories(rows, {}, 1)] == [1]
+    assert chosen([0.9, 0.88, 0.6], [1, 1, 2], [[1, 0], [1, 0], [0, 1]], [0.5, 0.5], 2) == [0, 2]
+    assert chosen([0.9, 0.88, 0.6], [1, 1, 2], [[], [], []], [], 1) == [0]
+
+
+def test_greedy_choice_passes_over_what_is_all_but_equal():
+    twins = [[1, 1, 0], [1, 1, 0], [0, 0, 1]]
+    assert chosen([0.9, 0.9, 0.8], [-1, -1, -1], [[], [], []], [], 2, twins) == [0, 2]
+    assert chosen([0.9, 0.9, 0.2], [-1, -1, -1], [[], [], []], [], 3, twins) == [0, 1, 2]
+
+
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(-1, 3)), min_size=1, max_size=12), st.integers(1, 15))
+def test_greedy_choice_takes_each_once(rows, k):
+    got = chosen([r[0] for r in rows], [r[1] for r in rows], [[]] * len(rows), [], k)
+    assert len(got) == len(set(got)) == min(k, len(rows))
 
 
 def test_one_topic_of_a_family():
-    rows = [{"anchor": a, "family": f, "score": s} for a, f, s in (("a", 1, 0.9), ("b", 1, 0.8), ("c", 2, 0.1))]
-    assert [r["anchor"] for r, _ in pick_topics(rows, 4)] == ["a", "c"]
+    none = np.zeros((3, 0))
+    assert pick_topics(none, np.array([0.9, 0.8, 0.1]), np.array([1, 1, 2]), np.zeros(0), 4)[0] == [0, 2]
+    cover = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    assert pick_topics(cover, np.array([0.5, 0.5, 0.4]), np.array([1, 2, 3]), np.array([0.5, 0.5]), 2)[0] == [0, 2]
+
+
+def test_simulated_runs_and_their_report(spark):
+    """Rooms never meet, nobody sees what is another's own, and most questions find what was said."""
+    runs = [spark.createDataFrame(simulate(spark, 120, seed).collect()) for seed in (42, 43)]
+    rows = sorted(report(runs).collect(), key=lambda r: r.seed or 99)
+    assert [r.seed for r in rows] == [42, 43, None] and rows[-1].queries == sum(r.queries for r in rows[:2])
+    for r in rows:
+        assert r.cross_room == 0 and r.cross_actor == 0 and r.found > 0.5 and r.empty < 0.5
+
+
+def test_a_store_of_frames(spark, data):
+    """A store with tables of its own gives what the fixture's gives."""
+    plain = RecallStore(*split_store(memories(turns(spark, data))))
+    key = lambda df: sorted(map(tuple, df.select("qid", "kind", "n", "anchor", "mem_id", F.round("value", 6)).collect()), key=repr)
+    assert key(plain.recalled()) == key(RecallStore.of(spark, data).recalled())
+
+
+def test_facade_writes_and_reads(spark, data, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/m", TRUSTED)
+    t = turns(spark, data)
+    written = m.ingest(t).count()
+    assert written > 0 and m.shutdown() == ["actors", "memories"] and m.shutdown() == []
+    assert m.saver.snapshots.load("memories").count() == written
+    blocks = m.compile(RecallStore.of(spark, data), t)
+    assert {r.kind for r in blocks.select("kind").distinct().collect()} >= {"label", "context", "transcript"}
+
+
+def test_index_with_more_rows_and_after_loading(spark, tmp_path):
+    r = np.random.default_rng(5)
+    c = r.normal(size=(12, 16))
+    rows = [(i, (c[i % 12] + 0.1 * r.normal(size=16)).tolist()) for i in range(1_500)]
+    data = spark.createDataFrame(rows, "id long, v array<double>")
+    q = data.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    index = VectorIndex.create(data.where("id < 1000"), k=10)
+    index.add(data.where("id >= 1000"))
+    assert index.probes < len(index.centroids) / 2 and recall_of(index.search(q, 10), knn_topk(q, data, 10)).first()[0] >= 0.9
+    index.save(f"file://{tmp_path}/index")
+    again = VectorIndex.load(spark, f"file://{tmp_path}/index")
+    key = lambda df: sorted(map(tuple, df.select("qid", "rank", "id").collect()))
+    assert key(again.search(q, 10)) == key(index.search(q, 10))
+
+
+def test_search_by_blocks_equals_the_scan(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    data = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(600)], "id long, v array<double>")
+    q = data.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    key = lambda df: sorted((x.qid, x.rank, x.id, round(x.sim, 9)) for x in df.collect())
+    scan = [key(knn_topk(q, data, 5, m, 0.1 if m != "l2" else None)) for m in ("cosine", "l2", "ip")]
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "CHUNK", 100)
+    assert [key(knn_topk(q, data, 5, m, 0.1 if m != "l2" else None)) for m in ("cosine", "l2", "ip")] == scan
 
 
 def test_replay_gives_the_same_rows(spark, data):

@@ -9,6 +9,7 @@ which topics add something new, is decided query by query on those candidates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -33,7 +34,10 @@ _COS = "list_cosine_similarity"
 class Store:
     """What recall reads: memories, topics, activations, the map of each topic and the log of earlier recalls."""
 
-    def __init__(self, mem: DataFrame, asks: DataFrame, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda _, build: build()):
+    def __init__(self, mem: DataFrame, asks: DataFrame, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None):
+        """``keep`` writes a table under a name once and reads it; without one, this store's tables are its own."""
+        own = uuid.uuid4().hex
+        keep = keep or (lambda name, build: once(mem.sparkSession, own, f"store-{name}", build))
         self.keep = keep
         self.every = mem.unionByName(asks)
         self.mem, self.ask = keep("memories", lambda: mem), keep("queries", lambda: _queries(asks))
