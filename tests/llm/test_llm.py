@@ -804,7 +804,7 @@ def test_group_halves_hold_every_window_once():
             parts = substrings.halves(g, k, base, off, core, need, t)
             assert all(p[4] > core and p[6][p[3] : p[3] + p[4]] == text[p[2] - 1000 + p[3] : p[2] - 1000 + p[3] + p[4]] for p in parts)
             todo += parts
-            windows += [base] if core == 200 else []
+            windows += [base - 1000] if core == 200 else []
         first, last = max(0, before + 64 - 200), min(before, len(text) - 200)
         assert set(range(first, last + 1)) <= set(windows) and len(windows) == len(set(windows))
 
@@ -851,7 +851,7 @@ def test_a_shard_far_larger_than_the_budget(tmp_path, monkeypatch):
     push = suffix.Queues.push
     monkeypatch.setattr(suffix.Queues, "push", lambda q, *a: (push(q, *a), written.append(q.written)))
     small = [np.concatenate(x) for x in zip(*suffix.suffixes(t, 200, budget=4_000, folder=f"file://{tmp_path}/q"), strict=True)]
-    assert max(written) > 400_000 and not list((tmp_path / "q").iterdir())
+    assert max(written) > 200_000 and not list((tmp_path / "q").iterdir())
     large = [np.concatenate(x) for x in zip(*suffix.suffixes(t, 200), strict=True)]
     assert all((x == y).all() for x, y in zip(small, large, strict=True))
 
