@@ -374,14 +374,15 @@ def test_probabilities_of_every_context_add_up(spark, data):
     """The model's own numbers, over all known words and the unknown one, at the parent and behind every context."""
     c, states = one_chunk(spark.read.parquet(f"{data}/documents.parquet"))
     for p, (s, m) in zip(hpylm.sampled(c, c.pair_count, states), states[-hpylm.SAMPLES :], strict=True):
-        parent, known = m.parent(s), s.count > 0
+        count = states[0][0].count
+        parent, known = m.parent(s), count > 0
         known[-1] = False  # the start is no word
         assert math.isclose(parent[known].sum() + m.unknown(), 1.0, rel_tol=1e-9) and (s.root_tables <= s.customers).all()
         seen = known[c.pair_w]
         inside = np.bincount(c.pair_u[seen], weights=p[seen], minlength=len(c.words))
         rest = 1 - np.bincount(c.pair_u[seen], weights=parent[c.pair_w][seen], minlength=len(c.words))
-        context = (s.count > 0) & (np.bincount(c.pair_u, minlength=len(c.words)) > 0)
-        back = (hpylm.THETA + m.discount * s.tables) / (hpylm.THETA + s.count)
+        context = (count > 0) & (np.bincount(c.pair_u, minlength=len(c.words)) > 0)
+        back = (hpylm.THETA + m.discount * s.tables) / (hpylm.THETA + count)
         assert np.allclose((inside + back * rest)[context], 1.0, rtol=1e-9) and context.sum() > 1_000
 
 
