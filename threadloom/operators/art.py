@@ -219,21 +219,27 @@ def chosen_categories(queries: DataFrame, taken: DataFrame, mem: DataFrame, assi
     c = _centroids(mem, assigned, "category")
     held = assigned.select("anchor", "bundle", "category").distinct()
     home = assigned.groupBy("anchor", "category").agg(F.max_by("bundle", F.struct("turn", "mem_id")).alias("bundle"))
-    per = Window.partitionBy("qid", "anchor")
-    t = taken.withColumn("share", F.floor((cfg.categories + F.count("*").over(per) - 1) / F.count("*").over(per)))
+    pair = ["qid", "anchor"]
+    t = taken.withColumn("share", F.floor((cfg.categories + F.count("*").over(Window.partitionBy(*pair)) - 1) / F.count("*").over(Window.partitionBy(*pair))))
     t = t.join(held, ["anchor", "bundle"]).join(c, ["anchor", "category"]).withColumn("cs", cosine(F.col("qv"), F.col("centroid"))).drop("centroid")
-    near = Window.partitionBy("qid", "anchor", "r").orderBy(F.round("cs", 9).desc(), "category")
-    first = t.where("r = 1").withColumn("k", F.row_number().over(near)).where(F.col("k") <= F.col("share")).drop("k")
-    second = t.where("r = 2").join(first.select("qid", "anchor", "category"), ["qid", "anchor", "category"], "left_anti")
-    second = second.withColumn("k", F.row_number().over(near)).where(F.col("k") <= F.col("share")).drop("k")
-    got = first.unionByName(second.select(first.columns))
-    rest = t.join(got.select("qid", "anchor", "category"), ["qid", "anchor", "category"], "left_anti")
-    once = F.row_number().over(Window.partitionBy("qid", "anchor", "category").orderBy("r"))
-    rest = rest.withColumn("o", once).where("o = 1").drop("o")
-    room = got.groupBy("qid", "anchor").agg((cfg.categories - F.count("*")).alias("room"))
-    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("qid", "anchor").orderBy(F.round("cs", 9).desc(), "category"))).join(room, ["qid", "anchor"]).where(F.col("k") <= F.col("room"))
+
+    def place(flag: str) -> Column:
+        """The place by likeness among the rows of a query that have the flag."""
+        return F.when(F.col(flag), F.row_number().over(Window.partitionBy(*pair, flag).orderBy(F.round("cs", 9).desc(), "category")))
+
+    def any_of(flag: Column) -> Column:
+        return F.max(flag).over(Window.partitionBy(*pair, "category"))
+
+    # windows over one dealing by query and topic: the first bundle's share, the second's of what is new, then the nearest of the rest
+    t = t.withColumn("a", F.col("r") == 1)
+    t = t.withColumn("first", F.coalesce(place("a") <= F.col("share"), F.lit(False)))
+    t = t.withColumn("b", (F.col("r") == 2) & ~any_of(F.col("first")))
+    t = t.withColumn("got", F.col("first") | F.coalesce(place("b") <= F.col("share"), F.lit(False)))
+    t = t.withColumn("rest", ~any_of(F.col("got")) & (F.row_number().over(Window.partitionBy(*pair, "category").orderBy("r")) == 1))
+    t = t.withColumn("room", cfg.categories - F.sum(F.col("got").cast("int")).over(Window.partitionBy(*pair)))
+    t = t.withColumn("k", place("rest")).where("got or coalesce(k <= room, false)")
     names = ["qid", "anchor", "qv", "bundle", "category", "bs", "cs"]
-    by_bundle = got.select(names).unionByName(rest.select(names)).withColumn("route", F.lit("bundle"))
+    by_bundle = t.select(names).withColumn("route", F.lit("bundle"))
     lost = queries.join(taken.select("qid", "anchor").distinct(), ["qid", "anchor"], "left_anti")
     by_cat = lost.join(c, "anchor").select("qid", "anchor", "qv", "category", F.lit(0.0).alias("bs"), cosine(F.col("qv"), F.col("centroid")).alias("cs"))
     by_cat = _ranked(by_cat, F.col("cs"), ["qid", "anchor"], "category", cfg.categories).join(home, ["anchor", "category"])

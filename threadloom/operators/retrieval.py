@@ -341,16 +341,16 @@ def choose(t: pa.Table, cfg: Retrieval = CFG) -> pa.Table:
 
 def evidence_and_topics(s: Store, cfg: Retrieval = CFG) -> DataFrame:
     """qid, kind (evidence or topic), n, anchor, mem_id, value, sim: what recall finds for each query."""
-    av = preload(seeds(s.ask, s.nodes, s.touches), None, cfg).select("qid", "anchor", "score", "pos")
+    av = s.keep("available", lambda: preload(seeds(s.ask, s.nodes, s.touches), None, cfg).select("qid", "anchor", "score", "pos"))
     av = av.join(families(av, s.nodes), ["qid", "anchor"])
     q = s.ask.select("qid", "qv", "thread_key", "actor_key", "current")
     qt = av.select("qid", "anchor").join(q, "qid")
-    ca = candidates(qt.select("qid", "anchor", "qv"), s.mem, s.map, bundle_links(s.map))
+    ca = s.keep("candidates", lambda: candidates(qt.select("qid", "anchor", "qv"), s.mem, s.map, bundle_links(s.map)))
     seen = _seen_as(s.mem, "vec", "anchor", "cluster_id")
     who = q.select("qid", "thread_key", "actor_key")
     ca = ca.join(seen.drop("anchor", "cluster_id"), "mem_id").join(who, "qid").where(visible())
     ca = ca.select("qid", "anchor", "mem_id", "sim", "score", F.col("bundle").cast("int").alias("group"), "vec", F.lit(0).alias("origin"))
-    mo = momentum(s.ask, s.log, s.mem).join(q.select("qid", F.col("current").alias("anchor")), "qid").join(av.select("qid", "anchor"), ["qid", "anchor"])
+    mo = s.keep("momentum", lambda: momentum(s.ask, s.log, s.mem)).join(q.select("qid", F.col("current").alias("anchor")), "qid").join(av.select("qid", "anchor"), ["qid", "anchor"])
     mo = mo.join(s.mem.select("mem_id", "vec"), "mem_id").select("qid", "anchor", "mem_id", "sim", "score", F.lit(-1).alias("group"), "vec", F.lit(1).alias("origin"))
     found = ca.unionByName(mo)
     # a topic of which nothing was found is looked through in whole
