@@ -214,8 +214,9 @@ class Router:
         s = self.streams.get(ch.stream)
         if s is None or (ch.pending_only and s.counts):
             return
-        s.window = [*s.window, row["vec"]][-self.cfg.window :] if s.window[-1] is not row["vec"] else s.window
-        s.points[0], s.points[1] = direction(np.mean(s.window, axis=0)), row["unit"]
+        vec = row["vec"] = np.asarray(row["vec"], np.float64)
+        s.window = [*s.window, vec][-self.cfg.window :] if s.window[-1] is not vec else s.window
+        s.points[0], s.points[1] = direction(np.mean(s.window, axis=0)), direction(vec)
         s.confirmed += not ch.pending_only
         s.last_turn, s.last_actor = row["turn"], row["actor"]
         s.participants[row["actor"]] = s.participants.get(row["actor"], 0) + 1
