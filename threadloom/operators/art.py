@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..catalog import query
 from ..config import DEFAULT, Art
 from ..plans.fold import keyed_fold
-from ..sources.fixtures import MEMORIES, TURNS, cosine, memories, turns
+from ..sources.fixtures import MEMORIES, TURNS, mean_of, memories, turns, unit
 from .segments import direction
-from .vectors import mean_vectors
+from .vectors import BLOCK
 
 _COS = "list_cosine_similarity"
 
@@ -180,89 +187,241 @@ def a3_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle_links(a.withColumn("linked_from", F.when(F.col("p") != F.col("bundle"), F.col("p"))))
 
 
+def exemplars(assigned: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+    """anchor, category, mem_id, stored: the twelve memories of each category that were most like it when they came."""
+    n = F.row_number().over(Window.partitionBy("anchor", "category").orderBy(F.round("score", 9).desc(), "mem_id"))
+    return assigned.withColumn("n", n).where(F.col("n") <= cfg.exemplars).select("anchor", "category", "mem_id", F.col("score").alias("stored"))
+
+
 def _centroids(mem: DataFrame, assigned: DataFrame, level: str) -> DataFrame:
-    j = mem.select("mem_id", "vec").join(assigned.select("mem_id", "anchor", level), "mem_id").withColumn("k", F.concat_ws("\x1f", "anchor", F.col(level).cast("string")))
-    m = mean_vectors(j, "k", "vec", normalised=True)
-    return j.select("k", "anchor", level).distinct().join(m, "k").select("anchor", level, F.col("m").alias("centroid"))
+    j = mem.select("mem_id", "vec").where(F.size("vec") > 0).join(assigned.select("mem_id", "anchor", level), "mem_id")
+    return j.groupBy("anchor", level).agg(unit(mean_of("vec")).alias("centroid"))
 
 
-def _ranked(df: DataFrame, by: Column, group: list[str], tie: str, most: int) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(F.round(by, 9).desc(), tie))
-    return df.withColumn("n", n).where(F.col("n") <= most).drop("n")
+#: Rows of a topic's map as its queries get them: what ``kind`` says about ``a``, with another number, a weight and a vector.
+_BUNDLE, _CATEGORY, _HELD, _HOME, _LINK, _EXEMPLAR = range(6)
+
+
+def _map_rows(mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art) -> DataFrame:
+    """anchor, kind, a, b, w, v: centroids, the categories that each bundle ever held, the last bundle of each category, links, exemplars."""
+    none = {"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long"), "w": F.lit(None).cast("double"), "v": F.lit(None).cast("array<double>")}
+
+    def rows(df: DataFrame, kind: int, **named: str) -> DataFrame:
+        return df.select("anchor", F.lit(kind).alias("kind"), *[(F.col(named[k]).cast(mem.schema["vec"].dataType if k == "v" else "double" if k == "w" else "long") if k in named else c).alias(k) for k, c in none.items()])
+
+    home = assigned.groupBy("anchor", "category").agg(F.max_by("bundle", F.struct("turn", "mem_id")).alias("bundle"))
+    parts = [
+        rows(_centroids(mem, assigned, "bundle"), _BUNDLE, a="bundle", v="centroid"), rows(_centroids(mem, assigned, "category"), _CATEGORY, a="category", v="centroid"),
+        rows(assigned.select("anchor", "bundle", "category").distinct(), _HELD, a="bundle", b="category"), rows(home, _HOME, a="category", b="bundle"),
+        rows(links, _LINK, a="bundle", b="other", w="weight"), rows(exemplars(assigned, cfg).join(mem.select("mem_id", "vec"), "mem_id"), _EXEMPLAR, a="category", b="mem_id", w="stored", v="vec"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unit_rows(c: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors at length one; zeros for one that is missing or of another length, as such a one is like nothing."""
+    c = c.combine_chunks()
+    fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(c), dim), False))
+    out = np.zeros((len(c), dim))
+    out[fits] = np.asarray(pc.fill_null(c.filter(pa.array(fits)).flatten(), np.nan), np.float64).reshape(-1, dim)
+    out[np.isnan(out).any(1)] = 0.0
+    n = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+
+
+def _highest(sims: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k highest of each row, rounded, the first on a tie; -1 where there are no more."""
+    sims = np.round(sims, 9)
+    out, each = np.full((len(sims), k), -1), np.arange(len(sims))
+    for i in range(min(k, sims.shape[1])):
+        out[:, i] = sims.argmax(1)
+        sims[each, out[:, i]] = -np.inf
+    return out
+
+
+class TopicMap:
+    """One topic's map as arrays that many queries are held against at once.
+
+    It holds what the fold that made the map held: a vector for each bundle
+    and category, and up to twelve exemplars of each category.
+    """
+
+    def __init__(self, t: pa.Table, cfg: Art):
+        self.cfg = cfg
+        kind = np.asarray(t["kind"])
+
+        def of(k: int, *order: str) -> pa.Table:
+            return t.filter(pa.array(kind == k)).sort_by([(c, "ascending") for c in order or ("a",)])
+
+        b, c, e = of(_BUNDLE, "a"), of(_CATEGORY, "a"), of(_EXEMPLAR, "a", "b")
+        self.dim = max((pc.max(pc.list_value_length(x["v"].combine_chunks())).as_py() or 0 for x in (b, c) if len(x)), default=0)
+        self.bundles, self.bundle_units = np.asarray(b["a"]), _unit_rows(b["v"], self.dim)
+        self.categories, self.category_units = np.asarray(c["a"]), _unit_rows(c["v"], self.dim)
+        at_bundle, at_category = ({int(x): i for i, x in enumerate(ids)} for ids in (self.bundles, self.categories))
+        self.held: list[list[int]] = [[] for _ in self.bundles]
+        h = of(_HELD, "a", "b")
+        for x, y in zip(h["a"].to_pylist(), h["b"].to_pylist(), strict=True):
+            if x in at_bundle and y in at_category:
+                self.held[at_bundle[x]].append(at_category[y])
+        self.home = np.zeros(len(self.categories), np.int64)
+        h = of(_HOME)
+        for x, y in zip(h["a"].to_pylist(), h["b"].to_pylist(), strict=True):
+            if x in at_category:
+                self.home[at_category[x]] = y
+        # the strongest neighbours of each bundle, in the order of their numbers
+        self.near, self.near_weight = np.full((len(self.bundles), cfg.neighbours), -1), np.zeros((len(self.bundles), cfg.neighbours))
+        strongest: dict[int, list[tuple[float, int, float]]] = {}
+        h = of(_LINK)
+        for x, y, w in zip(h["a"].to_pylist(), h["b"].to_pylist(), h["w"].to_pylist(), strict=True):
+            strongest.setdefault(x, []).append((-round(w, 9), y, w))
+        for x, found in strongest.items():
+            best = sorted((y, w) for _, y, w in sorted(found)[: cfg.neighbours] if y in at_bundle)
+            for i, (y, w) in enumerate(best if x in at_bundle else []):
+                self.near[at_bundle[x], i], self.near_weight[at_bundle[x], i] = at_bundle[y], w
+        self.exemplars, self.stored, self.exemplar_units = np.asarray(e["b"]), np.asarray(e["w"], np.float64), _unit_rows(e["v"], self.dim)
+        self.first, self.end = (np.searchsorted(np.asarray(e["a"]), self.categories, side) for side in ("left", "right"))
+
+    def bundles_of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query, bundle (as places), likeness and rank of the bundles that each query looks into."""
+        cfg, none = self.cfg, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        if not len(self.bundles) or not len(q):
+            return none
+        bs = q @ self.bundle_units.T
+        top, best = bs.max(1), _highest(bs, cfg.bundles)
+        like = np.where(best >= 0, np.take_along_axis(bs, np.maximum(best, 0), 1), -np.inf)
+        good = (top >= cfg.bundle_at)[:, None] & (best >= 0) & (like >= np.maximum(cfg.bundle_at, top - cfg.bundle_margin)[:, None])
+        good[:, 0] = top >= cfg.bundle_at
+        rows, ranks = np.nonzero(good)
+        parts = [(rows, best[rows, ranks], like[rows, ranks], ranks + 1)]
+        lone = np.flatnonzero(good.sum(1) == 1)
+        near = self.near[best[lone, 0]]
+        value = np.where(near >= 0, np.round(self.near_weight[best[lone, 0]] + 0.35 * np.take_along_axis(bs[lone], np.maximum(near, 0), 1), 9), -np.inf)
+        if value.size:
+            at = value.argmax(1)
+            some = np.flatnonzero(value[np.arange(len(lone)), at] > -np.inf)
+            other = near[some, at[some]]
+            parts.append((lone[some], other, bs[lone[some], other], np.full(len(some), 2)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def categories_of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query, category (as places), bundle's number, likeness to both, and whether a bundle led there: four categories of each query.
+
+        An equal share of each bundle and then the nearest of the rest; a
+        category counts for every bundle it was ever in.  Queries without a
+        bundle take the nearest categories of the topic.
+        """
+        cfg, most = self.cfg, 2 * self.cfg.categories
+        rows, bundle, bs, rank = self.bundles_of(q)
+        looks = np.bincount(rows, minlength=len(q))
+        # the nearest categories of each bundle taken; twice as many as can be chosen, since others may be chosen before
+        lists, sims = np.full((len(rows), most), -1), np.zeros((len(rows), most))
+        order = np.argsort(bundle, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(bundle[order])) + 1) if len(order) else []:
+            held = np.array(self.held[bundle[at[0]]], np.int64)
+            if len(held):
+                cs = q[rows[at]] @ self.category_units[held].T
+                best = _highest(cs, most)
+                lists[at], sims[at] = np.where(best >= 0, held[best], -1), np.where(best >= 0, np.take_along_axis(cs, np.maximum(best, 0), 1), 0.0)
+        got: list[tuple[int, int, int, float, float]] = []
+        one = np.flatnonzero(looks[rows] == 1)
+        x, y = np.nonzero(lists[one, : cfg.categories] >= 0)
+        x = one[x]
+        parts = [(rows[x], lists[x, y], self.bundles[bundle[x]], bs[x], sims[x, y])]
+        pairs: dict[int, list[int]] = {}
+        for i in np.flatnonzero(looks[rows] > 1):
+            pairs.setdefault(int(rows[i]), []).append(int(i))
+        for r, of in pairs.items():
+            share = (cfg.categories + len(of) - 1) // len(of)
+            seen: set[int] = set()
+            rest: dict[int, tuple[int, float]] = {}
+            for i in sorted(of, key=lambda i: rank[i]):
+                mine = [(int(c), float(s)) for c, s in zip(lists[i], sims[i], strict=True) if c >= 0]
+                fresh = [x for x in mine if x[0] not in seen][: share if rank[i] <= 2 else 0]
+                got += [(r, c, int(self.bundles[bundle[i]]), float(bs[i]), s) for c, s in fresh]
+                seen |= {c for c, _ in fresh}
+                for c, s in mine:
+                    rest.setdefault(c, (i, s))
+            left = sorted((-round(s, 9), c, i, s) for c, (i, s) in rest.items() if c not in seen)
+            got += [(r, c, int(self.bundles[bundle[i]]), float(bs[i]), s) for _, c, i, s in left[: cfg.categories - len(seen)]]
+        if got:
+            parts.append(tuple(np.array(x) for x in zip(*got, strict=True)))
+        routes = [np.ones(sum(len(x[0]) for x in parts), np.bool_)]
+        lost = np.flatnonzero(looks == 0)
+        if len(lost) and len(self.categories):
+            cs = q[lost] @ self.category_units.T
+            best = _highest(cs, cfg.categories)
+            x, y = np.nonzero(best >= 0)
+            c = best[x, y]
+            parts.append((lost[x], c, self.home[c], np.zeros(len(x)), cs[x, c]))
+            routes.append(np.zeros(len(x), np.bool_))
+        return (*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(routes))
+
+    def candidates_of(self, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query (its place), memory, likeness, score, bundle and whether a bundle led there, of the exemplars of each query's categories."""
+        row, cat, bundle, bs, cs, by_bundle = self.categories_of(q)
+        n = self.end[cat] - self.first[cat]
+        e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[cat], n)
+        row, bundle, bs, cs, by_bundle = (np.repeat(x, n) for x in (row, bundle, bs, cs, by_bundle))
+        sim = np.einsum("ij,ij->i", q[row], self.exemplar_units[e])
+        like, cs, bs = np.maximum(0.0, np.maximum(self.stored[e], sim)), np.maximum(0.0, cs), np.maximum(0.0, bs)
+        return row, self.exemplars[e], sim, np.where(by_bundle, 0.55 * cs + 0.25 * bs + 0.20 * like, 0.76 * cs + 0.24 * like), bundle, by_bundle
+
+
+#: Queries that are held against a map at once.
+_AT_ONCE = 256
+
+
+def _by_topic(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art, solve: Callable[[TopicMap, np.ndarray], tuple], schema: str) -> DataFrame:
+    """qid, anchor and what ``solve`` finds for each query (qid, anchor, qv) in the map of its topic, as columns of which the first is the query's place.
+
+    A topic's queries are dealt in blocks, each of which gets the topic's map;
+    queries meet centroids in matrix products and not in rows.
+    """
+    queries = queries.where("anchor is not null").select(F.col("qid").cast("long").alias("qid"), "anchor", "qv")
+    sizes = queries.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asks = queries.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
+    maps = _map_rows(mem, assigned, links, cfg).join(sizes, "anchor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    arrow = to_arrow_schema(_parse_datatype_string("qid long, anchor string, " + schema))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            m, qid, anchor = TopicMap(right, cfg), np.asarray(left["qid"]), left["anchor"][0].as_py()
+            q = _unit_rows(left["qv"], m.dim)
+            for lo in range(0, len(q), _AT_ONCE):
+                row, *found = solve(m, q[lo : lo + _AT_ONCE])
+                cols = [qid[lo + row], pa.repeat(anchor, len(row)), *found]
+                out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow))
+        return pa.Table.from_batches(out, schema=arrow)
+
+    return asks.groupBy("anchor", "block").cogroup(maps.groupBy("anchor", "block")).applyInArrow(run, "qid long, anchor string, " + schema)
 
 
 def chosen_bundles(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
-    """qid, anchor, qv, bundle, bs, r: the bundles that each query (qid, anchor, qv) looks into, the best first.
+    """qid, anchor, bundle, bs, r: the bundles that each query (qid, anchor, qv) looks into, the best first.
 
     Those within the margin of the best, if that fits at all; where it is
     alone, the best of its two strongest neighbours besides.
     """
-    b = _centroids(mem, assigned, "bundle")
-    qb = queries.join(b, "anchor").select("qid", "anchor", "qv", "bundle", cosine(F.col("qv"), F.col("centroid")).alias("bs"))
-    best = F.row_number().over(Window.partitionBy("qid", "anchor").orderBy(F.round("bs", 9).desc(), "bundle"))
-    top = F.max("bs").over(Window.partitionBy("qid", "anchor"))
-    qr = qb.withColumn("r", best).withColumn("top", top)
-    good = qr.where((F.col("top") >= cfg.bundle_at) & (F.col("r") <= cfg.bundles) & ((F.col("r") == 1) | (F.col("bs") >= F.greatest(F.lit(cfg.bundle_at), F.col("top") - cfg.bundle_margin))))
-    lone = good.withColumn("n", F.count("*").over(Window.partitionBy("qid", "anchor"))).where("n = 1").select("qid", "anchor", "bundle")
-    near = lone.join(links, ["anchor", "bundle"]).select("qid", "anchor", F.col("other").alias("bundle"), "weight")
-    near = _ranked(near, F.col("weight"), ["qid", "anchor"], "bundle", cfg.neighbours).join(qb, ["qid", "anchor", "bundle"])
-    near = _ranked(near, F.col("weight") + 0.35 * F.col("bs"), ["qid", "anchor"], "bundle", 1)
-    return good.select("qid", "anchor", "qv", "bundle", "bs", "r").unionByName(near.select("qid", "anchor", "qv", "bundle", "bs", F.lit(2).alias("r")))
-
-
-def chosen_categories(queries: DataFrame, taken: DataFrame, mem: DataFrame, assigned: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
-    """qid, anchor, qv, bundle, category, bs, cs, route: four categories of each query, an equal share of each bundle and then the nearest of the rest.
-
-    A category counts for every bundle it was ever in.  Queries without a
-    bundle take the nearest categories of the topic.
-    """
-    c = _centroids(mem, assigned, "category")
-    held = assigned.select("anchor", "bundle", "category").distinct()
-    home = assigned.groupBy("anchor", "category").agg(F.max_by("bundle", F.struct("turn", "mem_id")).alias("bundle"))
-    pair = ["qid", "anchor"]
-    t = taken.withColumn("share", F.floor((cfg.categories + F.count("*").over(Window.partitionBy(*pair)) - 1) / F.count("*").over(Window.partitionBy(*pair))))
-    t = t.join(held, ["anchor", "bundle"]).join(c, ["anchor", "category"]).withColumn("cs", cosine(F.col("qv"), F.col("centroid"))).drop("centroid")
-
-    def place(flag: str) -> Column:
-        """The place by likeness among the rows of a query that have the flag."""
-        return F.when(F.col(flag), F.row_number().over(Window.partitionBy(*pair, flag).orderBy(F.round("cs", 9).desc(), "category")))
-
-    def any_of(flag: Column) -> Column:
-        return F.max(flag).over(Window.partitionBy(*pair, "category"))
-
-    # windows over one dealing by query and topic: the first bundle's share, the second's of what is new, then the nearest of the rest
-    t = t.withColumn("a", F.col("r") == 1)
-    t = t.withColumn("first", F.coalesce(place("a") <= F.col("share"), F.lit(False)))
-    t = t.withColumn("b", (F.col("r") == 2) & ~any_of(F.col("first")))
-    t = t.withColumn("got", F.col("first") | F.coalesce(place("b") <= F.col("share"), F.lit(False)))
-    t = t.withColumn("rest", ~any_of(F.col("got")) & (F.row_number().over(Window.partitionBy(*pair, "category").orderBy("r")) == 1))
-    t = t.withColumn("room", cfg.categories - F.sum(F.col("got").cast("int")).over(Window.partitionBy(*pair)))
-    t = t.withColumn("k", place("rest")).where("got or coalesce(k <= room, false)")
-    names = ["qid", "anchor", "qv", "bundle", "category", "bs", "cs"]
-    by_bundle = t.select(names).withColumn("route", F.lit("bundle"))
-    lost = queries.join(taken.select("qid", "anchor").distinct(), ["qid", "anchor"], "left_anti")
-    by_cat = lost.join(c, "anchor").select("qid", "anchor", "qv", "category", F.lit(0.0).alias("bs"), cosine(F.col("qv"), F.col("centroid")).alias("cs"))
-    by_cat = _ranked(by_cat, F.col("cs"), ["qid", "anchor"], "category", cfg.categories).join(home, ["anchor", "category"])
-    return by_bundle.unionByName(by_cat.select(names).withColumn("route", F.lit("category")))
 
+    def solve(m: TopicMap, q: np.ndarray) -> tuple:
+        row, bundle, bs, rank = m.bundles_of(q)
+        return row, m.bundles[bundle], bs, rank
 
-def exemplars(assigned: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
-    """anchor, category, mem_id, stored: the twelve memories of each category that were most like it when they came."""
-    n = F.row_number().over(Window.partitionBy("anchor", "category").orderBy(F.round("score", 9).desc(), "mem_id"))
-    return assigned.withColumn("n", n).where(F.col("n") <= cfg.exemplars).select("anchor", "category", "mem_id", F.col("score").alias("stored"))
+    return _by_topic(queries, mem, assigned, links, cfg, solve, "bundle long, bs double, r int")
 
 
 def candidates(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
-    """qid, anchor, mem_id, sim, score, bundle, route of the memories that each query (qid, anchor, qv) should look at: the exemplars of its categories."""
-    taken = chosen_bundles(queries, mem, assigned, links, cfg)
-    cats = chosen_categories(queries, taken, mem, assigned, cfg)
-    j = cats.join(exemplars(assigned, cfg), ["anchor", "category"]).join(mem.select("mem_id", "vec"), "mem_id")
-    sim = cosine(F.col("qv"), F.col("vec"))
-    held = lambda c: F.greatest(F.lit(0.0), c)
-    like = held(F.greatest("stored", sim))
-    score = F.when(F.col("route") == "bundle", 0.55 * held(F.col("cs")) + 0.25 * held(F.col("bs")) + 0.20 * like).otherwise(0.76 * held(F.col("cs")) + 0.24 * like)
-    # a memory is in one category, so no pair comes twice
-    return j.select("qid", "anchor", "mem_id", sim.alias("sim"), score.alias("score"), "bundle", "route")
+    """qid, anchor, mem_id, sim, score, bundle, route of the memories that each query (qid, anchor, qv) should look at: the exemplars of its categories.
+
+    A memory is in one category, so no pair comes twice.
+    """
+
+    def solve(m: TopicMap, q: np.ndarray) -> tuple:
+        *found, by_bundle = m.candidates_of(q)
+        return *found, np.where(by_bundle, "bundle", "category")
+
+    return _by_topic(queries, mem, assigned, links, cfg, solve, "mem_id long, sim double, score double, bundle long, route string")
 
 
 def _cent_sql(level: str) -> str:

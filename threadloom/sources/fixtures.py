@@ -5,6 +5,7 @@ The SQL text of each view for the checking engine stands beside its DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,15 +56,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row; a column named inside a lambda is computed anew for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where a side is missing, empty, of other length or of zero length."""
-    n = norm(a) * norm(b)
-    return F.coalesce(F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n), F.lit(0.0))
+    like = let(norm(a) * norm(b), lambda n: F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n))
+    return F.coalesce(like, F.lit(0.0))
 
 
 def blend(parts: list[tuple[Column | float, Column]]) -> Column:
