@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -202,7 +203,7 @@ def _centroids(mem: DataFrame, assigned: DataFrame, level: str) -> DataFrame:
 _BUNDLE, _CATEGORY, _HELD, _HOME, _LINK, _EXEMPLAR = range(6)
 
 
-def _map_rows(mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art) -> DataFrame:
+def map_rows(mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
     """anchor, kind, a, b, w, v: centroids, the categories that each bundle ever held, the last bundle of each category, links, exemplars."""
     none = {"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long"), "w": F.lit(None).cast("double"), "v": F.lit(None).cast("array<double>")}
 
@@ -218,7 +219,7 @@ def _map_rows(mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def _unit_rows(c: pa.ChunkedArray, dim: int) -> np.ndarray:
+def unit_rows(c: pa.ChunkedArray, dim: int) -> np.ndarray:
     """Vectors at length one; zeros for one that is missing or of another length, as such a one is like nothing."""
     c = c.combine_chunks()
     fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(c), dim), False))
@@ -246,7 +247,7 @@ class TopicMap:
     and category, and up to twelve exemplars of each category.
     """
 
-    def __init__(self, t: pa.Table, cfg: Art):
+    def __init__(self, t: pa.Table, cfg: Art = DEFAULT.art):
         self.cfg = cfg
         kind = np.asarray(t["kind"])
 
@@ -255,8 +256,8 @@ class TopicMap:
 
         b, c, e = of(_BUNDLE, "a"), of(_CATEGORY, "a"), of(_EXEMPLAR, "a", "b")
         self.dim = max((pc.max(pc.list_value_length(x["v"].combine_chunks())).as_py() or 0 for x in (b, c) if len(x)), default=0)
-        self.bundles, self.bundle_units = np.asarray(b["a"]), _unit_rows(b["v"], self.dim)
-        self.categories, self.category_units = np.asarray(c["a"]), _unit_rows(c["v"], self.dim)
+        self.bundles, self.bundle_units = np.asarray(b["a"]), unit_rows(b["v"], self.dim)
+        self.categories, self.category_units = np.asarray(c["a"]), unit_rows(c["v"], self.dim)
         at_bundle, at_category = ({int(x): i for i, x in enumerate(ids)} for ids in (self.bundles, self.categories))
         self.held: list[list[int]] = [[] for _ in self.bundles]
         h = of(_HELD, "a", "b")
@@ -278,7 +279,7 @@ class TopicMap:
             best = sorted((y, w) for _, y, w in sorted(found)[: cfg.neighbours] if y in at_bundle)
             for i, (y, w) in enumerate(best if x in at_bundle else []):
                 self.near[at_bundle[x], i], self.near_weight[at_bundle[x], i] = at_bundle[y], w
-        self.exemplars, self.stored, self.exemplar_units = np.asarray(e["b"]), np.asarray(e["w"], np.float64), _unit_rows(e["v"], self.dim)
+        self.exemplars, self.stored, self.exemplar_units = np.asarray(e["b"]), np.asarray(e["w"], np.float64), unit_rows(e["v"], self.dim)
         self.first, self.end = (np.searchsorted(np.asarray(e["a"]), self.categories, side) for side in ("left", "right"))
 
     def bundles_of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -368,33 +369,37 @@ class TopicMap:
 
 
 #: Queries that are held against a map at once.
-_AT_ONCE = 256
+AT_ONCE = 256
+
+
+def topic_blocks(queries: DataFrame, rows: DataFrame) -> PandasCogroupedOps:
+    """Queries (qid, anchor, ...) dealt in blocks of a topic, each beside the topic's ``rows``."""
+    queries = queries.where("anchor is not null").withColumn("qid", F.col("qid").cast("long"))
+    sizes = queries.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asks = queries.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
+    rows = rows.join(sizes, "anchor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return asks.groupBy("anchor", "block").cogroup(rows.groupBy("anchor", "block"))
 
 
 def _by_topic(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art, solve: Callable[[TopicMap, np.ndarray], tuple], schema: str) -> DataFrame:
     """qid, anchor and what ``solve`` finds for each query (qid, anchor, qv) in the map of its topic, as columns of which the first is the query's place.
 
-    A topic's queries are dealt in blocks, each of which gets the topic's map;
-    queries meet centroids in matrix products and not in rows.
+    Queries meet centroids in matrix products and not in rows.
     """
-    queries = queries.where("anchor is not null").select(F.col("qid").cast("long").alias("qid"), "anchor", "qv")
-    sizes = queries.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asks = queries.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
-    maps = _map_rows(mem, assigned, links, cfg).join(sizes, "anchor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     arrow = to_arrow_schema(_parse_datatype_string("qid long, anchor string, " + schema))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):
             m, qid, anchor = TopicMap(right, cfg), np.asarray(left["qid"]), left["anchor"][0].as_py()
-            q = _unit_rows(left["qv"], m.dim)
-            for lo in range(0, len(q), _AT_ONCE):
-                row, *found = solve(m, q[lo : lo + _AT_ONCE])
+            q = unit_rows(left["qv"], m.dim)
+            for lo in range(0, len(q), AT_ONCE):
+                row, *found = solve(m, q[lo : lo + AT_ONCE])
                 cols = [qid[lo + row], pa.repeat(anchor, len(row)), *found]
                 out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    return asks.groupBy("anchor", "block").cogroup(maps.groupBy("anchor", "block")).applyInArrow(run, "qid long, anchor string, " + schema)
+    return topic_blocks(queries.select("qid", "anchor", "qv"), map_rows(mem, assigned, links, cfg)).applyInArrow(run, "qid long, anchor string, " + schema)
 
 
 def chosen_bundles(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
