@@ -282,3 +282,21 @@ def test_queries_meet_a_topics_map_in_matrix_products(spark):
     assert {(r["qid"] - n, r["mem_id"]) for r in got} == {(i, int(j)) for i, row in enumerate(best) for j in row}
     assert {r["route"] for r in got} == {"category"} and all(abs(r["sim"] + float(u[r["qid"] - n] @ u[r["mem_id"]])) < 1e-9 for r in got)
     assert took < 60, took
+
+
+def test_the_segment_table_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    import math
+
+    import duckdb
+
+    from threadloom import catalog
+
+    spark.range(300).selectExpr("id as vec_id", "array_repeat(float(-1e-6), 63) || array(float(1)) as embedding", "0 as label").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(3).selectExpr("id as conv_id", "0L as turn", "'user' as role", "'hello' as text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    sql = con.execute(catalog.oracles()["s9_segment_table"]).fetchall()
+    got = catalog.queries()["s9_segment_table"](spark, str(tmp_path)).collect()
+    signs = lambda rows: sorted([(r[0], [math.copysign(1, x) for x in r[4]]) for r in rows])
+    assert sql and signs(got) == signs(sql) and signs(sql)[0][1][0] == -1

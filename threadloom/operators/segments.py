@@ -238,8 +238,13 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("room_id", "topic", *[c.alias(k) for k, c in summary_variants(F.col("full")).items()])
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Half away from zero; a negative number that rounds to zero keeps its sign, as in the SQL."""
+    return F.round(F.abs(c), places) * F.signum(c)
+
+
 @query("s9_segment_table", f"{_T}, {_SEG}, {_CLOSED} SELECT scope_key, start_turn, end_turn, n_turns, list_transform(centroid, lambda x: round(x, 5)) AS centroid FROM cl")
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment table as it is stored."""
     t = turns(spark, sf_dir)
-    return closed(t, segments(t)).select("scope_key", "start_turn", "end_turn", "n_turns", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
+    return closed(t, segments(t)).select("scope_key", "start_turn", "end_turn", "n_turns", F.transform("centroid", lambda x: rounded(x, 5)).alias("centroid"))
