@@ -300,3 +300,42 @@ def test_the_segment_table_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path
     got = catalog.queries()["s9_segment_table"](spark, str(tmp_path)).collect()
     signs = lambda rows: sorted([(r[0], [math.copysign(1, x) for x in r[4]]) for r in rows])
     assert sql and signs(got) == signs(sql) and signs(sql)[0][1][0] == -1
+
+
+def test_recall_sends_no_vector_with_a_pair_of_query_and_memory(spark):
+    """Queries that see none of a topic's nearest memories look it through in whole, where its memories are."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from threadloom.operators.retrieval import Store
+
+    n, rng = 600, np.random.default_rng(3)
+    near = np.eye(64)[0] + 0.4 * rng.normal(size=(n, 64)) / 8
+    v = np.where(np.arange(n)[:, None] < n // 2, near, rng.normal(size=(n, 64)))
+    kinds = ["actor" if i < n // 2 else "scope" for i in range(n)]
+    rows = [(i + 1, "s", "a" if i < n else "b", "t", kinds[i % n], "s|S:1", 1, [i + 1], f"word{i % 7}", (v[i] if i < n else near[i - n]).tolist(), 0, i + 1) for i in range(2 * n)]
+    every = spark.createDataFrame(rows, "mem_id long, scope_key string, actor_key string, thread_key string, memory_scope string, anchor string, cluster_id long, turns array<long>, text string, vec array<double>, topic long, turn long")
+    sent = lambda: sum(e.totalShuffleWrite() for e in (lambda s: [s.apply(i) for i in range(s.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = sent()
+    found = Store(every.where(F.col("turn") <= n), every.where(F.col("turn") > n)).recalled().where("kind = 'evidence'").collect()
+    assert len(found) == 3 * n and min(r["mem_id"] for r in found) > n // 2
+    assert sent() - before < 40e6, sent() - before
+
+
+def test_values_of_many_pools_are_those_of_each():
+    import numpy as np
+
+    from threadloom.operators.retrieval import pick_all
+
+    rng, k, n = np.random.default_rng(1), 6, np.array([5, 0, 9, 1, 7])
+    sem, loc, group = rng.random((5, 9)), rng.random((5, 9)), rng.integers(-1, 3, (5, 9))
+    units = rng.normal(size=(5, 9, 4))
+    units /= np.linalg.norm(units, axis=2, keepdims=True)
+    units[2, 1] = units[2, 0]
+    cover, want, asked = rng.random((5, 9, k)), rng.random((5, k)), np.array([True, True, False, False, True])
+    want[~asked] = 0
+    got = pick_all(sem, loc, group, units, cover, want, asked, n)
+    for i, m in enumerate(n):
+        w = want[i] if asked[i] else np.zeros(0)
+        order, values = pick(sem[i, :m], loc[i, :m], group[i, :m], units[i, :m] @ units[i, :m].T, cover[i, :m, : len(w)], w, 48)
+        assert np.allclose(got[i, order], values, atol=1e-9) and not got[i, m:].any()
