@@ -339,3 +339,43 @@ def test_values_of_many_pools_are_those_of_each():
         w = want[i] if asked[i] else np.zeros(0)
         order, values = pick(sem[i, :m], loc[i, :m], group[i, :m], units[i, :m] @ units[i, :m].T, cover[i, :m, : len(w)], w, 48)
         assert np.allclose(got[i, order], values, atol=1e-9) and not got[i, m:].any()
+
+
+def test_few_rows_give_the_choice_of_the_whole_pool():
+    import numpy as np
+
+    from threadloom.operators.retrieval import FIRST_TRIED, _Likeness, pick, pick_few
+
+    rng = np.random.default_rng(5)
+    for case in range(40):
+        n, w = int(rng.integers(1, 30 * FIRST_TRIED)), int(rng.integers(0, 4))
+        units = rng.normal(size=(n, 8))
+        # every third case is of rows that are all but equal, so that the first tried don't suffice
+        units = units * 0.01 + 1 if case % 3 == 0 else units
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        sem = np.maximum(0, units @ units[0])
+        loc, group, want = sem / sem.max(), rng.integers(-1, 4, n), rng.random(w)
+        cover = np.where(rng.random((n, w)) < 0.05, rng.random((n, w)), 0.0)
+        gain = cover @ want / max(1e-6, want.sum())
+        looked = []
+
+        def parts(at, group=group, units=units, cover=cover, want=want, looked=looked):
+            looked.append(len(at))
+            return group[at], units[at], cover[at], want
+
+        got, values = pick_few(sem, loc, gain, bool(w), 3, parts)
+        best, worth = pick(sem, loc, group, _Likeness(units), cover, want, 3)
+        assert got == best and np.allclose(values, worth, atol=1e-8)
+        assert looked[0] <= max(FIRST_TRIED, 1)
+
+
+def test_blocks_of_few_topics_are_dealt_among_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators.art import DEALT, topic_blocks
+
+    q = spark.range(40).select(F.col("id").alias("qid"), F.concat(F.lit("t"), F.col("id") % 5).alias("anchor"))
+    rows = spark.range(5).select(F.concat(F.lit("t"), "id").alias("anchor"), F.col("id").alias("a"))
+    got = topic_blocks(q, rows).applyInArrow(lambda left, right: left.select(["qid"]), "qid long")
+    assert got.rdd.getNumPartitions() >= DEALT
+    assert sorted(x.qid for x in got.collect()) == list(range(40))

@@ -372,12 +372,18 @@ class TopicMap:
 AT_ONCE = 256
 
 
-def topic_blocks(queries: DataFrame, rows: DataFrame) -> PandasCogroupedOps:
-    """Queries (qid, anchor, ...) dealt in blocks of a topic, each beside the topic's ``rows``."""
+#: Tasks among which blocks are dealt, at least; several for each core, since blocks are large and few.
+DEALT = 48
+
+
+def topic_blocks(queries: DataFrame, rows: DataFrame, pairs: DataFrame | None = None) -> PandasCogroupedOps:
+    """Queries (qid, anchor, ...) dealt in blocks of a topic, each beside the topic's ``rows``; ``pairs`` are the queries' anchors where those are told by less work."""
     queries = queries.where("anchor is not null").withColumn("qid", F.col("qid").cast("long"))
-    sizes = queries.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = F.broadcast((queries if pairs is None else pairs).where("anchor is not null").groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     asks = queries.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
     rows = rows.join(sizes, "anchor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    tasks = max(DEALT, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asks, rows = (x.repartition(tasks, "anchor", "block") for x in (asks, rows))
     return asks.groupBy("anchor", "block").cogroup(rows.groupBy("anchor", "block"))
 
 

@@ -103,8 +103,11 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.join(emb.agg(F.count("*").alias("n_emb")), F.lit(True))
     keys = {"k0": F.col("topic"), "k1": 100 + F.col("conv_id") % 3, "k2": 200 + F.col("conv_id") % 100, "k3": (F.col("turn") * 7919) % F.col("n_emb")}
     df = df.withColumns(keys)
-    for k in keys:
-        df = df.join(emb.select(F.col("vec_id").alias(k), F.col("e").alias(f"e{k}")), k)
+    # the last key is any row's; the others are a few hundred, whose shuffle would put all turns into as many tasks
+    few = {"k0": (-5, 5), "k1": (98, 102), "k2": (101, 299)}
+    for k in reversed(keys):
+        e = emb.select(F.col("vec_id").alias(k), F.col("e").alias(f"e{k}"))
+        df = df.join(F.broadcast(e.where(F.col(k).between(*few[k]))) if k in few else e, k)
     weight = F.element_at(F.array(*[F.lit(x) for x in NOISE]), (F.col("turn") % 4 + 1).cast("int"))
     vec = blend([(0.95, F.col("ek0")), (0.10, F.col("ek1")), (0.03, F.col("ek2")), (weight, F.col("ek3"))])
     return df.select(
