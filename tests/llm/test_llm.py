@@ -953,3 +953,21 @@ def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(w, "MEMO_CAP", 3)
     m = Memo(len)
     assert [m["a" * k] for k in range(9)] == list(range(9)) and len(m) <= 3
+
+
+def test_the_judge_gets_a_batch_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from threadloom.llm import quality, words
+
+    class Recorder:
+        value = (np.zeros(quality.DIM, np.float32), 0.0, quality.ToxicScorer([]))
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    got = []
+    monkeypatch.setattr(quality, "_fit", lambda docs, labels: Recorder())
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: got.append(f) or self)
+    quality.kept(docs)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": ["some words here"] * 5000})
+    out = list(got[0](iter([batch])))
+    assert max(len(b) for b in out) <= words.PIECE and [x for b in out for x in b.column(0).to_pylist()] == list(range(5000))
