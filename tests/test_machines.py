@@ -379,3 +379,29 @@ def test_blocks_of_few_topics_are_dealt_among_many_tasks(spark):
     got = topic_blocks(q, rows).applyInArrow(lambda left, right: left.select(["qid"]), "qid long")
     assert got.rdd.getNumPartitions() >= DEALT
     assert sorted(x.qid for x in got.collect()) == list(range(40))
+
+
+def test_routes_fold_a_topics_map_once(spark, data):
+    """What reads the map several times reads it from a table."""
+    from threadloom import catalog
+
+    plan = catalog.queries()["a5_category_route"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 1, plan.count("MapInArrow")
+
+
+def test_queries_without_a_bundle_are_told_alike_alone(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import art
+
+    n, rng = 400, np.random.default_rng(7)
+    v = rng.normal(size=(n, 64))
+    mem = spark.createDataFrame([(i, "t", i, x.tolist()) for i, x in enumerate(v)], "mem_id long, anchor string, turn long, vec array<double>")
+    ask = [(i, "t", (v[i] if i % 2 else -v[i]).tolist()) for i in range(n)] + [(n, "t", None), (n + 1, "t", [0.0] * 64), (n + 2, "t", [1.0]), (n + 3, "none", v[0].tolist())]
+    q = spark.createDataFrame(ask, "qid long, anchor string, qv array<double>")
+    assigned = art.art_map(mem)
+    every = art.candidates(q, mem, assigned, art.bundle_links(assigned))
+    told = {r["route"] for r in every.collect()}
+    alone = art.candidates(q, mem, assigned, art.bundle_links(assigned), lost_only=True)
+    assert told == {"bundle", "category"} and sorted(alone.collect()) == sorted(every.where(F.col("route") == "category").collect())

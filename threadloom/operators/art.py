@@ -18,6 +18,7 @@ from ..catalog import query
 from ..config import DEFAULT, Art
 from ..plans.fold import keyed_fold
 from ..sources.fixtures import MEMORIES, TURNS, mean_of, memories, turns, unit
+from ..sources.views import once
 from .segments import direction
 from .vectors import BLOCK
 
@@ -105,11 +106,19 @@ def art_step(cfg: Art):
     return step
 
 
+#: Tasks among which topics and their blocks are dealt, at least; several for each core, since they are large and few.
+DEALT = 48
+
+
+def dealt(spark: SparkSession) -> int:
+    return max(DEALT, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 ART_SCHEMA = "anchor string, turn long, mem_id long, category long, bundle long, new_category boolean, new_bundle boolean, score double, linked_from long"
 
 
 def art_map(mem: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
-    return keyed_fold(mem.select("anchor", "turn", "mem_id", "vec"), "anchor", ["turn", "mem_id"], Map, art_step(cfg), ART_SCHEMA)
+    return keyed_fold(mem.select("anchor", "turn", "mem_id", "vec"), "anchor", ["turn", "mem_id"], Map, art_step(cfg), ART_SCHEMA, tasks=dealt(mem.sparkSession))
 
 
 def _unit_sql(v: str) -> str:
@@ -146,8 +155,9 @@ _ART = f"WITH {TURNS}, {MEMORIES}, {art_sql('mem')}"
 
 
 def _art(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The memories and their map, which is written: what reads it more than once would fold every topic as often."""
     mem = memories(turns(spark, sf_dir))
-    return mem, art_map(mem)
+    return mem, once(spark, sf_dir, "art-map", lambda: art_map(mem))
 
 
 @query("a1_categories", f"{_ART}, x AS (SELECT *, row_number() OVER (PARTITION BY anchor, category ORDER BY round(score, 9) DESC, mem_id) AS k FROM art) SELECT anchor, category, count(*) AS support, max(turn) AS last_turn, list(mem_id ORDER BY k) FILTER (WHERE k <= 12) AS exemplars FROM x GROUP BY ALL")
@@ -346,20 +356,24 @@ class TopicMap:
             got += [(r, c, int(self.bundles[bundle[i]]), float(bs[i]), s) for _, c, i, s in left[: cfg.categories - len(seen)]]
         if got:
             parts.append(tuple(np.array(x) for x in zip(*got, strict=True)))
-        routes = [np.ones(sum(len(x[0]) for x in parts), np.bool_)]
-        lost = np.flatnonzero(looks == 0)
-        if len(lost) and len(self.categories):
-            cs = q[lost] @ self.category_units.T
-            best = _highest(cs, cfg.categories)
-            x, y = np.nonzero(best >= 0)
-            c = best[x, y]
-            parts.append((lost[x], c, self.home[c], np.zeros(len(x)), cs[x, c]))
-            routes.append(np.zeros(len(x), np.bool_))
-        return (*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(routes))
-
-    def candidates_of(self, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        parts = [(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.ones(sum(len(x[0]) for x in parts), np.bool_)), self.nearest_of(q, np.flatnonzero(looks == 0))]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def lost(self, q: np.ndarray) -> np.ndarray:
+        """The queries without a bundle, which is all that ``bundles_of`` tells of them."""
+        return np.flatnonzero((q @ self.bundle_units.T).max(1) < self.cfg.bundle_at) if len(self.bundles) else np.arange(len(q))
+
+    def nearest_of(self, q: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``categories_of`` tells of the queries without a bundle: the nearest categories of the topic."""
+        cs = q[lost] @ self.category_units.T
+        best = _highest(cs, self.cfg.categories)
+        x, y = np.nonzero(best >= 0)
+        c = best[x, y]
+        return lost[x], c, self.home[c], np.zeros(len(x)), cs[x, c], np.zeros(len(x), np.bool_)
+
+    def candidates_of(self, q: np.ndarray, lost_only: bool = False) -> tuple[np.ndarray, ...]:
         """Query (its place), memory, likeness, score, bundle and whether a bundle led there, of the exemplars of each query's categories."""
-        row, cat, bundle, bs, cs, by_bundle = self.categories_of(q)
+        row, cat, bundle, bs, cs, by_bundle = self.nearest_of(q, self.lost(q)) if lost_only else self.categories_of(q)
         n = self.end[cat] - self.first[cat]
         e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[cat], n)
         row, bundle, bs, cs, by_bundle = (np.repeat(x, n) for x in (row, bundle, bs, cs, by_bundle))
@@ -368,22 +382,17 @@ class TopicMap:
         return row, self.exemplars[e], sim, np.where(by_bundle, 0.55 * cs + 0.25 * bs + 0.20 * like, 0.76 * cs + 0.24 * like), bundle, by_bundle
 
 
-#: Queries that are held against a map at once.
-AT_ONCE = 256
-
-
-#: Tasks among which blocks are dealt, at least; several for each core, since blocks are large and few.
-DEALT = 48
+#: Queries that are held against a map at once, and those of a block that get one copy of it: a map is as large as some 10,000 queries.
+AT_ONCE, MAP_BLOCK = 256, 4 * BLOCK
 
 
-def topic_blocks(queries: DataFrame, rows: DataFrame, pairs: DataFrame | None = None) -> PandasCogroupedOps:
-    """Queries (qid, anchor, ...) dealt in blocks of a topic, each beside the topic's ``rows``; ``pairs`` are the queries' anchors where those are told by less work."""
+def topic_blocks(queries: DataFrame, rows: DataFrame, pairs: DataFrame | None = None, block: int = BLOCK) -> PandasCogroupedOps:
+    """Queries (qid, anchor, ...) dealt in blocks of a topic, of ``block`` queries, each beside the topic's ``rows``; ``pairs`` are the queries' anchors where those are told by less work."""
     queries = queries.where("anchor is not null").withColumn("qid", F.col("qid").cast("long"))
-    sizes = F.broadcast((queries if pairs is None else pairs).where("anchor is not null").groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    sizes = F.broadcast((queries if pairs is None else pairs).where("anchor is not null").groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     asks = queries.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
     rows = rows.join(sizes, "anchor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    tasks = max(DEALT, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asks, rows = (x.repartition(tasks, "anchor", "block") for x in (asks, rows))
+    asks, rows = (x.repartition(dealt(queries.sparkSession), "anchor", "block") for x in (asks, rows))
     return asks.groupBy("anchor", "block").cogroup(rows.groupBy("anchor", "block"))
 
 
@@ -405,7 +414,7 @@ def _by_topic(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: Da
                 out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    return topic_blocks(queries.select("qid", "anchor", "qv"), map_rows(mem, assigned, links, cfg)).applyInArrow(run, "qid long, anchor string, " + schema)
+    return topic_blocks(queries.select("qid", "anchor", "qv"), map_rows(mem, assigned, links, cfg), block=MAP_BLOCK).applyInArrow(run, "qid long, anchor string, " + schema)
 
 
 def chosen_bundles(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
@@ -422,14 +431,15 @@ def chosen_bundles(queries: DataFrame, mem: DataFrame, assigned: DataFrame, link
     return _by_topic(queries, mem, assigned, links, cfg, solve, "bundle long, bs double, r int")
 
 
-def candidates(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art) -> DataFrame:
+def candidates(queries: DataFrame, mem: DataFrame, assigned: DataFrame, links: DataFrame, cfg: Art = DEFAULT.art, lost_only: bool = False) -> DataFrame:
     """qid, anchor, mem_id, sim, score, bundle, route of the memories that each query (qid, anchor, qv) should look at: the exemplars of its categories.
 
-    A memory is in one category, so no pair comes twice.
+    A memory is in one category, so no pair comes twice.  ``lost_only``: the
+    same rows of the queries without a bundle, and none of the others.
     """
 
     def solve(m: TopicMap, q: np.ndarray) -> tuple:
-        *found, by_bundle = m.candidates_of(q)
+        *found, by_bundle = m.candidates_of(q, lost_only)
         return *found, np.where(by_bundle, "bundle", "category")
 
     return _by_topic(queries, mem, assigned, links, cfg, solve, "mem_id long, sim double, score double, bundle long, route string")
@@ -467,7 +477,7 @@ def _route(spark: SparkSession, sf_dir: str, elsewhere: bool = False) -> DataFra
     if elsewhere:
         other = mem.select("scope_key", F.col("anchor").alias("other")).distinct()
         q = mem.select("scope_key", F.col("mem_id").alias("qid"), "anchor", F.col("vec").alias("qv")).join(other, "scope_key").where("anchor <> other").select("qid", F.col("other").alias("anchor"), "qv")
-    c = candidates(q, mem, a, bundle_links(a))
+    c = candidates(q, mem, a, bundle_links(a), lost_only=elsewhere)
     return c.select("qid", "anchor", "mem_id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), "bundle", "route")
 
 

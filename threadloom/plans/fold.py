@@ -19,8 +19,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 Step = Callable[[Any, dict], list[tuple]]
 
 
-def keyed_fold(df: DataFrame, key: str, order: list[str], init: Callable[[Any], Any], step: Step, schema: str, finish: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
-    """The rows that ``step(state, row)`` returns, states made by ``init(key)``; ``finish`` drains a state at its end."""
+def keyed_fold(df: DataFrame, key: str, order: list[str], init: Callable[[Any], Any], step: Step, schema: str, finish: Callable[[Any], list[tuple]] | None = None, tasks: int | None = None) -> DataFrame:
+    """The rows that ``step(state, row)`` returns, states made by ``init(key)``; ``finish`` drains a state at its end; ``tasks`` are for few keys, which would meet in fewer."""
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
@@ -44,4 +44,4 @@ def keyed_fold(df: DataFrame, key: str, order: list[str], init: Callable[[Any],
             out += finish(state)
         yield batch(out)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
+    return (df.repartition(tasks, key) if tasks else df.repartition(key)).sortWithinPartitions(key, *order).mapInArrow(run, kind)
