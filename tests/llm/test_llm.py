@@ -971,3 +971,24 @@ def test_the_judge_gets_a_batch_in_pieces(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": ["some words here"] * 5000})
     out = list(got[0](iter([batch])))
     assert max(len(b) for b in out) <= words.PIECE and [x for b in out for x in b.column(0).to_pylist()] == list(range(5000))
+
+
+def test_the_model_keeps_no_shuffle_of_an_earlier_sweep(spark, data, monkeypatch):
+    """A sweep's shuffles go with the collection behind it, and not with the one behind the next sweep."""
+    import time
+
+    def held(most=-1):
+        """Shuffles that Spark holds, once they are ``most`` or three seconds have passed."""
+        until = time.monotonic() + 3
+        while (n := spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()) > most and time.monotonic() < until:
+            time.sleep(0.1)
+        return n
+
+    let_go = scratch.let_go
+    for _ in range(2):  # what earlier tests have left
+        let_go(spark)
+        before = held()
+    after = []
+    monkeypatch.setattr(scratch, "let_go", lambda s: (let_go(s), after.append(held(before))))
+    hpylm.score_documents(spark.read.parquet(f"{data}/documents.parquet"))
+    assert len(after) == hpylm.SWEEPS + 2 and max(after) <= before, (before, after)
