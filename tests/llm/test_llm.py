@@ -992,3 +992,15 @@ def test_the_model_keeps_no_shuffle_of_an_earlier_sweep(spark, data, monkeypatch
     monkeypatch.setattr(scratch, "let_go", lambda s: (let_go(s), after.append(held(before))))
     hpylm.score_documents(spark.read.parquet(f"{data}/documents.parquet"))
     assert len(after) == hpylm.SWEEPS + 2 and max(after) <= before, (before, after)
+
+
+def test_scores_read_the_seatings_that_the_sweeps_made(monkeypatch):
+    """No pair is seated again for the scores."""
+
+    class S:
+        count = None
+
+    monkeypatch.setattr(hpylm, "_seating", lambda *_: pytest.fail("seated again"))
+    monkeypatch.setattr(hpylm, "predictive", lambda chunk, count, seen, t, s, m: t)
+    sweeps = range(hpylm.SWEEPS - hpylm.SAMPLES + 1, hpylm.SWEEPS + 1)
+    assert hpylm.sampled(None, None, [(S(), None)] * (hpylm.SAMPLES + 1), {k: f"tables {k}" for k in sweeps}) == [f"tables {k}" for k in sweeps]
