@@ -405,3 +405,40 @@ def test_queries_without_a_bundle_are_told_alike_alone(spark):
     told = {r["route"] for r in every.collect()}
     alone = art.candidates(q, mem, assigned, art.bundle_links(assigned), lost_only=True)
     assert told == {"bundle", "category"} and sorted(alone.collect()) == sorted(every.where(F.col("route") == "category").collect())
+
+
+def test_what_is_visible_is_counted_without_pairs(spark, tmp_path):
+    """Rows that joins give grow with the turns, not with conversations times memories of a scope."""
+    import duckdb
+
+    from threadloom import catalog
+
+    n = 400
+    spark.range(300).selectExpr("id as vec_id", "array_repeat(float(1), 64) as embedding", "0 as label").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(4 * n).selectExpr(f"id % {n} as conv_id", f"id div {n} as turn", "'user' as role", "'hello' as text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    turns(spark, str(tmp_path)).count()
+
+    def nodes(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return nodes(p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan())
+        return [p, *(x for i in range(p.children().size()) for x in nodes(p.children().apply(i)))]
+
+    found = catalog.queries()["m5_visible"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.oracles()["m5_visible"]).fetchall())
+    rows = [p.metrics().apply("numOutputRows").value() for p in nodes(found._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName()]
+    assert rows and sum(rows) <= 4 * 4 * n, rows
+
+
+def test_counts_of_what_is_visible_agree_with_pairs(spark):
+    from threadloom.operators.memory import count_visible, visible
+
+    keys = [(s, t, a) for s in ("s1", "s2", None) for t in ("t1", "t2", None) for a in ("a1", "a2", None)]
+    mem = spark.createDataFrame([(*k, m) for i, k in enumerate(keys) for m in ("thread", "actor", "scope", "other", None)[i % 3 :]], "scope_key string, thread_key string, actor_key string, memory_scope string")
+    who = spark.createDataFrame([(i, *k) for i, k in enumerate([*keys, keys[0], ("s3", "t1", "a1")])], "id long, scope_key string, thread_key string, actor_key string")
+    m, w = mem.select(F.struct("*").alias("m")), who.select("id", F.struct("*").alias("w"))
+    pairs = w.join(m, visible(F.col("m"), F.col("w"))).groupBy("id").agg(F.count("*").alias("seen")).collect()
+    assert sorted(count_visible(mem, who).select("id", "seen").collect()) == sorted(pairs) and len(pairs) == 19

@@ -77,6 +77,22 @@ def visible(mem: Column, who: Column) -> Column:
     return (mem["scope_key"] == who["scope_key"]) & F.coalesce(own, F.lit(False))
 
 
+def count_visible(mem: DataFrame, who: DataFrame) -> DataFrame:
+    """``who`` (scope_key, thread_key, actor_key) with ``seen``, how many memories are ``visible`` to it; those who see none are left out.
+
+    All who share a scope, thread or actor see the same of it, so memories are counted by these and no pair of a memory and one who sees it
+    is made.  Scopes and threads, which any number of rows share, are few (3 and 18 in the views at every size) and go to every task; actors
+    meet by key.
+    """
+    kind = F.coalesce("memory_scope", F.lit(""))
+    seen = {"thread": mem.where(kind == "thread"), "actor": mem.where(kind == "actor"), "scope": mem.where(~kind.isin("thread", "actor"))}
+    for k, m in seen.items():
+        on = sorted({"scope_key", f"{k}_key"})
+        n = m.groupBy(*on).agg(F.count("*").alias(f"_{k}"))
+        who = who.join(n if k == "actor" else F.broadcast(n), on, "left")
+    return who.withColumn("seen", sum(F.coalesce(f"_{k}", F.lit(0)) for k in seen)).where("seen > 0").drop(*[f"_{k}" for k in seen])
+
+
 def merge_key() -> Column:
     """The bucket inside which memories may merge."""
     own = F.when(F.col("memory_scope") == "thread", F.col("thread_key")).when(F.col("memory_scope") == "actor", F.col("actor_key")).otherwise("")
@@ -195,14 +211,12 @@ def m4_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m5_visible", f"{_M} SELECT t.conv_id, count(*) AS seen FROM (SELECT conv_id, min(room_id) AS room_id, 'u' || conv_id AS u, min(topic) AS tp FROM turns GROUP BY conv_id) t JOIN mem m ON m.scope_key = 'bilibili:' || t.room_id AND (m.memory_scope = 'scope' OR (m.memory_scope = 'thread' AND m.thread_key = 'bilibili:' || t.room_id || '$th:' || (t.tp + 1)) OR (m.memory_scope = 'actor' AND m.actor_key = 'bilibili/room:' || t.room_id || '/uid:' || t.u)) GROUP BY 1")
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many memories each conversation's first state can see; equal scopes meet, the rest is a filter on the pair."""
+    """How many memories each conversation's first state can see."""
     t = turns(spark, sf_dir)
     mem = memories(t)
     who = mem.join(t.select("turn", "conv_id"), "turn").groupBy("conv_id").agg(F.min("scope_key").alias("scope_key"), F.min("actor_key").alias("actor_key"), F.min("topic").alias("topic"))
     who = who.withColumn("thread_key", F.concat("scope_key", F.lit("$th:"), F.col("topic") + 1))
-    m = mem.select(F.col("scope_key").alias("sk"), F.struct("scope_key", "thread_key", "actor_key", "memory_scope").alias("m"))
-    w = who.select("conv_id", F.col("scope_key").alias("sk"), F.struct("scope_key", "thread_key", "actor_key").alias("w"))
-    return w.join(m, "sk").where(visible(F.col("m"), F.col("w"))).groupBy("conv_id").agg(F.count("*").alias("seen"))
+    return count_visible(mem, who).select("conv_id", "seen")
 
 
 def bindings(pairs: DataFrame, cap: float = 64.0) -> DataFrame:
